@@ -1,2 +1,7 @@
-"""SQL equivalents of the text queries."""
-ORACLE: dict[str, str] = {}
+"""SQL equivalents of the text queries, where SQL can say the result on whole tables."""
+
+ORACLE: dict[str, str] = {
+    "p4_found": """
+        SELECT DISTINCT b.block_id FROM text_blocks b LEFT JOIN chunk_limits l ON l.source_type = b.source_type
+        WHERE length(b.text) > coalesce(l.max_chars, (SELECT max_chars FROM chunk_limits WHERE source_type = '*'))""",
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import lookalike
+from siftline.llm import chunking, language, lookalike, truncation
 from siftline.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +23,43 @@ def p2_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("block_id", "clean_text", "look_key")
 
 
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.split_oversized(read_table(spark, sf_dir, "text_blocks"), read_table(spark, sf_dir, "chunk_limits"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir).where("pieces > 1").select("block_id").distinct()
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir).distinct()
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.wrong_labels(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "text_blocks")).select("rec_table", "rec_id", "lang").distinct()
+
+
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.records(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "text_blocks"))
+    model = language.fit(found.select(language.label(F.col("label")).alias("lang"), "text"))
+    return language.label_texts(found, model, ["rec_table", "rec_id"]).distinct()
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.mark_cut(read_table(spark, sf_dir, "documents")).where("cut").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_rates(truncation.mark_cut(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_normalised": p2_normalised,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_segments": p5_segments,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
 }
