@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import chunking, language, lookalike, truncation
+from siftline.llm import boilerplate, chunking, language, leakage, lookalike, truncation
 from siftline.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,22 @@ def p2_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("block_id", "clean_text", "look_key")
 
 
+def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "text_blocks").where("source_type = 'html'")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.furniture_lines(_html(spark, sf_dir)).distinct()
+
+
+def p3_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.bodies(_html(spark, sf_dir))
+
+
+def p3_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.expression_texts(_html(spark, sf_dir))
+
+
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.split_oversized(read_table(spark, sf_dir, "text_blocks"), read_table(spark, sf_dir, "chunk_limits"))
 
@@ -45,6 +61,18 @@ def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.label_texts(found, model, ["rec_table", "rec_id"]).distinct()
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("item_id", "doc_id").distinct()
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.max("held_words").alias("most_words"), F.max("similarity").alias("best_similarity"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.mark_cut(read_table(spark, sf_dir, "documents")).where("cut").select("doc_id").distinct()
 
@@ -56,10 +84,15 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_normalised": p2_normalised,
+    "p3_found": p3_found,
+    "p3_bodies": p3_bodies,
+    "p3_wrappers": p3_wrappers,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_segments": p5_segments,
+    "p8_found": p8_found,
+    "p8_items": p8_items,
     "p10_found": p10_found,
     "p10_rates": p10_rates,
 }
