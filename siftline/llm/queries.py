@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import boilerplate, chunking, language, leakage, lookalike, truncation
-from siftline.session import read_table
+from siftline.llm import boilerplate, chunking, language, leakage, lookalike, personal, truncation
+from siftline.session import checkpoint, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,20 @@ def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.label_texts(found, model, ["rec_table", "rec_id"]).distinct()
 
 
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.pieces(read_table(spark, sf_dir, "text_blocks"), read_table(spark, sf_dir, "findings"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = checkpoint(personal.spans(_personal(spark, sf_dir)))
+    return personal.accepted(found, personal.fit(found)).distinct()
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _personal(spark, sf_dir)
+    return personal.redact(texts, personal.fit(checkpoint(personal.spans(texts)))).distinct()
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
@@ -91,6 +105,8 @@ QUERIES: dict[str, Query] = {
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_segments": p5_segments,
+    "p6_found": p6_found,
+    "p6_redacted": p6_redacted,
     "p8_found": p8_found,
     "p8_items": p8_items,
     "p10_found": p10_found,
