@@ -102,21 +102,43 @@ ADDRESS = re.compile(
     rf"|(?<!\w)[{U}][{L}-]*(?:straße|strasse|str\.|weg|allee|platz|gasse|ufer|ring){G}\d+[a-z]?(?!\w)"
     rf"|(?<!\w)(?:ulice|ulici|ul\.|náměstí|nám\.|třída|tř\.){G}{W}(?:{G}[{U}{L}]+)?,?{G}\d+(?:/\d+)?", re.I
 )
+#: What every address (e-mail or postal) holds; only its surroundings are searched.
+EMAIL_SIGN = re.compile(r"@|[\[({<][ \t\n]*(?:at|собака|ет|dog|zavináč)[ \t\n]*[\])}>]", re.I)
+STREET_SIGN = re.compile(
+    r"(?i:(?<!\w)(?:улиц|ул[.\s]|вул|пер[.\s]|переул|пров|просп|пр-т|набер|наб\.|шосс|бульв|б-р|площ|пл\.|проезд|тупик|аллея))|(?<!\w)(?:ulic|ul\.|nám|třída|tř\.)"
+    r"|(?<=\s)(?:Lane|Ln|Road|Rd|Street|St|Avenue|Ave|Drive|Dr|Court|Ct|Square|Sq|Way|Close|Hill|Boulevard|Blvd|Place|Row|Terrace)(?!\w)|(?:straße|strasse|str\.|weg|allee|platz|gasse|ufer|ring)(?=\s+\d)"
+)
+BEFORE, BEHIND = 110, 130
 #: Words before a value that speak for a category, and those that speak for goods, files, devices and organisations.
 FOR = {
     "phone": re.compile(r"тел|phone|call|звон|связь|contact|моб|перезвон|получател|recipient|volejte|anruf|rufen|дзвон|зв.?яз", re.I),
-    "id_number": re.compile(r"снилс|страхов|инн|паспорт|удостоверен|карт[аыеу]?\b|card|ssn|tax id|passport|снілс|іпн|identity|identif", re.I),
+    "id_number": re.compile(r"снилс|страхов|инн|паспорт|удостоверен|посвідчен|social security|карт[аыеу]?\b|card|ssn|tax id|passport|снілс|іпн|identity|identif", re.I),
     "name": re.compile(r"фио|фамил|имя|name|заявител|владел|получател|recipient|подпис|signed|ответств|in charge|поруч|согласован|next to|владельц|прізвищ|одержувач|zuständig|unterschr|podeps|příjem|empfänger|ім.?я", re.I),
     "address": re.compile(r"адрес|прожива|достав|получател|recipient|deliver|lives|address|unterlagen|wohn|adres|bydl|doruč|мешка", re.I),
     "email": re.compile(r"адрес|почт|mail|ответ|answer|writ|wrote|копия|copy|duplicate|связь|contact|adres|antwort|odpov", re.I),
 }
 AGAINST = re.compile(r"парти[ия]|накладн|инвентар|учёта|учета|inventory|lot number|waybill|сборк|build|узел|node|верси|version|артикул|счёт-фактур|серийн|serial|устройств|device|заявке|request|описи|огрн|кпп|партії|накладна|обліку|order|charge|bestand|šarže|položk|inventář|los\b", re.I)
+#: Words that name a record of things although one of them alone could name a personal number.
+THINGS = re.compile(r"inventory card|карточк\w+ уч[её]та|картк\w+ обліку", re.I)
 HIDDEN = re.compile("[­​-‏⁠﻿]")
 PLAIN = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | dict.fromkeys([0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000], " ")
 ODD = re.compile("[­​-‏⁠﻿！-～  -   　]")
 DIGITS = re.compile(r"\d")
 
 
+#: Letters of two alphabets with one look: fixed values.
+_C, _L = "аеорсухіјѕАВЕКМНОРСТХІЈЅУ", "aeopcyxijsABEKMHOPCTXIJSY"
+TO_CYRILLIC, TO_LATIN = str.maketrans(_L + "οΟαΑΒΕΗΚΜΡΤΧ", _C + "оОаАВЕНКМРТХ"), str.maketrans(_C + "οΟαΑΒΕΗΚΜΡΤΧ", _L + "oOaABEHKMPTX")
+MIXED = re.compile("[Ѐ-ӿ][A-Za-zΑ-ω]|[A-Za-zΑ-ω][Ѐ-ӿ]")
+MIXED_WORD = re.compile("[A-Za-zÀ-ɏΑ-ωЀ-ӿ]*(?:[Ѐ-ӿ][A-Za-zΑ-ω]|[A-Za-zΑ-ω][Ѐ-ӿ])[A-Za-zÀ-ɏΑ-ωЀ-ӿ]*")
+
+
+def _one_alphabet(m: re.Match) -> str:
+    """A word of mixed letters in the alphabet of those of its letters that have no look-alike."""
+    word = m[0]
+    return word.translate(TO_CYRILLIC if any("Ѐ" <= c <= "ӿ" and c not in _C for c in word) else TO_LATIN)
+
+
 def luhn(digits: str) -> bool:
     total = sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(digits)))
     return total % 10 == 0 and len(set(digits)) > 1
@@ -133,6 +155,11 @@ def taxpayer(digits: str) -> bool:
     return all(sum(w * int(d) for w, d in zip(ws, digits, strict=False)) % 11 % 10 == int(digits[len(ws)]) for ws in (a, b))
 
 
+def stem(surname: str) -> str:
+    """A surname without its ending of case or gender."""
+    return re.sub("(?<=[вн])(?:а|у|ым|им|ой|е|ою|і|ої|ій)$", "", surname)
+
+
 def _parts(value: str) -> list[str]:
     return re.findall(rf"[{U}{L}-]+", value)
 
@@ -166,7 +193,7 @@ def name_votes(m: re.Match, text: str) -> tuple[str, str, str, tuple[int, int]]
             return None
         if m.lastgroup == "tail" and high == full[-1][2]:
             high = b
-        return "+", "+", best[0], (low, high)
+        return "+", "+", stem(best[0]), (low, high)
     surname = rest or full
     if not surname or len(surname[-1][0]) < 3:
         return None
@@ -175,7 +202,7 @@ def name_votes(m: re.Match, text: str) -> tuple[str, str, str, tuple[int, int]]
         return None
     if word[0] >= "Ѐ" and not SURNAME_C.match(word):
         return None
-    return "0", "?", word, (a, b)
+    return "0", "?", stem(word), (a, b)
 
 
 def propose(text: str, hint: str = "") -> Iterator[tuple[str, int, int, str, str]]:
@@ -189,6 +216,8 @@ def propose(text: str, hint: str = "") -> Iterator[tuple[str, int, int, str, str
         before = text[max(0, a - 60) : a]
         cut = max(before.rfind("."), before.rfind("|"), before.rfind(";"))
         before = before if category in ("name", "phone") and cut < len(before) - 12 else before[cut + 1 :] if cut >= 0 and len(before) - cut > 6 else before
+        if category in ("phone", "id_number") and THINGS.search(before[-32:]):
+            return "-"
         own = FOR[category].search(before) or category in hint
         other = AGAINST.search(before[-32:]) if category in ("phone", "id_number") else None
         return "-" if other and not FOR[category].search(before[other.start() - 32 if other.start() else 0 :][other.end() :]) else "+" if own else "0"
@@ -196,19 +225,37 @@ def propose(text: str, hint: str = "") -> Iterator[tuple[str, int, int, str, str
     def free(a: int, b: int) -> bool:
         return all(b <= x or a >= y for x, y in taken)
 
+    def near(pattern: re.Pattern, sign: re.Pattern) -> Iterator[re.Match]:
+        """Matches of ``pattern`` around each match of ``sign``, from left to right."""
+        done = 0
+        for x in sign.finditer(text):
+            if x.start() < done:
+                continue
+            low = max(done, x.start() - BEFORE)
+            while 0 < low < x.start() and not text[low - 1].isspace():
+                low += 1
+            at = pattern.search(text, low, x.end() + BEHIND)
+            while at is not None and at.end() <= x.start():
+                at = pattern.search(text, at.end(), x.end() + BEHIND)
+            if at is not None and at.start() <= x.end():
+                done = at.end()
+                yield at
+
     low = text.lower()
     if "@" in text or "[at" in low or "(at" in low or "собака" in low or "zavin" in low or "(ет" in low:
-        for m in EMAIL.finditer(text):
+        for m in near(EMAIL, EMAIL_SIGN):
             a, b = m.start("user"), m.end("host")
             taken.append((a, b))
             yield "email", a, b, ("+" if m["at"].strip() == "@" else "0") + "0" + ("+" if re.search(r"\w{2,}$", m["host"]) else "-") + around("email", a, b), ""
     if DIGITS.search(text):
-        if any(x in low for x in ("ул", "пер", "пр", "наб", "бульв", "площ", "шосс", "б-р", "тупик", "аллея", "lane", "rd", "road", "st", "ave", "weg", "gass", "allee", "platz", "drive", "court", "ul", "way", "hill", "ring", "nám", "tř")):
-            for m in ADDRESS.finditer(text):
+        if DIGITS.search(text):
+            for m in near(ADDRESS, STREET_SIGN):
                 a, b = m.span()
                 city = m["city"]
                 if city and (any(w.lower() in GIVEN for w in _parts(city)) or re.search(r"\b\w\.", city.replace("г.", "").replace("м.", ""))):
                     a = m.end("city")
+                while city and a < m.end("city") and (x := re.match(rf"(?!(?:г|гор|город|м|місто|пос|с|п)\b)[{L}]+\s+", text[a : m.end("city")])):
+                    a += x.end()  # a word of the sentence, not of the city's name
                 street = text[a:b]
                 if not re.search(rf"[{U}]", street) and not re.search(r"(?i)\b(?:ул|вул|пер|пр)\b", street):
                     continue
@@ -245,14 +292,16 @@ def propose(text: str, hint: str = "") -> Iterator[tuple[str, int, int, str, str
             if free(a, b) and 10 <= len(digits) <= 14:
                 taken.append((a, b))
                 strict = m[0][0] in "+(" or len(digits) == 11 or m[0].startswith("00")
-                yield "phone", a, b, ("+" if strict else "0") + "00" + around("phone", a, b), ""
+                # Digits written together are a phone number only as the national form; other lengths are codes.
+                form = "-" if digits == m[0] and len(digits) != 11 else "+" if strict else "0"
+                yield "phone", a, b, form + "00" + around("phone", a, b), ""
     if "фио" in low or "ф.и.о" in low or "піб" in low:
         for m in NAME_LOW.finditer(text):
             words = [w.lower() for w in _parts(m[1])]
             if any(w in GIVEN for w in words) and any(SURNAME_C.match(w) and w not in GIVEN for w in words):
                 taken.append(m.span())
                 surname = next(w for w in words if SURNAME_C.match(w) and w not in GIVEN)
-                yield "name", m.start(1), m.end(1), "+0+" + around("name", m.start(), m.end()), surname
+                yield "name", m.start(1), m.end(1), "+0+" + around("name", m.start(), m.end()), stem(surname)
     at = 0
     while (m := NAME.search(text, at)) is not None:
         found = name_votes(m, text)
@@ -270,10 +319,13 @@ def propose(text: str, hint: str = "") -> Iterator[tuple[str, int, int, str, str
 
 def plain(text: str) -> tuple[str, list[int] | None]:
     """The text without invisible and full-width characters, and the place of each of its characters in the original."""
+    if MIXED.search(text):  # look-alikes of the other alphabet, letter for letter
+        text = MIXED_WORD.sub(_one_alphabet, text)
     if not ODD.search(text):
         return text, None
     kept = [k for k, c in enumerate(text) if not HIDDEN.match(c)]
-    return "".join(text[k] for k in kept).translate(PLAIN), [*kept, len(text)]
+    made = "".join(text[k] for k in kept).translate(PLAIN)
+    return MIXED_WORD.sub(_one_alphabet, made) if MIXED.search(made) else made, [*kept, len(text)]
 
 
 class SpanModel:
