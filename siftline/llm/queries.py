@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import boilerplate, chunking, language, leakage, lookalike, personal, truncation
+from siftline.llm import boilerplate, chunking, encoding, language, leakage, lookalike, personal, truncation
 from siftline.session import checkpoint, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,20 @@ def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.redact(texts, personal.fit(checkpoint(personal.spans(texts)))).distinct()
 
 
+def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.texts(read_table(spark, sf_dir, "text_blocks"), read_table(spark, sf_dir, "file_inventory"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _decoded(spark, sf_dir)
+    return encoding.garbled(found, encoding.fit(found)).select("rec_table", "rec_id").distinct()
+
+
+def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _decoded(spark, sf_dir)
+    return encoding.garbled(found, encoding.fit(found), restore=True).distinct()
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
@@ -107,6 +121,8 @@ QUERIES: dict[str, Query] = {
     "p5_segments": p5_segments,
     "p6_found": p6_found,
     "p6_redacted": p6_redacted,
+    "p7_found": p7_found,
+    "p7_restored": p7_restored,
     "p8_found": p8_found,
     "p8_items": p8_items,
     "p10_found": p10_found,
