@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import boilerplate, chunking, encoding, language, leakage, lookalike, personal, truncation
+from siftline.llm import boilerplate, chunking, encoding, language, leakage, lookalike, personal, scans, truncation
 from siftline.session import checkpoint, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.defects(read_table(spark, sf_dir, "text_blocks"))
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repair(read_table(spark, sf_dir, "text_blocks")).distinct()
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = lookalike.same_look_pairs(read_table(spark, sf_dir, "text_blocks"), "block_id")
     return pairs.select(F.col("a").alias("block_id_a"), F.col("b").alias("block_id_b"))
@@ -110,6 +118,8 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_repaired": p1_repaired,
     "p2_found": p2_found,
     "p2_normalised": p2_normalised,
     "p3_found": p3_found,
