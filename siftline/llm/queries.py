@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import boilerplate, chunking, encoding, language, leakage, lookalike, personal, scans, truncation
+from siftline.llm import boilerplate, chunking, encoding, language, leakage, lookalike, mixing, personal, scans, truncation
 from siftline.session import checkpoint, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +109,14 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.max("held_words").alias("most_words"), F.max("similarity").alias("best_similarity"))
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.mark_cut(read_table(spark, sf_dir, "documents")).where("cut").select("doc_id").distinct()
 
@@ -135,6 +143,8 @@ QUERIES: dict[str, Query] = {
     "p7_restored": p7_restored,
     "p8_found": p8_found,
     "p8_items": p8_items,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_rates": p10_rates,
 }
