@@ -120,9 +120,9 @@ FOR = {
 AGAINST = re.compile(r"парти[ия]|накладн|инвентар|учёта|учета|inventory|lot number|waybill|сборк|build|узел|node|верси|version|артикул|счёт-фактур|серийн|serial|устройств|device|заявке|request|описи|огрн|кпп|партії|накладна|обліку|order|charge|bestand|šarže|položk|inventář|los\b", re.I)
 #: Words that name a record of things although one of them alone could name a personal number.
 THINGS = re.compile(r"inventory card|карточк\w+ уч[её]та|картк\w+ обліку", re.I)
-HIDDEN = re.compile("[­​-‏⁠﻿]")
+HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 PLAIN = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | dict.fromkeys([0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000], " ")
-ODD = re.compile("[­​-‏⁠﻿！-～  -   　]")
+ODD = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff\uff01-\uff5e\u00a0\u2000-\u200a\u202f\u205f\u3000]")
 DIGITS = re.compile(r"\d")
 
 
