@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import Memo, count_keys, map_rows
+from siftline.llm.common import count_keys, map_rows
 
 LANGS = ("ru", "en", "uk", "de", "cs")
 #: Scripts and the languages written in them: fixed values.
@@ -30,6 +30,13 @@ CYRILLIC, LATIN = ("ru", "uk"), ("en", "de", "cs")
 CODES = {"rus": "ru", "eng": "en", "ukr": "uk", "deu": "de", "ger": "de", "ces": "cs", "cze": "cs"}
 NO_LABEL = ("", "und", "unknown")
 WORD = re.compile(r"[^\W\d_]+")
+#: Characters that print nothing, which may stand within words, and wide letters with their plain ones.
+HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]+")
+HIDDEN_WORD = re.compile("[^\\W\\d_](?:[\u00ad\u200b-\u200f\u2060\ufeff]*[^\\W\\d_])*")
+ODD, WIDE = re.compile("[\uff01-\uff5e]"), {c: chr(c - 0xFEE0).lower() for c in range(0xFF01, 0xFF5F)}
+#: Addresses, and what a text with one holds.
+SIGN = re.compile(r"@|\[(?:at|dot)|\((?:at|собака)|[a-z0-9]\.[a-z]")
+ADDRESS = re.compile(r"[\w.+=:<-]*\s?@\s?[\w.-]+|[\w.+-]+\s*[\[(](?:at|собака)[\])]\s*[\w-]+(?:\s*(?:\.|[\[(](?:dot|точка)[\])])\s*[\w-]+)*|(?<![^\s(\[<,;])(?:[a-z0-9_+-]+\.)+[a-z]{2,}\b")
 #: Nats that a switch of language costs, and the most that one word may say.
 SWITCH, MOST = 14.0, 5.0
 #: Words that a language's longest segment must have to count as part of a mixed text, and the share of known ones.
@@ -159,39 +166,68 @@ def viterbi(ids: list[list[int]], table: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def segments_of(model: LanguageModel, texts: list[str]) -> Iterator[list[tuple[int, int, str, float, int, float]]]:
+def _unaddressed(text: str) -> str:
+    """The text in lower case, with addresses (of no language) blanked out; of the same length."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    if ODD.search(low):
+        low = low.translate(WIDE)
+    return ADDRESS.sub(lambda m: " " * len(m[0]), low) if SIGN.search(low) else low
+
+
+class Vocabulary:
+    """Numbers of the words that a task has met, and their scores; starts anew beyond a size."""
+
+    def __init__(self, model: LanguageModel, most: int = 300_000) -> None:
+        self.model, self.most = model, most
+        self.numbers: dict[str, int] = {}
+        self.scores: list[np.ndarray] = []
+        self.known: list[bool] = []
+
+    def ids(self, words: list[str]) -> list[int]:
+        found = list(map(self.numbers.get, words))
+        if None in found:
+            for k, word in enumerate(words):
+                if found[k] is None:
+                    number = self.numbers.get(word)
+                    if number is None:
+                        number = self.numbers[word] = len(self.scores)
+                        score, known = self.model.score(word)
+                        self.scores.append(score)
+                        self.known.append(known)
+                    found[k] = number
+        return found
+
+    def fresh(self) -> None:
+        if len(self.scores) > self.most:
+            self.__init__(self.model, self.most)
+
+
+def segments_of(vocabulary: Vocabulary, texts: list[str]) -> Iterator[list[tuple[int, int, str, float, int, float]]]:
     """For each text its segments: (from_char, to_char, lang, confidence, words, share of known words)."""
-    index: dict[str, int] = {}
-    rows, known = [], []
-    ids, spans = [], []
-    for text in texts:
-        words, own = [m.span() for m in WORD.finditer(text)], []
-        low = text.lower()
-        same = len(low) == len(text)
-        for a, b in words:
-            word = low[a:b] if same else text[a:b].lower()
-            k = index.get(word)
-            if k is None:
-                k = index[word] = len(rows)
-                score, is_known = model.memo[word]
-                rows.append(score)
-                known.append(is_known)
-            own.append(k)
-        ids.append(own)
-        spans.append(words)
-    table, known_of = np.array(rows or [np.zeros(len(LANGS))]), np.array(known or [False])
-    for own, words, path in zip(ids, spans, viterbi(ids, table), strict=True):
+    vocabulary.fresh()
+    plain = [_unaddressed(t) for t in texts]
+    shapes = [HIDDEN_WORD if HIDDEN.search(t) else WORD for t in plain]
+    ids = [vocabulary.ids(WORD.findall(t) if w is WORD else [HIDDEN.sub("", x) for x in w.findall(t)]) for t, w in zip(plain, shapes, strict=True)]
+    table, known = np.array(vocabulary.scores or [np.zeros(len(LANGS))]), np.array(vocabulary.known or [False])
+    for text, word, own, path in zip(plain, shapes, ids, viterbi(ids, table), strict=True):
         if not own:
             yield []
             continue
         cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(own)]
-        scores, seen, out = table[own], known_of[own], []
+        if len(cuts) == 2:
+            last = len(text) - WORD.search(text[::-1]).start()
+            spans = {0: (WORD.search(text).start(), 0), len(own) - 1: (0, last)}
+        else:
+            spans = dict(enumerate(m.span() for m in word.finditer(text)))
+        scores, seen, out = table[own], known[own], []
         for a, b in zip(cuts, cuts[1:]):
             total = scores[a:b].sum(0)
             odds = np.exp(np.clip(total - total.max(), -50, 0))
             share = float(seen[a:b].mean())
             # Certainty among the languages, weighed by how much of the segment is known at all.
-            out.append((words[a][0], words[b - 1][1], LANGS[path[a]], round(float(odds[path[a]] / odds.sum()) * (0.5 + 0.5 * share), 4), b - a, share))
+            out.append((spans[a][0], spans[b - 1][1], LANGS[path[a]], round(float(odds[path[a]] / odds.sum()) * (0.5 + 0.5 * share), 4), b - a, share))
         yield out
 
 
@@ -201,8 +237,7 @@ def label_texts(df: DataFrame, model: LanguageModel, keys: list[str], text_col:
     size = len(keys)
 
     def make():  # noqa: ANN202
-        held = sent.value
-        held.memo = Memo(held.score, 300_000)
+        held = Vocabulary(sent.value)
 
         def step(rows: Iterator[tuple]) -> Iterable[tuple]:
             batch = list(rows)
