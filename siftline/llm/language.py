@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.common import count_keys, map_rows
+from siftline.session import checkpoint
 
 LANGS = ("ru", "en", "uk", "de", "cs")
 #: Scripts and the languages written in them: fixed values.
@@ -279,7 +280,8 @@ def wrong_labels(documents: DataFrame, blocks: DataFrame) -> DataFrame:
     model = fit(found.select(label(F.col("label")).alias("lang"), "text"))
     tagged = found.withColumn("named", F.coalesce(label(F.col("label")), F.when(label_missing(F.col("label")), "").otherwise("?")))
     keys = ["rec_table", "rec_id", "named"]
-    langs = languages(label_texts(tagged, model, keys).dropDuplicates([*keys, "segment"]), keys)
+    # The segments are read by two aggregates; they are small and written once, so texts are labelled once.
+    langs = languages(checkpoint(label_texts(tagged, model, keys).dropDuplicates([*keys, "segment"])), keys)
     # One row per record decides; it is joined back through a window-free aggregate on the same keys.
     case = langs.groupBy(*keys).agg(F.collect_list(F.struct("lang", "confidence", "main", "known", "held")).alias("all"))
     main = F.filter("all", lambda x: x["main"])[0]
