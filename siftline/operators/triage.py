@@ -88,25 +88,31 @@ def scaled_caps(mode: str, most: int) -> dict[str, int]:
 def select(scored_plans: DataFrame, caps: dict[str, int], most: int, least: float) -> DataFrame:
     """include and reason of each file, in order of score and path.
 
-    Baseline files are always taken and use up the caps. Of the others, those that can be chosen at all are counted within
-    their bucket, then those under its cap in total. Files beyond what the caps can hold are ranked by bucket alone: the
-    running counts over everything see only the baseline and at most the caps' sum of the others.
+    Baseline files are always taken and use up the caps. Of the others, those that can be chosen pass if they are among
+    the first rows of their bucket up to its cap, and are taken if they are among the first ``most`` of all that pass. So
+    only the heads of the orders are needed: each task keeps its own heads, and no running count over all files is made.
     """
-    cap = weight_of(F.col("bucket"), caps)
     order = [F.desc("triage_score"), F.asc("path")]
-    before = lambda *by: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    base = scored_plans.withColumns({"cap": cap, "baseline": is_baseline()})
-    can = base.withColumn("can", ~F.col("baseline") & (F.col("blocked") == "") & (F.col("triage_score") >= least) & (F.col("cap") > 0))
-    ran = can.withColumn("in_bucket", F.coalesce(F.sum((F.col("baseline") | F.col("can")).cast("long")).over(before("bucket")), F.lit(0)))
-    passed = ran.withColumn("passed", F.col("baseline") | (F.col("can") & (F.col("in_bucket") < F.col("cap"))))
-    total = passed.withColumn("in_total", F.coalesce(F.sum(F.col("passed").cast("long")).over(before(F.lit(1))), F.lit(0)))
-    chosen = total.withColumn("include", F.col("baseline") | (F.col("passed") & (F.col("in_total") < most)))
-    taken = chosen.withColumn("taken", F.coalesce(F.sum(F.col("include").cast("long")).over(before("bucket")), F.lit(0)))
+    first = Window.partitionBy("bucket").orderBy(*order)
+    highest = max([0, *caps.values()])
+    base = scored_plans.withColumns({"cap": weight_of(F.col("bucket"), caps), "baseline": is_baseline()})
+    base = base.withColumn("can", ~F.col("baseline") & (F.col("blocked") == "") & (F.col("triage_score") >= least) & (F.col("cap") > 0))
+    lean = base.where("baseline or can").select("path", "bucket", "triage_score", "cap", "baseline")
+    heads = lean.withColumn("k", F.row_number().over(first)).where(F.col("k") <= highest).where("k <= cap and not baseline")
+    # What passes and is no baseline is bounded by the caps' sum; the head of all that passes, by ``most``.
+    passing = heads.select("path", "bucket", "triage_score", "baseline").unionByName(lean.where("baseline").select("path", "bucket", "triage_score", "baseline"))
+    taken = passing.orderBy(*order).limit(max(most, 0)).where("not baseline").select("path", F.lit(True).alias("taken"))
+    held = base.join(F.broadcast(taken), "path", "left").withColumn("include", F.col("baseline") | F.coalesce("taken", F.lit(False)))
+    # A bucket is full behind its cap-th row taken.
+    full = held.where("include").select("path", "bucket", "triage_score", "cap").withColumn("k", F.row_number().over(first)).where(F.col("k") <= highest).where("k = cap")
+    edges = full.select("bucket", F.col("triage_score").alias("edge_score"), F.col("path").alias("edge_path"))  # a row a bucket
+    done = held.join(F.broadcast(edges), "bucket", "left")
+    behind = (F.col("triage_score") < F.col("edge_score")) | ((F.col("triage_score") == F.col("edge_score")) & (F.col("path") > F.col("edge_path")))
     reason = (
         F.when(F.col("baseline"), "include: fast baseline").when(F.col("blocked") != "", F.col("blocked")).when(F.col("triage_score") < least, "skip: below cutoff")
-        .when(F.col("cap") <= 0, "skip: bucket disabled").when(F.col("include"), "include: candidate").when(F.col("taken") >= F.col("cap"), "skip: bucket cap").otherwise("skip: total cap")
+        .when(F.col("cap") <= 0, "skip: bucket disabled").when(F.col("include"), "include: candidate").when(F.coalesce(behind, F.lit(False)), "skip: bucket cap").otherwise("skip: total cap")
     )
-    return taken.withColumn("reason", reason).drop("can", "in_bucket", "passed", "in_total", "taken", "cap")
+    return done.withColumn("reason", reason).drop("can", "taken", "cap", "edge_score", "edge_path")
 
 
 def ocr_score() -> Column:

@@ -14,6 +14,7 @@ import re
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -30,19 +31,24 @@ BLOCK_ARROW = pa.schema([("file_path", pa.string()), ("source_type", pa.string()
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """path, name, decoded_name and size_bytes of the regular files below ``root``; system files are left out."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size_bytes"))
-    plain = F.regexp_replace(F.col("path"), "^file:", "")
-    named = found.select(plain.alias("path"), F.regexp_extract(plain, r"([^/]*)$", 1).alias("name"), "size_bytes").where(~F.col("name").isin(*IGNORED))
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    plain = F.regexp_replace(F.col("path"), "^file:/*", "/")
+    found = read.select(plain.alias("path"), F.col("length").alias("size_bytes"))
+    # Scans pass over empty files, but the file index, which the driver holds anyway, has them.
+    index = spark.createDataFrame([(unquote(p),) for p in read.inputFiles()], "path string").select(plain.alias("path"))
+    found = found.unionByName(index.join(found, "path", "left_anti").withColumn("size_bytes", F.lit(0).cast("long")))
+    named = found.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "size_bytes").where(~F.col("name").isin(*IGNORED))
     # A plus in a name is a plus: it is kept from being taken for a blank.
     return named.withColumn("decoded_name", F.coalesce(F.try_url_decode(F.replace("name", F.lit("+"), F.lit("%2B"))), "name"))
 
 
 def with_content(spark: SparkSession, root: str, wanted: DataFrame, most_bytes: int | None = None) -> DataFrame:
-    """``wanted`` (by path) with the content of its files."""
+    """``wanted`` (by path) with the content of its files; null for empty files."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    content = reader.load(root).select(F.regexp_replace(F.col("path"), "^file:", "").alias("path"), "content", F.col("length").alias("_n"))
+    content = reader.load(root).select(F.regexp_replace(F.col("path"), "^file:/*", "/").alias("path"), "content", F.col("length").alias("_n"))
     kept = content.where(F.col("_n") <= most_bytes) if most_bytes else content
-    return wanted.join(kept.drop("_n"), "path")
+    joined = wanted.join(kept.drop("_n"), "path", "left")
+    return joined.where("content is not null or size_bytes = 0") if "size_bytes" in wanted.columns else joined.where("content is not null")
 
 
 def decode(raw: bytes) -> str:
