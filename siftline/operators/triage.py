@@ -96,7 +96,7 @@ def select(scored_plans: DataFrame, caps: dict[str, int], most: int, least: floa
     first = Window.partitionBy("bucket").orderBy(*order)
     highest = max([0, *caps.values()])
     base = scored_plans.withColumns({"cap": weight_of(F.col("bucket"), caps), "baseline": is_baseline()})
-    base = base.withColumn("can", ~F.col("baseline") & (F.col("blocked") == "") & (F.col("triage_score") >= least) & (F.col("cap") > 0))
+    base = base.withColumn("can", ~F.col("baseline") & (F.col("blocked") == "") & (F.col("triage_score") >= least) & (F.col("cap") > 0)).persist()
     lean = base.where("baseline or can").select("path", "bucket", "triage_score", "cap", "baseline")
     heads = lean.withColumn("k", F.row_number().over(first)).where(F.col("k") <= highest).where("k <= cap and not baseline")
     # What passes and is no baseline is bounded by the caps' sum; the head of all that passes, by ``most``.
