@@ -48,10 +48,15 @@ _NAMED = _any("nm", ["паспорт", "passport", "удостовер", "identi
 _BASELINE = f"coalesce(family IN ('executable', 'video', 'text', 'structured', 'spreadsheet') OR (family = 'document' AND extension IN ('docx', 'rtf', 'doc') AND ({_NAMED} OR {_any('p', ['мои бумажки', 'employes', 'employees'])} OR contains(p, '/прочее/'))) OR (family = 'web' AND {_NAMED}), false)"
 _CAPS = _weights("bucket", _T["bucket_caps"]["normal"])
 _OCR = f"(CASE WHEN family IN ('image', 'video') THEN 30 ELSE 0 END + CASE WHEN family = 'document' AND extension = 'pdf' THEN 18 ELSE 0 END + CASE WHEN family = 'presentation' THEN 12 ELSE 0 END + CASE WHEN extension IN ('tif', 'tiff') THEN 55 ELSE 0 END + CASE WHEN suspicious THEN 70 ELSE 0 END + CASE WHEN contains(p, 'архив сканы') THEN 60 ELSE 0 END + CASE WHEN scan THEN 20 ELSE 0 END + CASE WHEN {_any('p', ['паспорт', 'удостовер', 'анкета', 'согласие', 'личн'])} THEN 45 ELSE 0 END + CASE WHEN {_any('p', ['прочее', 'документы партнеров', 'сайты'])} THEN -20 ELSE 0 END)"
-_STEPS = {
-    "binary_embedded_payload_probe": [("binary_payload_extractor", 35)], "defer_archive": [("archive_inventory", 70)], "table_parse": [("spreadsheet_extractor", 15)], "legacy_office_container": [("legacy_office_extractor", 40)],
-    "office_conversion": [("legacy_doc_extractor", 35)], "generic_document": [("document_extractor", 50)], "cautious_text_fallback": [("plain_text_extractor", 60)],
-}
+_FIRST = """CASE strategy WHEN 'binary_embedded_payload_probe' THEN 'binary_payload_extractor' WHEN 'defer_archive' THEN 'archive_inventory' WHEN 'table_parse' THEN 'spreadsheet_extractor'
+  WHEN 'structured_parse' THEN CASE WHEN extension IN ('csv', 'tsv') THEN 'csv_extractor' WHEN extension IN ('json', 'parquet') THEN extension || '_extractor' ELSE 'structured_extractor' END
+  WHEN 'cheap_text' THEN CASE family WHEN 'web' THEN 'html_text_extractor' WHEN 'text' THEN 'plain_text_extractor' ELSE 'rtf_text_extractor' END WHEN 'legacy_office_container' THEN 'legacy_office_extractor'
+  WHEN 'pdf_text_then_ocr' THEN 'pdf_text_extractor' WHEN 'docx_text_then_embedded_ocr' THEN 'docx_text_extractor' WHEN 'office_conversion' THEN 'legacy_doc_extractor' WHEN 'generic_document' THEN 'document_extractor'
+  WHEN 'presentation_text_then_embedded_ocr' THEN 'presentation_text_extractor' WHEN 'image_prefilter_then_ocr' THEN 'image_prefilter' WHEN 'video_sparse_frame_ocr' THEN 'video_metadata' WHEN 'cautious_text_fallback' THEN 'plain_text_extractor' END"""
+_PRIORITY = """CASE WHEN strategy IN ('structured_parse', 'pdf_text_then_ocr', 'docx_text_then_embedded_ocr') OR (strategy = 'cheap_text' AND family <> 'document') THEN 10 WHEN strategy = 'cheap_text' THEN 20
+  WHEN strategy IN ('table_parse', 'image_prefilter_then_ocr') THEN 15 WHEN strategy = 'presentation_text_then_embedded_ocr' THEN 25 WHEN strategy IN ('binary_embedded_payload_probe', 'office_conversion') THEN 35
+  WHEN strategy IN ('legacy_office_container', 'video_sparse_frame_ocr') THEN 40 WHEN strategy = 'generic_document' THEN 50 WHEN strategy = 'cautious_text_fallback' THEN 60 WHEN strategy = 'defer_archive' THEN 70 END"""
+_OCR_PRIORITY = "CASE WHEN extension IN ('tif', 'tiff') THEN 10 WHEN scan OR suspicious THEN 15 WHEN business THEN 65 ELSE 40 END"
 
 
 def _digits(value: str, weights: list[int]) -> str:
@@ -71,7 +76,7 @@ ORACLE: dict[str, str] = {
     "pii_summary": f"SELECT category, sum(count)::BIGINT AS total, count(DISTINCT file_path) AS files, count(*) AS findings FROM {_F} GROUP BY 1",
     "top_files": f"SELECT file_path, sum(count)::BIGINT AS total_count FROM {_F} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "finding_examples": f"SELECT finding_id, count(*) AS examples, count(DISTINCT e) AS distinct_examples FROM (SELECT finding_id, unnest(examples) AS e FROM {_F}) GROUP BY 1",
-    "base_scores": f"SELECT file_path, round(sum(least(w + greatest(n - 1, 0) * least(w * {_R['repeat_factor']}, {_R['repeat_cap']}), w * {_R['max_multiplier']})), 4) AS base FROM {_BASE} GROUP BY 1",
+    "base_scores": f"SELECT file_path, round(sum(least(w + greatest(n - 1, 0) * least(w * {_R['repeat_factor']}, {_R['repeat_cap']}), w * {_R['max_multiplier']})), 4)::DOUBLE AS base FROM {_BASE} GROUP BY 1",
     "findings_by_family": f"SELECT i.family, f.category, sum(f.count)::BIGINT AS total FROM {_F} f LEFT JOIN (SELECT path, any_value(family) AS family FROM {_I} GROUP BY 1) i ON i.path = f.file_path GROUP BY 1, 2",
     "only_by_model": f"SELECT finding_id, block_id, category FROM {_F} f WHERE detector LIKE 'ner:%' AND NOT EXISTS (SELECT 1 FROM findings r WHERE r.detector LIKE 'regex%' AND r.block_id = f.block_id AND r.category = f.category)",
     "check_digits": f"""
@@ -128,3 +133,11 @@ ORACLE: dict[str, str] = {
 ORACLE["text_quality"] = rf"""
     SELECT doc_id, round(CASE WHEN words = 0 THEN 0.0 ELSE 0.7 * good / size + 0.3 * long_words / words END, 6) AS quality FROM (SELECT doc_id, length(text) AS size, length(regexp_replace(text, '[^\pL\pN\s\x{{0085}}\x{{00A0}}\x{{2028}}\x{{3000}}]', '', 'g')) AS good,
      len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> '')) AS words, len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: length(x) >= 3)) AS long_words FROM documents WHERE text IS NOT NULL)"""
+ORACLE["plan_steps"] = f"""
+    SELECT extractor, priority::INT AS priority, (k - 1)::INT AS k, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY priority, own) AS k FROM (
+     SELECT path, {_FIRST} AS extractor, {_PRIORITY} AS priority, 0 AS own FROM {_PLANS} WHERE strategy NOT IN ('skip', 'manual_review_or_custom_extractor')
+     UNION ALL SELECT path, CASE WHEN family IN ('document', 'presentation') AND coalesce(extension, '') <> 'pdf' THEN 'embedded_image_ocr_extractor' ELSE 'ocr_extractor' END, {_OCR_PRIORITY}, 1 FROM {_PLANS} WHERE {_ESC})) GROUP BY 1, 2, 3"""
+ORACLE["without_recurring_lines"] = f"""
+    WITH gone AS (SELECT file_path, list(line) AS gone FROM ({ORACLE["recurring_lines"]}) GROUP BY 1)
+    SELECT block_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT coalesce(list_contains(gone, x), false)), ' ') AS clean_text
+    FROM (SELECT * FROM {_B} WHERE source_type IN ('pages', 'ocr') AND text IS NOT NULL) b LEFT JOIN gone g ON g.file_path = b.file_path"""
