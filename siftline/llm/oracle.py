@@ -1,6 +1,12 @@
 """SQL equivalents of the text queries, where SQL can say the result on whole tables."""
 
+from siftline.llm import lookalike
+
+_KEYS = f"SELECT DISTINCT block_id, md5(text) AS text_key, {lookalike.KEY_SQL} AS look_key FROM (SELECT block_id, text, {lookalike.PLAIN_SQL} AS plain FROM text_blocks WHERE text IS NOT NULL AND text <> '')"
+
 ORACLE: dict[str, str] = {
+    "p2_found": f"WITH k AS ({_KEYS}) SELECT DISTINCT a.block_id AS block_id_a, b.block_id AS block_id_b FROM k a JOIN k b ON a.look_key = b.look_key AND a.block_id < b.block_id AND a.text_key <> b.text_key",
+    "p2_normalised": f"SELECT DISTINCT block_id, {lookalike.CLEAN_SQL} AS clean_text, {lookalike.KEY_SQL} AS look_key FROM (SELECT block_id, text, {lookalike.PLAIN_SQL} AS plain FROM text_blocks)",
     "p4_found": """
         SELECT DISTINCT b.block_id FROM text_blocks b LEFT JOIN chunk_limits l ON l.source_type = b.source_type
         WHERE length(b.text) > coalesce(l.max_chars, (SELECT max_chars FROM chunk_limits WHERE source_type = '*'))""",
