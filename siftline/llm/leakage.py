@@ -30,6 +30,9 @@ from pyspark.sql import functions as F
 from siftline.llm.common import Memo, count_keys, map_rows
 
 WORD = re.compile(r"\w+")
+#: Characters that have another form of the same letter, and those that print nothing.
+FORMS = re.compile("[\u0300-\u036f\uff01-\uffef\ufb00-\ufb06\u00ad\u200b-\u200f\u2060\ufeff]")
+HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 #: Sizes of windows in words; an item is cut by the largest one up to a third of its length.
 SIZES = (4, 6, 8, 11, 16, 22, 32, 45, 64, 90, 128)
 RADIUS, BLOCKS = 7, 8
@@ -44,7 +47,9 @@ def words_of(text: str | None) -> list[str]:
     """Words in lower case without accents of form; marks and spacing do not matter."""
     if not text:
         return []
-    return WORD.findall((text if text.isascii() else unicodedata.normalize("NFKC", text)).lower().replace("ё", "е"))
+    if FORMS.search(text):
+        text = HIDDEN.sub("", unicodedata.normalize("NFKC", text))
+    return WORD.findall(text.lower().replace("ё", "е"))
 
 
 def signs(word: str) -> np.ndarray:
