@@ -68,7 +68,7 @@ def _stems() -> set[str]:
     return out | {"льва", "льву", "львом", "льве", "павла", "павлу", "павлом", "петра", "петру", "петром", "софьи", "софье", "софью", "софьей", "дарьи", "дарье", "дарью", "натальи", "наталье", "наталью", "марьи"}
 
 
-GIVEN = _stems() | set(GIVEN_LATIN)
+GIVEN = _stems() | set(GIVEN_CYRILLIC) | set(GIVEN_LATIN)
 PATRONYMIC = re.compile(r"\w+(?:ович|евич|ьевич|овна|евна|ична|івн|ївн)(?:а|у|ем|ы|е|ой|ою|і)?$")
 SURNAME_C = re.compile(r"\w{2,}(?:[оеёє]в|[иы]н|ьов)(?:а|у|ым|им|ой|е|ою|і|ої|ій)?$|\w{3,}(?:ск|цк)(?:ий|ая|ого|ому|им|ой|ую)$|\w{2,}(?:енко|чук|юк|як|ян|дзе|швили)(?:а|у|ом|ем)?$")
 U, L = "A-ZА-ЯЁЇІЄҐÄÖÜÁČĎÉĚÍŇÓŘŠŤÚŮÝŽ", "a-zа-яёїієґäöüßáčďéěíňóřšťúůýž'’"
@@ -82,14 +82,14 @@ NAME = re.compile(
 )
 NAME_LOW = re.compile(rf"(?<!\w)(?:ФИО|ПІБ|ф\.?\s?и\.?\s?о\.?):?{G}(\w+{G}\w+(?:{G}\w+)?)", re.I)
 EMAIL = re.compile(
-    rf"(?<![\w.+-])(?P<user>\w[\w.+-]{{0,63}}?)(?P<at>{S}(?:@|[\[({{<]{S}(?:at|собака|ет|dog|zavináč){S}[\])}}>]){S})(?P<host>\w[\w-]*(?:(?:\.|{S}[\[({{]{S}(?:dot|точка|крапка|punkt|tečka){S}[\])}}]{S})\w[\w-]*)+)", re.I
+    rf"(?<![\w.+*-])(?P<user>\w[\w.+-]{{0,63}}?)(?P<at>{S}(?:@|[\[({{<]{S}(?:at|собака|ет|dog|zavináč){S}[\])}}>]){S})(?P<host>\w[\w-]*(?:(?:\.|{S}[\[({{]{S}(?:dot|точка|крапка|punkt|tečka){S}[\])}}]{S})\w[\w-]*)+)", re.I
 )
 DIGIT_SEP = r"(?:[ \t]?\n?[ .\-–‐/()]{0,3}\n?)"
 PHONE = re.compile(
     r"(?<![\w.+*-])(?:(?:\+|00)[1-9]\d{0,2}" + rf"(?:{DIGIT_SEP}\d){{8,11}}" + rf"|[78](?:{DIGIT_SEP}\d){{10}}" + r"|\(\d{3}\)[ \n.-]{1,2}\d{3}[ \n.-]\d{4}|\d{3}([.\- ])\d{3}\1\d{4})(?![\w*]|[-–.]\d)"
 )
 ID = re.compile(
-    r"(?<![\w.+*-])(?:(?P<card>\d{4}([ -]?)\d{4}\2\d{4}\2\d{4}(?:\2\d{1,3})?)|(?P<snils>\d{3}[- \n]?\d{3}[- \n]?\d{3}[- \n]{0,2}\d{2})|(?P<inn>\d{12})"
+    r"(?<![\w.+*-])(?:(?P<card>\d{4}([ -]?)\n?\d{4}\2\n?\d{4}\2\n?\d{4}(?:\2\d{1,3})?|\d{4}(?:[ \n]\d{4}){3})|(?P<snils>\d{3}[- \n]?\d{3}[- \n]?\d{3}[- \n]{0,2}\d{2})|(?P<inn>\d{12})"
     rf"|(?P<passport>\d{{2}}[ \n]?\d{{2}}{S}(?:№|номер|серия|N)?{S}\d{{6}})|(?P<ssn>\d{{3}}-\d{{2}}-\d{{4}}))(?![\w*]|-\d)", re.I
 )
 _TYPE = r"(?:улиц[аыеу]|ул|вулиц[яію]|вул|переул(?:ок|ка|ку)|пер|провулок|пров|проспект[ау]?|пр-т|просп|пр|набережная|наб|шоссе|бульвар|б-р|площадь|пл|проезд|тупик|аллея)"
@@ -99,14 +99,14 @@ _CITY = rf"(?:\d{{5,6}},{G})?(?:(?:г\.|город|гор\.|м\.|місто|по
 ADDRESS = re.compile(
     rf"(?P<city>(?<!\w){_CITY})?(?<!\w)(?:{_TYPE}\b\.?{S}{_STREET},?{_HOUSE}|{W}{G}{_TYPE}\b\.?,?{_HOUSE})(?:,?{S}(?:корп(?:ус)?|к|стр|кв(?:артира)?|оф|под)\b\.?{S}\d+){{0,3}}"
     rf"|(?<!\w)(?:(?:flat|apt\.?|unit|suite){G}\d+,{G})?\d+[a-z]?(?:-\d+)?{G}(?:{W}{G}){{1,2}}(?:Lane|Ln|Road|Rd|Street|St|Avenue|Ave|Drive|Dr|Court|Ct|Square|Sq|Way|Close|Hill|Boulevard|Blvd|Place|Row|Terrace)\b\.?"
-    rf"|(?<!\w)[{U}][{L}-]*(?:straße|strasse|str\.|weg|allee|platz|gasse|ufer|ring){G}\d+[a-z]?(?!\w)"
+    rf"|(?<!\w)[{U}][{L}-]*(?:straße|strasse|str\.|weg|allee|platz|gasse){G}\d+[a-z]?(?!\w)"
     rf"|(?<!\w)(?:ulice|ulici|ul\.|náměstí|nám\.|třída|tř\.){G}{W}(?:{G}[{U}{L}]+)?,?{G}\d+(?:/\d+)?", re.I
 )
 #: What every address (e-mail or postal) holds; only its surroundings are searched.
 EMAIL_SIGN = re.compile(r"@|[\[({<][ \t\n]*(?:at|собака|ет|dog|zavináč)[ \t\n]*[\])}>]", re.I)
 STREET_SIGN = re.compile(
     r"(?i:(?<!\w)(?:улиц|ул[.\s]|вул|пер[.\s]|переул|пров|просп|пр-т|набер|наб\.|шосс|бульв|б-р|площ|пл\.|проезд|тупик|аллея))|(?<!\w)(?:ulic|ul\.|nám|třída|tř\.)"
-    r"|(?<=\s)(?:Lane|Ln|Road|Rd|Street|St|Avenue|Ave|Drive|Dr|Court|Ct|Square|Sq|Way|Close|Hill|Boulevard|Blvd|Place|Row|Terrace)(?!\w)|(?:straße|strasse|str\.|weg|allee|platz|gasse|ufer|ring)(?=\s+\d)"
+    r"|(?<=\s)(?:Lane|Ln|Road|Rd|Street|St|Avenue|Ave|Drive|Dr|Court|Ct|Square|Sq|Way|Close|Hill|Boulevard|Blvd|Place|Row|Terrace)(?!\w)|(?:straße|strasse|str\.|weg|allee|platz|gasse)(?=\s+\d)"
 )
 BEFORE, BEHIND = 110, 130
 #: Words before a value that speak for a category, and those that speak for goods, files, devices and organisations.
@@ -252,7 +252,7 @@ def propose(text: str, hint: str = "") -> Iterator[tuple[str, int, int, str, str
             for m in near(ADDRESS, STREET_SIGN):
                 a, b = m.span()
                 city = m["city"]
-                if city and (any(w.lower() in GIVEN for w in _parts(city)) or re.search(r"\b\w\.", city.replace("г.", "").replace("м.", ""))):
+                if city and (any(w.lower() in GIVEN or PATRONYMIC.match(w.lower()) for w in _parts(city)) or re.search(r"\b\w\.", city.replace("г.", "").replace("м.", ""))):
                     a = m.end("city")
                 while city and a < m.end("city") and (x := re.match(rf"(?!(?:г|гор|город|м|місто|пос|с|п)\b)[{L}]+\s+", text[a : m.end("city")])):
                     a += x.end()  # a word of the sentence, not of the city's name
@@ -407,13 +407,19 @@ def pieces(blocks: DataFrame, findings: DataFrame) -> DataFrame:
     return own.unionByName(examples)
 
 
+def _cased(text: str, hint: str) -> str:
+    """An example that is known to be a name, with capitals where it has none."""
+    made = text.title() if hint == "name" and text.islower() else text
+    return made if len(made) == len(text) else text
+
+
 def spans(texts: DataFrame) -> DataFrame:
     """A row for each proposed span: rec_table, rec_id, line_no, category, votes, surname."""
 
     def make():  # noqa: ANN202
         def step(rows: Iterator[tuple]) -> Iterable[tuple]:
             for table, key, line, hint, text in rows:
-                body, _ = plain(text)
+                body, _ = plain(_cased(text, hint))
                 for category, a, _b, votes, surname in propose(body, hint):
                     yield table, key, line + (body.count("\n", 0, a) if table == "text_blocks" else 0), category, votes, surname
 
@@ -467,7 +473,7 @@ def redact(texts: DataFrame, model: SpanModel) -> DataFrame:
 
         def step(rows: Iterator[tuple]) -> Iterable[tuple]:
             for table, key, line, hint, text in rows:
-                body, places = plain(text)
+                body, places = plain(_cased(text, hint))
                 out, done = [], 0
                 for category, a, b, votes, surname in sorted(propose(body, hint), key=lambda s: s[1]):
                     if held.accepts(category, held.settle(votes, surname)):
