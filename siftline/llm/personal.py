@@ -252,7 +252,7 @@ def propose(text: str, hint: str = "") -> Iterator[tuple[str, int, int, str, str
             for m in near(ADDRESS, STREET_SIGN):
                 a, b = m.span()
                 city = m["city"]
-                if city and (any(w.lower() in GIVEN or PATRONYMIC.match(w.lower()) for w in _parts(city)) or re.search(r"\b\w\.", city.replace("г.", "").replace("м.", ""))):
+                if city and (any(w.lower() in GIVEN or PATRONYMIC.match(w.lower()) for w in _parts(city)) or re.search(r"\b\w\.", city.replace("г.", "").replace("м.", "")) or re.search(rf"{INITIAL}\s?$", text[max(0, a - 4) : a])):
                     a = m.end("city")
                 while city and a < m.end("city") and (x := re.match(rf"(?!(?:г|гор|город|м|місто|пос|с|п)\b)[{L}]+\s+", text[a : m.end("city")])):
                     a += x.end()  # a word of the sentence, not of the city's name
