@@ -34,7 +34,7 @@ TOKENS = re.compile(r"[«»()\[\]{}“”]|</?[A-Za-z][^<>\n]*>|\n")
 TERMINATED = re.compile(r"[.!?。؟][»”\"')\]]*$|[:;][)\]]?$")
 OMITTED = re.compile(r"(?:…|\.{3,}|\[(?:\.{3}|…)\])[»”\"')\]]*$")
 #: What a transfer leaves of a character, an escape, an entity or a tag.
-BROKEN = re.compile(r"(?:�+|\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?|%[0-9A-Fa-f]?|%[DC][01]|&(?:#?\w{0,8})|</?[A-Za-z]?[^<>\n]{0,80}|[\ud800-\udfff])$")
+BROKEN = re.compile(r"(?:�+|\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?|(?:%[0-9A-F]{2})+%[0-9A-F]?|%[DC][01]|&(?:#\w{0,6}|[a-z]{0,6})|</?(?:[A-Za-z][^<>\n]{0,80})?|[\ud800-\udfff])$")
 #: Whole lines that end texts without a terminator: list items, table rows, references, dates, file names, closed notes.
 ITEM = re.compile(r"^(?:[-–—•*·]|\d{1,3}[.)])\s+\S")
 CLOSED = re.compile(r"^(?:[(\[].*[)\]]|.*\|.*|№\s*\S+|\d{1,2}[./]\d{1,2}[./]\d{2,4}(?:,\s*\S+)?|\S+\.[A-Za-z]{2,5}|[^.!?]*:\s*[\d\s|.,/-]+)$")

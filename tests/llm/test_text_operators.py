@@ -325,3 +325,8 @@ def test_tokens_equal_the_tokenizer(spark):
     texts = ["Привет,  мир!\n\n  x = 12345;", "it's we'll", "", RU[0] + "\t" + EN[0]]
     made = {r.doc_id: r.tokens for r in mixing.token_counts(spark.createDataFrame([(k, "s", t) for k, t in enumerate(texts)], DOC)).collect()}
     assert made == {k: len(encoding_.encode_ordinary(t)) for k, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize(("text", "kind"), [("Рост 50%", "bare"), ("- рост 50%", "item"), ("текст R&D", "bare"), ("обр&nb", "broken"), ("обр<b", "broken"), ("путь %D0%B", "broken"), ("слово…", "omitted"), ("a | b | 3", "closed"), ("Конец.", "terminated"), ("", "bare")])
+def test_ends(text, kind):
+    assert truncation.automaton(text)[0] == kind
