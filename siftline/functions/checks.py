@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
+def _once(value: Column, rule: Callable[[Column], Column]) -> Column:
+    """``rule`` of a value that is computed once, however often the rule names it; null counts as false."""
+    return F.coalesce(F.element_at(F.transform(F.array(value), lambda v: rule(v)), 1), F.lit(False))
+
+
 def _weighted(value: Column, weights: list[int]) -> Column:
     """Sum of the leading digits by weight; null where there are too few."""
     total = F.lit(0)
@@ -21,32 +28,23 @@ def _weighted(value: Column, weights: list[int]) -> Column:
 
 def is_snils(value: Column) -> Column:
     """Insurance number: 11 digits, number part above 1001998, weights 9 to 1 modulo 101, where 100 counts as 0."""
-    d = digits(value)
-    total = _weighted(d, list(range(9, 0, -1)))
-    return F.coalesce((F.length(d) == 11) & (F.substring(d, 1, 9).try_cast("int") > 1001998) & (total % 101 % 100 == F.substring(d, 10, 2).try_cast("int")), F.lit(False))
+    return _once(digits(value), lambda d: (F.length(d) == 11) & (F.substring(d, 1, 9).try_cast("int") > 1001998) & (_weighted(d, list(range(9, 0, -1))) % 101 % 100 == F.substring(d, 10, 2).try_cast("int")))
 
 
 def is_inn_legal(value: Column) -> Column:
     """10-digit tax number of an organisation."""
-    d = digits(value)
-    return F.coalesce((F.length(d) == 10) & (_weighted(d, [2, 4, 10, 3, 5, 9, 4, 6, 8]) % 11 % 10 == F.substring(d, 10, 1).try_cast("int")), F.lit(False))
+    return _once(digits(value), lambda d: (F.length(d) == 10) & (_weighted(d, [2, 4, 10, 3, 5, 9, 4, 6, 8]) % 11 % 10 == F.substring(d, 10, 1).try_cast("int")))
 
 
 def is_inn_person(value: Column) -> Column:
     """12-digit tax number of a person, with two check digits."""
-    d = digits(value)
-    first = _weighted(d, [7, 2, 4, 10, 3, 5, 9, 4, 6, 8]) % 11 % 10 == F.substring(d, 11, 1).try_cast("int")
-    second = _weighted(d, [3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8]) % 11 % 10 == F.substring(d, 12, 1).try_cast("int")
-    return F.coalesce((F.length(d) == 12) & first & second, F.lit(False))
+    weights = ([7, 2, 4, 10, 3, 5, 9, 4, 6, 8], [3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8])
+    return _once(digits(value), lambda d: (F.length(d) == 12) & (_weighted(d, weights[0]) % 11 % 10 == F.substring(d, 11, 1).try_cast("int")) & (_weighted(d, weights[1]) % 11 % 10 == F.substring(d, 12, 1).try_cast("int")))
 
 
 def is_luhn(value: Column) -> Column:
     """Luhn check over 13 to 19 digits of which at least two differ."""
-    d = digits(value)
-    figures = F.filter(F.split(F.reverse(d), ""), lambda x: x != "")
-    doubled = F.transform(figures, lambda x, k: F.when(k % 2 == 1, F.floor(x.try_cast("int") * 2 / 10) + x.try_cast("int") * 2 % 10).otherwise(x.try_cast("int")).cast("int"))
-    total = F.aggregate(doubled, F.lit(0), lambda a, x: a + x)
-    return F.coalesce(F.length(d).between(13, 19) & (F.size(F.array_distinct(figures)) > 1) & (total % 10 == 0), F.lit(False))
+    return _once(digits(value), lambda d: F.length(d).between(13, 19) & (F.length(F.replace(d, F.left(d, F.lit(1)), F.lit(""))) > 0) & F.call_function("luhn_check", d))
 
 
 CHECKS = {"is_snils": is_snils, "is_inn_legal": is_inn_legal, "is_inn_person": is_inn_person, "is_luhn": is_luhn}

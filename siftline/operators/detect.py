@@ -71,7 +71,7 @@ def with_context(text: Column, name: str, group: int, reach: int) -> Column:
 
 def _inn(text: Column) -> tuple[Column, Column]:
     found = matches(text, "inn")
-    return F.filter(found, checks.is_inn_person), F.filter(found, checks.is_inn_legal)
+    return F.filter(found, lambda m: (F.length(m) == 12) & checks.is_inn_person(m)), F.filter(found, lambda m: (F.length(m) == 10) & checks.is_inn_legal(m))
 
 
 def _passport(text: Column) -> Column:
