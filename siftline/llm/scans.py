@@ -84,12 +84,16 @@ def word_counts(blocks: DataFrame) -> DataFrame:
             texts: dict[bool, list[str]] = {True: [], False: []}
             for scanned, text in rows:
                 texts[scanned].append(text)
-            clean = words_of("\n".join(texts[False]))
-            for w, n in Counter(clean).items():
+            single: Counter = Counter()
+            pairs: Counter = Counter()
+            for text in texts[False]:
+                clean = words_of(text)
+                single.update(clean)
+                pairs.update(zip(clean, clean[1:]))
+            for w, n in single.items():
                 counts["word", w, ""] += n
-            for (a, b), n in Counter(zip(clean, clean[1:])).items():
-                if n > 1 or "#" in (a, b):
-                    counts["pair", a, b] += n
+            for (a, b), n in pairs.items():
+                counts["pair", a, b] += n
             for w, n in Counter(TOKEN.findall("\n".join(texts[True]).lower())).items():
                 counts["scan", w, ""] += n
 

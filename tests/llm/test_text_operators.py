@@ -270,6 +270,13 @@ def test_scans(spark):
 # Problem 6
 
 
+def test_pairs_are_counted_in_any_batches(spark):
+    df = blocks(spark, ["тихий берег", "тихий берег"] * 4)
+    for parts in (1, 3, 8):
+        counts = {(r.a, r.b): r.n for r in scans.word_counts(df.repartition(parts)).where("kind = 'pair'").collect()}
+        assert counts == {("тихий", "берег"): 8}
+
+
 def test_personal(spark):
     luhn = "4111 1111 1111 1111"
     texts = [
