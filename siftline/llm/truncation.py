@@ -4,7 +4,8 @@ A stack automaton reads each whole text: quotes, brackets and markup push and po
 leaves behind: a broken character or escape, an entity or tag without its end, a mark of omission, an open bracket, a
 missing terminator. Whether a missing terminator means anything depends on baselines over all texts: how often the
 paragraphs of the source end with one, and whether the last line is one that texts end with (signatures, notes: such
-lines recur whole more often than as the beginning of longer lines).
+lines recur whole more often than as the beginning of longer lines). Copies of a text say nothing about how texts end:
+for the last lines, texts that are equal count once.
 
 Null and empty texts are not cut; a null source is a source of its own. Repeated rows give repeated results; extra
 columns are left out.
@@ -12,6 +13,7 @@ columns are left out.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -20,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import count_keys, map_rows
+from siftline.llm.common import map_rows
+from siftline.session import checkpoint
 
 #: A source whose paragraphs end with a terminator less often than this gives no evidence by lacking one.
 LEAST_TERMINATED = 0.6
@@ -81,66 +84,81 @@ def _head(line: str) -> str:
 
 
 def line_ends(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """A small row for each text: source, length, class of the end, template and head of a bare last line."""
+    """A small row for each text: its hash, source, length, class of the end, hash of the template and head of a bare last line."""
 
     def make():  # noqa: ANN202
         def step(rows: Iterator[tuple]) -> Iterable[tuple]:
-            for key, source, text in rows:
+            for key, text_key, source, text in rows:
                 kind, left_open = automaton(text)
                 last = text.rstrip().rpartition("\n")[2].strip()
                 bare = kind in ("bare", "item")
-                yield key, source, len(text), kind, left_open, NUMBERS.sub("#", last)[:200] if bare else None, _head(last) if bare else None, len(last)
+                whole = hashlib.blake2b(NUMBERS.sub("#", last).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if bare else None
+                yield key, text_key, source, len(text), kind, left_open, whole, _head(last) if bare else None, len(last)
 
         return step
 
-    chosen = docs.select(id_col, F.coalesce("source", F.lit("")).alias("source"), "text").where("text is not null and trim(text) <> ''")
+    chosen = docs.select(id_col, F.xxhash64("text").alias("text_key"), F.coalesce("source", F.lit("")).alias("source"), "text").where("text is not null and trim(text) <> ''")
     text, large = pa.string(), pa.int64()
     return map_rows(
-        chosen, make, f"{id_col} bigint, source string, chars bigint, kind string, left_open boolean, last_line string, head string, last_chars bigint",
-        [(id_col, large), ("source", text), ("chars", large), ("kind", text), ("left_open", pa.bool_()), ("last_line", text), ("head", text), ("last_chars", large)],
+        chosen, make, f"{id_col} bigint, text_key bigint, source string, chars bigint, kind string, left_open boolean, last_line string, head string, last_chars bigint",
+        [(id_col, large), ("text_key", large), ("source", text), ("chars", large), ("kind", text), ("left_open", pa.bool_()), ("last_line", text), ("head", text), ("last_chars", large)],
     )
 
 
-def line_counts(docs: DataFrame) -> DataFrame:
-    """Counts over all lines: paragraphs of each source and those with a terminator; heads of lines longer than they."""
+def line_counts(docs: DataFrame, wanted: set[str]) -> DataFrame:
+    """Counts over all lines: paragraphs of each source and those with a terminator; over the lines of distinct texts: those longer than a head, of the wanted heads."""
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def make():  # noqa: ANN202
-        def add(rows: Iterator[tuple], counts: Counter) -> None:
-            for source, text in rows:
+        chosen_heads = sent.value
+
+        def step(rows: Iterator[tuple]) -> Iterable[tuple]:
+            counts: Counter = Counter()
+            for text_key, source, text in rows:
+                heads: Counter = Counter()
                 lines = text.split("\n")
                 for k, line in enumerate(lines):
                     words = line.split()
                     if len(words) > HEAD_WORDS:
-                        counts["head", NUMBERS.sub("#", " ".join(words[:HEAD_WORDS]))] += 1
+                        heads[NUMBERS.sub("#", " ".join(words[:HEAD_WORDS]))] += 1
                         if len(words) > 8 and k < len(lines) - 1:
                             counts["paragraph", source] += 1
                             counts["terminated", source] += TERMINATED.search(line.rstrip()) is not None
                     # A line that breaks off within its first words is the beginning of these.
                     for n in range(1, min(HEAD_WORDS, len(words))):
-                        counts["head", NUMBERS.sub("#", " ".join(words[:n]))] += 1
+                        heads[NUMBERS.sub("#", " ".join(words[:n]))] += 1
+                for head in heads.keys() & chosen_heads:
+                    yield "head", head, text_key, heads[head]
+            for (what, source), n in counts.items():
+                yield what, source, None, n
 
-        return add
+        return step
 
-    chosen = docs.select(F.coalesce("source", F.lit("")).alias("source"), "text").where("text is not null and trim(text) <> ''")
-    return count_keys(chosen, make, ["what", "value"])
+    chosen = docs.select(F.xxhash64("text").alias("text_key"), F.coalesce("source", F.lit("")).alias("source"), "text").where("text is not null and trim(text) <> ''")
+    text, large = pa.string(), pa.int64()
+    made = map_rows(chosen, make, "what string, value string, text_key bigint, n bigint", [("what", text), ("value", text), ("text_key", large), ("n", large)])
+    # Copies of a text give the same count of a head; it counts once.
+    once = made.groupBy("what", "value", "text_key").agg(F.when(F.col("what") == "head", F.max("n")).otherwise(F.sum("n")).alias("n"))
+    return once.groupBy("what", "value").agg(F.sum("n").alias("n"))
 
 
 def mark_cut(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Each text with ``cut`` and ``evidence`` (broken, omitted, open, unterminated, or null)."""
-    ends, counts = line_ends(docs, id_col), line_counts(docs)
+    ends = checkpoint(line_ends(docs, id_col))
+    # Bare last lines that recur are few; they are compared with the heads of lines that go on.
+    total = ends.agg(F.count_distinct("text_key").alias("texts"))
+    times = ends.where("kind = 'bare'").groupBy("last_line", "head").agg(F.count_distinct("text_key").alias("times"))
+    whole = checkpoint(times.join(F.broadcast(total)).where(F.col("times") >= F.greatest(F.lit(LEAST_TIMES), F.col("texts") * LEAST_SHARE)))
+    counts = checkpoint(line_counts(docs, {r["head"] for r in whole.select("head").distinct().collect()}))
     heads = counts.where("what = 'head'").select(F.col("value").alias("head"), F.col("n").alias("heads"))
     base = (
         counts.where("what in ('paragraph', 'terminated')").groupBy("value")
         .agg(F.sum(F.when(F.col("what") == "terminated", F.col("n"))).alias("t"), F.sum(F.when(F.col("what") == "paragraph", F.col("n"))).alias("p"))
         .select(F.col("value").alias("source"), (F.col("t") / F.col("p")).alias("terminated_share"))
     )
-    # Bare last lines are few; their templates are counted and compared with the heads of lines that go on.
-    bare = ends.where("kind = 'bare'")
-    whole = bare.groupBy("last_line", "head").agg(F.count("*").alias("times"))
-    total = ends.agg(F.count("*").alias("texts"))
     usual = (
-        whole.join(heads, "head", "left").join(F.broadcast(total))
-        .where((F.col("times") >= F.greatest(F.lit(LEAST_TIMES), F.col("texts") * LEAST_SHARE)) & (F.col("times") * 2 > F.coalesce("heads", F.lit(0)) - F.when(F.size(F.split("last_line", " ")) < HEAD_WORDS, F.col("times")).otherwise(F.lit(0))))
+        whole.join(heads, "head", "left")
+        .where(F.col("times") * 2 > F.coalesce("heads", F.lit(0)) - F.when(F.size(F.split("head", " ")) < HEAD_WORDS, F.col("times")).otherwise(F.lit(0)))
         .select("last_line", F.lit(True).alias("usual_end"))
     )
     judged = ends.join(base, "source", "left").join(usual, "last_line", "left")

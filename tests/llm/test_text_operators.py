@@ -107,6 +107,16 @@ def test_cut_texts(spark):
     assert truncation.mark_cut(df.limit(0)).count() == 0
 
 
+def test_copies_and_long_lines_are_no_usual_ends(spark):
+    whole = [(k, "s", t) for k, t in enumerate(dict.fromkeys(corpus(2, 60)))]
+    copies = [(200 + k, "s", RU[0] + "\nОператоры архива закрыли журнал обращ") for k in range(40)]
+    long = [(300 + k, "s", RU[1] + "\n" + "Кладовщики склада сверили карточки контрагентов " * 6 + RU[k][:12]) for k in range(4)]
+    # An ending stays one if one of its texts has many copies.
+    signed = [(400 + k, "s", whole[min(k, 4)][2] + "\nС уважением, Ваш отдел продаж") for k in range(40)]
+    df = spark.createDataFrame(whole + copies + long + signed, DOC)
+    assert {r.doc_id for r in truncation.mark_cut(df).where("cut").collect()} == {k for k, *_ in copies + long}
+
+
 def test_automaton_sees_open_pairs():
     assert truncation.automaton("Система «Сан")[1] and not truncation.automaton("Система «Сан».")[1]
 
