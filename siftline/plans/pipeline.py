@@ -26,10 +26,10 @@ class Scan:
 
 
 def typed_blocks(blocks: DataFrame) -> DataFrame:
-    """Blocks with the columns that scoring looks at."""
+    """Blocks with the columns that scoring looks at. Whether a payload looks like a document is told by its recognised text; there is no OCR engine."""
     return blocks.withColumns({
         "block_id": F.xxhash64("file_path", "block_index", "extraction_method"), "ocr": F.lit(False), "embedded_payload": F.exists("warnings", lambda w: w.startswith("embedded")),
-        "embedded_document_like": F.lit(False), "table_semantic_hints": F.lit(None).cast("map<string,int>"), "physical_person_mentions": F.lit(0),
+        "embedded_document_like": F.lit(False),
     })
 
 

@@ -12,6 +12,7 @@ import io
 import json
 import re
 import zipfile
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import unquote
@@ -22,11 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.operators.formats import IGNORED
+from siftline.operators.rows import ADDRESS, CONTACT, IDENTIFIER, PERSON, PHYSICAL
 from siftline.settings import setting
 
-Block = tuple[str, str | None, list[str]]
-BLOCK_DDL = "file_path string, source_type string, block_index int, extraction_method string, text string, page_or_sheet string, warnings array<string>"
-BLOCK_ARROW = pa.schema([("file_path", pa.string()), ("source_type", pa.string()), ("block_index", pa.int32()), ("extraction_method", pa.string()), ("text", pa.string()), ("page_or_sheet", pa.string()), ("warnings", pa.list_(pa.string()))])
+#: Text, place and warnings; blocks of tables have hints with their lines, and mentions of physical persons, too.
+Block = tuple[str, str | None, list[str]] | tuple[str, str | None, list[str], dict[str, int], int]
+BLOCK_DDL = "file_path string, source_type string, block_index int, extraction_method string, text string, page_or_sheet string, warnings array<string>, table_semantic_hints map<string,int>, physical_person_mentions int"
+BLOCK_ARROW = pa.schema([("file_path", pa.string()), ("source_type", pa.string()), ("block_index", pa.int32()), ("extraction_method", pa.string()), ("text", pa.string()), ("page_or_sheet", pa.string()), ("warnings", pa.list_(pa.string())), ("table_semantic_hints", pa.map_(pa.string(), pa.int32())), ("physical_person_mentions", pa.int32())])
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
@@ -84,21 +87,41 @@ def _text_blocks(text: str) -> Iterator[Block]:
         yield chunk, None, []
 
 
-def _row_blocks(rows: Iterable[list[str]], sheet: str | None = None, header: bool = True) -> Iterator[Block]:
+def _has_any(names: Iterable[str], words: list[str]) -> bool:
+    return any(w in n for n in names for w in words)
+
+
+def row_hints(names: list[str], cells: list[str], line: str) -> tuple[list[str], int]:
+    """(hints of a table's line by its columns and values, mentions of physical persons)."""
+    low = [n.casefold() for n in names]
+    persons = sum(line.casefold().count(w) for w in PHYSICAL[:3])
+    hints = [h for h, words in (("person_name_column", PERSON), ("address_column", ADDRESS), ("contact_column", CONTACT), ("identifier_column", IDENTIFIER), ("person_type_column", PHYSICAL)) if _has_any(low, words)]
+    if persons:
+        hints.append("physical_person_rows")
+    if any(re.search(r"\d", c) and _has_any([n], IDENTIFIER + ADDRESS) for n, c in zip(low, cells, strict=False)):
+        hints.append("sensitive_column_value")
+    return hints, persons
+
+
+def _row_blocks(rows: Iterable[list[str]], sheet: str | None = None, header: bool = True, columns: list[str] | None = None) -> Iterator[Block]:
     """Rows as ``name: value`` lines; a block holds so many lines, and its place is the range of its rows."""
-    most, names, lines, begun, at = setting("limits.block_lines"), None, [], 1, 0
+    most, names, lines, begun, at = setting("limits.block_lines"), columns, [], 1, 0
+    hints, persons = Counter(), 0
     for at, row in enumerate(rows, 1):
         cells = [c.strip() for c in row]
         if not any(cells):
             continue
         if header and names is None and sum(bool(c) for c in cells) > 1 and not any(re.search(r"\d", c) for c in cells):
             names = [c for c in cells if c]
-        lines.append(" | ".join(f"{names[k]}: {c}" if names and at > 1 and k < len(names) else c for k, c in enumerate(cells) if c))
+        lines.append(" | ".join(f"{names[k]}: {c}" if names and (columns or at > 1) and k < len(names) else c for k, c in enumerate(cells) if c))
+        found, more = row_hints(names or [], cells, lines[-1])
+        hints.update(found)
+        persons += more
         if len(lines) == most:
-            yield "\n".join(lines), f"{sheet + ', ' if sheet else ''}rows {begun}-{at}", []
-            lines, begun = [], at + 1
+            yield "\n".join(lines), f"{sheet + ', ' if sheet else ''}rows {begun}-{at}", [], dict(hints), persons
+            lines, begun, hints, persons = [], at + 1, Counter(), 0
     if lines:
-        yield "\n".join(lines), f"{sheet + ', ' if sheet else ''}rows {begun}-{at}", []
+        yield "\n".join(lines), f"{sheet + ', ' if sheet else ''}rows {begun}-{at}", [], dict(hints), persons
 
 
 class _Visible(HTMLParser):
@@ -183,9 +206,9 @@ def parquet_rows(raw: bytes, name: str) -> Iterator[Block]:
         for row in batch.to_pylist():
             if len(rows) == most:
                 break
-            rows.append([f"{k}: {v}" for k, v in row.items()])
+            rows.append([str(v) for v in row.values()])
     more = ["truncated"] if file.metadata.num_rows > most else []
-    yield from ((t, p, more) for t, p, _ in _row_blocks(rows, header=False))
+    yield from ((t, p, more, *hints) for t, p, _, *hints in _row_blocks(rows, columns=file.schema_arrow.names))
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -276,7 +299,7 @@ def extract(files: DataFrame) -> DataFrame:
                     blocks = list(work(content or b"", name or "")) if work else [("", None, [f"no extractor {extractor}"])]
                 except Exception as error:  # noqa: BLE001  one bad file must not end the job
                     blocks = [("", None, [f"{type(error).__name__}: {error}"[:300]])]
-                rows += [(path, kind, k, extractor, text, place, warnings) for k, (text, place, warnings) in enumerate(blocks)]
+                rows += [(path, kind, k, extractor, text, place, warnings, *(hints or (None, 0))) for k, (text, place, warnings, *hints) in enumerate(blocks)]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(BLOCK_ARROW)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, BLOCK_ARROW, strict=True)], schema=BLOCK_ARROW)
 

@@ -228,6 +228,20 @@ def test_scan_folder(spark, share, tmp_path):
     assert "clients.csv" in risk.report(scan.assessed, "submit_path", "Files", 5)
 
 
+def test_scan_scores_table_hints(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "table.csv").write_text("fio;address;phone;passport\n" + "Анна;Лесная, 7;нет;есть 12\nБорис, физическое лицо;Речная;нет;нет\n", "utf-8")
+    (tmp_path / "plain.csv").write_text("colour;size\nred;big\nblue;small\n", "utf-8")
+    pq.write_table(pa.table({"client_name": ["Анна"], "home_address": ["Лесная"]}), tmp_path / "table.parquet")
+    rows = {r.file_path.rpartition("/")[2]: r for r in pipeline.scan_folder(spark, str(tmp_path)).assessed.collect()}
+    rules = {name: {h.rule for h in r.rule_hits} for name, r in rows.items()}
+    assert {"table_sensitive_schema", "table_physical_person_names", "table_name_address_schema", "table_name_contact_schema"} <= rules["table.csv"]
+    assert (rows["table.csv"].person_name_column, rows["table.csv"].sensitive_column_value, rows["table.csv"].physical_person_rows) == (3, 1, 2)
+    assert "table_name_address_schema" in rules["table.parquet"] and not {r for r in rules["plain.csv"] if r.startswith("table_")}
+
+
 def test_extractors_never_fail(spark):
     df = spark.createDataFrame([("/x.docx", "x.docx", "docx_text_extractor", bytearray(b"junk")), ("/y", "y", "no_such", bytearray(b"")), ("/z.pdf", "z.pdf", "pdf_text_extractor", None)], "path string, name string, extractor string, content binary")
     made = files.extract(df).collect()
