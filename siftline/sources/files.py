@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import json
 import re
 import zipfile
@@ -200,15 +201,9 @@ def json_text(raw: bytes, name: str) -> Iterator[Block]:
 def parquet_rows(raw: bytes, name: str) -> Iterator[Block]:
     import pyarrow.parquet as pq
 
-    most, rows = setting("limits.parquet_rows"), []
     file = pq.ParquetFile(io.BytesIO(raw))
-    for batch in file.iter_batches(min(most, 1000)):
-        for row in batch.to_pylist():
-            if len(rows) == most:
-                break
-            rows.append([str(v) for v in row.values()])
-    more = ["truncated"] if file.metadata.num_rows > most else []
-    yield from ((t, p, more, *hints) for t, p, _, *hints in _row_blocks(rows, columns=file.schema_arrow.names))
+    rows = ([str(v) for v in row] for batch in file.iter_batches(1000) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    return _row_blocks(rows, columns=file.schema_arrow.names)
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -276,7 +271,7 @@ def pdf(raw: bytes, name: str) -> Iterator[Block]:
         yield "", None, ["no PDF engine installed"]
         return
     with fitz.open(stream=raw, filetype="pdf") as file:
-        for k, page in zip(range(8), file, strict=False):
+        for k, page in enumerate(file):
             text = page.get_text()
             yield text, str(k + 1), [] if text.strip() else ["empty page"]
 
@@ -287,20 +282,30 @@ EXTRACTORS: dict[str, tuple[str, Callable[[bytes, str], Iterator[Block]]]] = {
 }
 
 
+#: Blocks that are held before they are handed on: a file may unpack to much more than its size.
+HELD_BLOCKS = 64
+
+
+def _blocks_of(path: str, name: str | None, extractor: str, content: bytes | None) -> Iterator[tuple]:
+    """The blocks of a file one by one; what it gave before an error is kept."""
+    kind, work = EXTRACTORS.get(extractor, ("file", None))
+    k = 0
+    try:
+        for text, place, warnings, *hints in work(content or b"", name or "") if work else [("", None, [f"no extractor {extractor}"])]:
+            yield path, kind, k, extractor, text, place, warnings, *(hints or (None, 0))
+            k += 1
+    except Exception as error:  # noqa: BLE001  one bad file must not end the job
+        yield path, kind, k, extractor, "", None, [f"{type(error).__name__}: {error}"[:300]], None, 0
+
+
 def extract(files: DataFrame) -> DataFrame:
     """Text blocks of files with path, name, extractor and content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, name, extractor, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                kind, work = EXTRACTORS.get(extractor, ("file", None))
-                try:
-                    blocks = list(work(content or b"", name or "")) if work else [("", None, [f"no extractor {extractor}"])]
-                except Exception as error:  # noqa: BLE001  one bad file must not end the job
-                    blocks = [("", None, [f"{type(error).__name__}: {error}"[:300]])]
-                rows += [(path, kind, k, extractor, text, place, warnings, *(hints or (None, 0))) for k, (text, place, warnings, *hints) in enumerate(blocks)]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(BLOCK_ARROW)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, BLOCK_ARROW, strict=True)], schema=BLOCK_ARROW)
+            blocks = (b for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for b in _blocks_of(*row))
+            while rows := list(itertools.islice(blocks, HELD_BLOCKS)):
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, BLOCK_ARROW, strict=True)], schema=BLOCK_ARROW)
 
     return files.select("path", "name", "extractor", "content").mapInArrow(run, BLOCK_DDL)

@@ -242,6 +242,26 @@ def test_scan_scores_table_hints(spark, tmp_path):
     assert "table_name_address_schema" in rules["table.parquet"] and not {r for r in rules["plain.csv"] if r.startswith("table_")}
 
 
+def test_every_page_and_row_is_read(spark, monkeypatch):
+    import contextlib
+    import io
+    import sys
+    import types
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    held = io.BytesIO()
+    pq.write_table(pa.table({"a": [f"row{k}." for k in range(40_100)]}), held)
+    df = spark.createDataFrame([("/x.parquet", "x.parquet", "parquet_extractor", bytearray(held.getvalue()))], "path string, name string, extractor string, content binary")
+    made = sorted(files.extract(df).collect(), key=lambda r: r.block_index)
+    assert [r.block_index for r in made] == list(range(161)) and not any(r.warnings for r in made)
+    assert "\n".join(r.text for r in made).split("\n") == [f"a: row{k}." for k in range(40_100)]
+    pages = [types.SimpleNamespace(get_text=lambda k=k: f"page {k}") for k in range(1, 13)]
+    monkeypatch.setitem(sys.modules, "fitz", types.SimpleNamespace(open=lambda **_: contextlib.nullcontext(pages)))
+    assert [(b[0], b[1]) for b in files.pdf(b"", "x.pdf")] == [(f"page {k}", str(k)) for k in range(1, 13)]
+
+
 def test_extractors_never_fail(spark):
     df = spark.createDataFrame([("/x.docx", "x.docx", "docx_text_extractor", bytearray(b"junk")), ("/y", "y", "no_such", bytearray(b"")), ("/z.pdf", "z.pdf", "pdf_text_extractor", None)], "path string, name string, extractor string, content binary")
     made = files.extract(df).collect()
