@@ -1,9 +1,10 @@
 """Problem 7: text that was decoded with the wrong code page.
 
 A swap of code pages is a substitution cipher: each symbol of the garbled text stands for a letter (or, from UTF-8, a
-group of symbols does). Every pair of code pages is one cipher to begin with. For each source, expectation-maximisation
-against letter bigrams learns how often each cipher occurs there, and the letters of symbols that a cipher leaves open
-(bytes that a code page lacks). The bigrams come from the words of all texts, without words that some cipher turns into
+group of symbols does). Every listed pair of code pages is one cipher, with a fixed table. For each source,
+expectation-maximisation against letter bigrams learns how often each cipher occurs there; tables are not learned, so a
+swap through a page that is not listed is found only where a listed cipher happens to fit. The letters of symbols that a
+cipher leaves open (bytes that a code page lacks) are set at restoring, by the bigrams of all sources. The bigrams come from the words of all texts, without words that some cipher turns into
 much more frequent ones. A word is garbled if its translation is likelier than itself by a margin; a record is garbled if
 its words are in sum, or if characters were lost (replacement characters, question marks in place of letters). Restoring
 applies the cipher's table with str.translate, line by line; lost characters stay.
@@ -128,7 +129,7 @@ class Bigrams:
 
 
 class Restorer:
-    """Language bigrams and, for each source, the learned ciphers with their probabilities."""
+    """Language bigrams and, for each source, the learned probabilities of the ciphers."""
 
     def __init__(self, counts: dict[str, dict[str, int]]) -> None:
         total: Counter = Counter()
@@ -156,7 +157,7 @@ class Restorer:
         return out
 
     def _em(self, own: dict[str, int]) -> dict[int, float]:
-        """Shares of the ciphers among the source's suspicious words, and letters for the symbols that they leave open."""
+        """Shares of the ciphers among the source's suspicious words."""
         bad = []
         for word, n in own.items():
             odd = frozenset(ODD.findall(word))
