@@ -7,7 +7,8 @@ item) is verified with the exact weighted-shingle similarity (word pairs, weighe
 passage and by the number of the item's words that the passage holds in their order, by local alignment.
 
 Before hashing, windows of whose weight less than LEAST_KNOWN lies in item words are left out; a passage with half an
-item's words in one piece has windows above that share, so no match is lost. Items are taken in blocks of ITEM_BLOCK, each against all documents,
+item's words in one piece has windows above that share, so this loses no match. The radius may: a passage of about half
+an item with a word changed in every 12 or fewer can have no window within 7 bits. Items are taken in blocks of ITEM_BLOCK, each against all documents,
 so what is sent to the tasks is bounded however many items there are.
 
 Null and empty documents and items match nothing; repeated rows give repeated results; extra columns are left out.
