@@ -161,7 +161,6 @@ class Channel:
             while at >= 0:
                 places.append((at, c))
                 at = word.find(c[0], at + 1)
-        places = places[:14]
         for at, c in places:
             yield word[:at] + c[1] + word[at + len(c[0]) :], self.rates[c], (c,)
         if any(word[:at] + c[1] + word[at + len(c[0]) :] in self.words for at, c in places):

@@ -287,6 +287,11 @@ def test_pairs_are_counted_in_any_batches(spark):
         assert counts == {("тихий", "берег"): 8}
 
 
+def test_every_confusable_place_is_tried():
+    channel = scans.Channel({"л" * 15 + "ш": 50, "слово": 100}, {}, {})
+    assert "л" * 15 + "ш" in {w for w, *_ in channel.candidates("л" * 15 + "щ")}
+
+
 def test_personal(spark):
     luhn = "4111 1111 1111 1111"
     texts = [
