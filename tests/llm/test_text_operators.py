@@ -227,16 +227,42 @@ def test_boilerplate(spark):
     assert bodies[0] == "\n".join(body[0]) and bodies[7] == ""
 
 
-def test_expressions_merge_in_any_order():
-    pages = [boilerplate.Expression.of_page([boilerplate.token(x) for x in page(k, [], None).split("\n")]) for k in range(6)]
-    left, right = boilerplate.Expression(), boilerplate.Expression()
-    for p in pages[:3]:
-        left.fold(p)
-    for p in pages[3:]:
-        right.fold(p)
-    left.fold(right)
-    counts = {n[0]: n[1] for n in left.nodes}
-    assert left.pages == 6 and counts["Главная"] == 6 and counts["Остаток мест: #"] == 2
+def test_the_order_of_a_wrapper_decides(spark):
+    """Two hosts with the same lines equally often: a menu's word is furniture in its place and body within the text."""
+    menu, texts, paths = ["Сайт Ошви", "Главная", "Новости", "Контакты"], [], []
+    for host in ("one", "two"):
+        for k in range(70):
+            head, own = list(menu), [RU[i] * 2 + f" Дело {name(k * 3 + i)}." for i in range(3)]
+            if k == 69:
+                own[0:0] = [f"Записка {name(k)}"]
+                if host == "two":
+                    head.remove("Новости")
+                    own[2:2] = ["Новости"]
+            texts.append("\n".join([*head, *own, "Наверх"]))
+            paths.append(f"/share/site_{host}/p{k}.html")
+    found = {(r.block_id, r.line_no) for r in boilerplate.furniture_lines(blocks(spark, texts, kind="html", path=paths)).collect()}
+    lines = lambda k: [x for n, x in enumerate(texts[k].split("\n")) if (k, n) in found]
+    assert lines(69) == [*menu, "Наверх"] and lines(139) == ["Сайт Ошви", "Главная", "Контакты", "Наверх"]
+
+
+def test_other_orders_become_repeated_groups():
+    streams = [(5.0, [[k, 5.0] for k in (1, 2, 3, 4)]), (4.0, [[k, 4.0] for k in (1, 3, 2, 4)]), (3.0, [[k, 3.0] for k in (1, 4)])]
+    _, nodes = boilerplate.align_all(streams)
+    groups = boilerplate.grouped(nodes)
+    assert [again for again, _ in groups] == [False, True, False] and set(groups[1][1]) == {2, 3}
+    assert boilerplate.align_all(streams[::-1])[1] == nodes
+
+
+def test_wrappers_do_not_depend_on_rows_or_batches(spark):
+    rng = random.Random(3)
+    texts = [page(k, [f"Записка о переносе Лек{name(k * 3)}", " ".join(rng.sample(RU, 3))], rng) for k in range(40)]
+    df = blocks(spark, texts, kind="html", path=[f"/share/site_{k % 3}/p{k}.html" for k in range(40)])
+    rows = []
+    for parts, size in ((1, "10000"), (5, "2")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        rows.append(sorted((r.block_id, r.line_no) for r in boilerplate.furniture_lines(df.orderBy(F.rand(parts)).repartition(parts)).collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert rows[0] == rows[1] and rows[0]
 
 
 # Problem 7
