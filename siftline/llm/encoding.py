@@ -1,13 +1,15 @@
 """Problem 7: text that was decoded with the wrong code page.
 
 A swap of code pages is a substitution cipher: each symbol of the garbled text stands for a letter (or, from UTF-8, a
-group of symbols does). Every listed pair of code pages is one cipher, with a fixed table. For each source,
-expectation-maximisation against letter bigrams learns how often each cipher occurs there; tables are not learned, so a
-swap through a page that is not listed is found only where a listed cipher happens to fit. The letters of symbols that a
-cipher leaves open (bytes that a code page lacks) are set at restoring, by the bigrams of all sources. The bigrams come from the words of all texts, without words that some cipher turns into
-much more frequent ones. A word is garbled if its translation is likelier than itself by a margin; a record is garbled if
-its words are in sum, or if characters were lost (replacement characters, question marks in place of letters). Restoring
-applies the cipher's table with str.translate, line by line; lost characters stay.
+group of symbols does). Known pairs of code pages are ciphers whose tables are given; for each source,
+expectation-maximisation against letter bigrams learns how often each of them occurs there. Words of a source that no
+known cipher explains are taken for an unknown one: its byte-to-letter table is learned from these words by
+expectation-maximisation against the bigrams (see ``ciphers``), started from the nearest known table and from letter
+frequencies, again and again until what is left makes no words. The bigrams come from the words of all texts, without
+those that some cipher, known or learned, turns into much more frequent ones. A word is garbled if its translation is
+likelier than itself by a margin; a record is garbled if its words are in sum, or if characters were lost (replacement
+characters, question marks in place of letters). Restoring applies the cipher's table with str.translate, line by line;
+lost characters are set where the bigrams leave no doubt.
 
 Null and empty texts are not garbled. Repeated rows give repeated results; extra columns are left out.
 """
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.llm.ciphers import Learner, Letters, completed
 from siftline.llm.common import Memo, count_keys, map_rows
 
 #: Code pages that texts were written in, and those they were read as.
@@ -34,6 +37,8 @@ TOKEN = re.compile(r"[^ \n\t\r]+")
 ODD = re.compile(r"[^\x00-\x7f]")
 NONE = re.compile(r"(?<![\w?])\?{2,}[,.;:)»]*(?![\w?])")
 EDGE = ".,;:!?()\"'«»/|[]-_0123456789 ·•№©—–…=<>"
+LETTERS = re.compile(rf"(?:[^\W\d_]|[-'’{LOST}])+")
+MIXED = re.compile("[Ѐ-ӿ][A-Za-z]|[A-Za-z][Ѐ-ӿ]")
 MISREAD = re.compile(r"[^\W\d_]\d|\d[^\W\d_]")
 SOFT, BLANK = re.compile("[\u00a0\u00ad\u2000-\u200f\u202f\u2060\u3000\ufeff]"), re.compile("[\u00a0\u2000-\u200a\u202f\u3000]")
 #: A word belongs to the vocabulary from this share of all words on, which bounds it; a garbled word's translation is that much more frequent.
@@ -49,6 +54,14 @@ NAMES, SHORT = "file names", 200
 #: Letters of two alphabets with one look (problem 2, not garbled): fixed values.
 _C, _L = "аеорсухіјѕАВЕКМНОРСТХІЈЅУ", "aeopcyxijsABEKMHOPCTXIJSY"
 LOOKS = (str.maketrans(_L + "οΟαΑΒΕΗΚΜΡΤΧ", _C + "оОаАВЕНКМРТХ"), str.maketrans(_C + "οΟαΑΒΕΗΚΜΡΤΧ", _L + "oOaABEHKMPTX"))
+#: The most frequent words that together make up this share of all words are sound enough to learn from.
+SAFE = 0.8
+#: Standard deviations by which the mean bigram of a word falls short of sound words' for an unknown cipher to be looked for.
+STRANGE = 2.0
+#: Words of an unknown cipher are learned from if they make up this share of the source's words.
+LEARN_SHARE = 2e-6
+#: Nats by which a word must be likelier in translation to be one of a learned cipher's.
+OWN = 2.0
 #: Question marks in place of whole words from which letters were lost.
 MARKS = 3
 
@@ -96,6 +109,19 @@ class Cipher:
         return out if out != text and out.count(LOST) <= odd + (odd > 0) and out != LOST * len(out) else None
 
 
+class Learned:
+    """A cipher whose table was learned."""
+
+    wide = False
+
+    def __init__(self, name: str, letters: dict[str, str]) -> None:
+        self.name, self.table, self.symbols = name, {ord(s): c for s, c in letters.items()}, frozenset(letters) | {LOST}
+
+    def undo(self, text: str) -> str | None:
+        out = text.translate(self.table)
+        return out if out != text else None
+
+
 CIPHERS = [Cipher(a, b) for a in WRITTEN for b in READ if a != b]
 
 
@@ -135,38 +161,82 @@ class Restorer:
         total: Counter = Counter()
         for own in counts.values():
             total.update(own)
-        clean = self._clean(total)
+        clean = self._clean(total, CIPHERS)
+        #: The ciphers of each source: the known ones and those learned from its words.
+        self.letters: dict[str, list[Learned]] = {source: found for source, own in counts.items() if (found := self._learn(source, own, clean))}
+        if self.letters:
+            clean = self._clean(total, [*CIPHERS, *(c for own in self.letters.values() for c in own)])
         self.bigrams, self.sound = Bigrams(clean), {w for w, n in clean if n > SOUND}
-        self.prior: dict[str, dict[int, float]] = {}
-        self.letters: dict[int, dict[str, str]] = defaultdict(dict)
         # A floor for every cipher: the first garbled record of a kind must be found too.
-        for source, own in counts.items():
-            self.prior[source] = self._em(own)
+        self.prior = {source: self._em(own, self.ciphers(source)) for source, own in counts.items()}
+
+    def ciphers(self, source: str) -> list[Cipher | Learned]:
+        return [*CIPHERS, *self.letters.get(source, ())]
 
     @staticmethod
-    def _clean(total: Counter) -> list[tuple[str, int]]:
-        """Words that no cipher turns into much more frequent ones."""
+    def _clean(total: Counter, ciphers: list[Cipher | Learned]) -> list[tuple[str, int]]:
+        """Words that no cipher turns into more frequent ones: much more for a known one, which fits many a word by chance."""
         out = []
         for word, n in total.items():
             if LOST in word:
                 continue
             odd = frozenset(ODD.findall(word))
-            if odd and any(odd <= c.symbols and (t := c.undo(word)) is not None and LOST not in t and total.get(core(t), 0) >= TIMES * n for c in CIPHERS):
+            if odd and any(odd <= c.symbols and (t := c.undo(word)) is not None and LOST not in t and total.get(core(t), 0) >= (TIMES if isinstance(c, Cipher) else 1) * n for c in ciphers):
                 continue
             out.append((word, n))
         return out
 
-    def _em(self, own: dict[str, int]) -> dict[int, float]:
+    @staticmethod
+    def _learn(source: str, own: dict[str, int], clean: list[tuple[str, int]]) -> list[Learned]:
+        """Tables of unknown ciphers of a source, learned from the words that look like no language and that no known cipher explains."""
+        size, run, safe = sum(own.values()), 0, []
+        for word, n in sorted(clean, key=lambda x: (-own.get(x[0], 0), x[0])):
+            # Words of other sources are sound, and the most frequent ones of its own.
+            if (n - own.get(word, 0) > 0) or run <= SAFE * size:
+                safe.append((word, n))
+            run += own.get(word, 0)
+        model, known = Bigrams(safe), {w: n for w, n in safe if w[0].isalpha()}
+        mean = lambda w: model.score(w) / (len(w) + 1)
+        usual = [(mean(w), n) for w, n in known.items() if len(w) > 2 and not w.isascii()]
+        if not usual:
+            return []
+        weight = sum(n for _, n in usual)
+        middle = sum(m * n for m, n in usual) / weight
+        least = middle - STRANGE * math.sqrt(sum(n * (m - middle) ** 2 for m, n in usual) / weight)
+
+        def odd(word: str) -> bool:
+            if len(word) < 3 or word.isascii() or LOST in word or word in known or MISREAD.search(word) or SOFT.search(word) or mean(word) >= least:
+                return False
+            if any((plain := word.translate(table)) != word and mean(plain) >= least for table in LOOKS):
+                return False  # look-alike letters
+            base, signs = model.score(word), frozenset(ODD.findall(word))
+            return not any(signs <= c.symbols and (t := c.undo(word)) is not None and len(core(t)) > 2 and mean(core(t)) >= least and model.score(core(t)) > base + WORD for c in CIPHERS)
+
+        left, out = {w: n for w, n in own.items() if n >= LEARN_SHARE * size and odd(w)}, []
+        letters = Letters(safe) if left else None
+        while left:
+            table = Learner(letters, left).learn([{chr(s): c for s, c in k.table.items()} for k in CIPHERS if not k.wide], known, lambda w, made: model.score(made) - model.score(w) > OWN)
+            if table is None:
+                break
+            table, pair = completed(table, {w: n for w, n in left.items() if (t := w.translate(str.maketrans(table))) != w and model.score(t) > model.score(w) + OWN})
+            out.append(Learned(f"learned: {pair or len(out) + 1}", table))
+            rest = {w: n for w, n in left.items() if (t := out[-1].undo(w)) is None or model.score(t) <= model.score(w) + OWN}
+            if len(rest) == len(left):
+                break
+            left = rest
+        return out
+
+    def _em(self, own: dict[str, int], ciphers: list[Cipher | Learned]) -> dict[int, float]:
         """Shares of the ciphers among the source's suspicious words."""
         bad = []
         for word, n in own.items():
             odd = frozenset(ODD.findall(word))
             if odd and word not in self.sound and min(self.bigrams.steps(word)) < COMMON:
                 base = self.bigrams.score(word)
-                found = [(k, t, s - base) for k, c in enumerate(CIPHERS) if odd <= c.symbols and (t := c.undo(word)) is not None and (s := self.bigrams.score(core(t))) > base + WORD]
+                found = [(k, t, s - base) for k, c in enumerate(ciphers) if odd <= c.symbols and (t := c.undo(word)) is not None and (s := self.bigrams.score(core(t))) > base + WORD]
                 if found:
                     bad.append((n, found))
-        prior = dict.fromkeys(range(len(CIPHERS)), 1 / len(CIPHERS))
+        prior = dict.fromkeys(range(len(ciphers)), 1 / len(ciphers))
         for _ in range(15):
             got: Counter = Counter()
             for n, found in bad:
@@ -176,7 +246,7 @@ class Restorer:
                 for k, w in weights:
                     got[k] += n * w / mass
             size = sum(got.values())
-            prior = {k: (got[k] + 0.01 * max(size, 1)) / (size + 0.01 * max(size, 1) * len(CIPHERS)) for k in prior}
+            prior = {k: (got[k] + 0.01 * max(size, 1)) / (size + 0.01 * max(size, 1) * len(ciphers)) for k in prior}
         return prior
 
     def open_letters(self, cipher: int, text: str) -> str:
@@ -208,15 +278,19 @@ class Restorer:
             plain = core(SOFT.sub("", unicodedata.normalize("NFKC", inner).translate(table)))
             if plain != inner and (plain in self.sound or min(self.bigrams.steps(plain)) >= COMMON):
                 return -1, 0.0
+            if MIXED.search(inner) and not MIXED.search(plain):
+                return -1, 0.0  # letters of two alphabets that look alike, in a word of one
         base, prior = sum(steps), self.prior.get(source) or self.prior.get("", {})
         best = (-1, 0.0)
-        for k in self.order[source]:
-            translated = CIPHERS[k].undo(inner) if odd <= CIPHERS[k].symbols else None
+        for k, cipher in self.order[source]:
+            translated = cipher.undo(inner) if odd <= cipher.symbols else None
             if translated is None:
                 continue
             made = core(translated)
+            if LETTERS.fullmatch(inner) and not LETTERS.fullmatch(made):
+                continue  # letters do not come from signs
             score = self.bigrams.score(made) - base
-            if CIPHERS[k].wide and (again := CIPHERS[k].undo(translated)) is not None:
+            if cipher.wide and (again := cipher.undo(translated)) is not None:
                 score = max(score, self.bigrams.score(core(again)) - base)
             score += max(math.log(prior.get(k, 1e-3)), -5.0)
             if score > best[1]:
@@ -225,7 +299,7 @@ class Restorer:
 
     def start(self) -> None:
         """Caches of a task."""
-        self.order = Memo(lambda source: sorted(range(len(CIPHERS)), key=lambda k: -(self.prior.get(source) or {}).get(k, 0.0)))
+        self.order = Memo(lambda source: sorted(enumerate(self.ciphers(source)), key=lambda c: -(self.prior.get(source) or {}).get(c[0], 0.0)))
         self.known = Memo(lambda key: self.judge(*key), 400_000)
 
     def record(self, source: str, text: str) -> tuple[bool, int, float]:
@@ -251,7 +325,7 @@ class Restorer:
         _, k, _ = self.record(source, text)
         if k < 0:
             return text
-        cipher, lines = CIPHERS[k], []
+        cipher, lines = self.ciphers(source)[k], []
         for line in text.split("\n"):
             words = [w for w in TOKEN.findall(line) if ODD.search(w)]
             bad = [w for w in words if self.known[source, w][0] >= 0]
@@ -312,7 +386,7 @@ def garbled(found: DataFrame, model: Restorer, restore: bool = False) -> DataFra
             for table, key, source, text in rows:
                 bad, k, nats = held.record(source, text)
                 if bad:
-                    yield table, key, CIPHERS[k].name if k >= 0 else None, round(nats, 3), held.restore(source, text) if restore else None
+                    yield table, key, held.ciphers(source)[k].name if k >= 0 else None, round(nats, 3), held.restore(source, text) if restore else None
 
         return step
 

@@ -284,6 +284,57 @@ def test_encodings(spark):
     assert encoding.garbled(found.limit(0), encoding.fit(found.limit(0))).count() == 0
 
 
+MORE = [
+    "инженеры эксплуатации передали инструкцию по хранению в общем каталоге", "аналитики закупок сверили журнал обращений и график отключений", "юристы блока поставок закрыли папку с черновиками на сетевом диске",
+    "кураторы договоров опечатали шаблоны уведомлений из-за нехватки места", "разработчики выгрузки вернули на доработку справочник подразделений", "расшифровка записей останется за филиалом до конца месяца",
+]
+
+
+@pytest.mark.parametrize("page", ["permutation", "cp1254"])
+def test_unknown_ciphers_are_learned(spark, page):
+    """Swaps that no listed pair of code pages makes: letters at random, and a page outside the list."""
+    rng = random.Random(11)
+    letters = list("абвгдежзийклмнопрстуфхцчшщьыэюя")
+    mixed = rng.sample(letters, len(letters))
+    swap = (lambda t: t.translate(str.maketrans("".join(letters), "".join(mixed)))) if page == "permutation" else lambda t: t.encode("cp1251").decode("cp1254")
+    texts = [". ".join(rng.sample(MORE, 4)) + "." for _ in range(200)]
+    bad = [swap(t) for t in texts[:25]]
+    found = encoding.texts(blocks(spark, texts[25:] + bad), spark.createDataFrame([], "scan_id long, decoded_name string"))
+    model = encoding.fit(found)
+    assert model.letters
+    made = {r.rec_id: r.restored for r in encoding.garbled(found, model, restore=True).collect()}
+    assert set(made) == set(range(175, 200))
+    assert [made[175 + k] for k in range(25)] == texts[:25]
+
+
+def test_ciphers_against_brute_force():
+    """Forward-backward gives the sums over all hidden words."""
+    import numpy as np
+
+    from siftline.llm.ciphers import Learner, Letters
+
+    letters = Letters([("аба", 5), ("бав", 3), ("вваб", 2)])
+    learner = Learner(letters, {"хуц": 2, "ух": 1, "цуху": 3})
+    emit = learner.from_frequencies(1)
+    got, value = learner.step(emit)
+    want, total = np.zeros_like(got), 0.0
+    for word, n in learner.words.items():
+        ways = {}
+        for path in itertools.product(range(len(letters.states)), repeat=len(word)):
+            p = letters.first[path[0]] * letters.last[path[-1]]
+            for a, b in zip(path, path[1:]):
+                p *= letters.move[a, b]
+            for s, c in zip(path, word, strict=True):
+                p *= emit[s, learner.number[c]]
+            ways[path] = p
+        mass = sum(ways.values())
+        total += n * np.log(mass)
+        for path, p in ways.items():
+            for s, c in zip(path, word, strict=True):
+                want[s, learner.number[c]] += n * p / mass
+    assert np.allclose(got, want, atol=1e-6) and abs(total - value) < 1e-6
+
+
 # Problem 1
 
 
