@@ -2,8 +2,8 @@
 
 Script ranges narrow the candidates of a word (Cyrillic: ru, uk; Latin: en, de, cs). Word scores come from counts over
 all labelled texts, with a character model for words too rare to be counted. A Viterbi pass with a penalty for each
-switch labels every word; runs of one label are segments. All texts of a batch advance in step, so the pass costs a few
-array operations per word position instead of a loop per text.
+switch labels every word; runs of one label are segments. Texts of about one length advance in step, so the pass costs a
+few array operations per word position instead of a loop per text; a very long text is read alone.
 
 Null, empty and wordless texts get no segments and a null language. Texts of which few words are known (garbled ones)
 get a language with a low confidence. Repeated rows give repeated results; extra columns are left out.
@@ -40,6 +40,8 @@ SIGN = re.compile(r"@|\[(?:at|dot)|\((?:at|собака)|[a-z0-9]\.[a-z]")
 ADDRESS = re.compile(r"[\w.+=:<-]*\s?@\s?[\w.-]+|[\w.+-]+\s*[\[(](?:at|собака)[\])]\s*[\w-]+(?:\s*(?:\.|[\[(](?:dot|точка)[\])])\s*[\w-]+)*|(?<![^\s(\[<,;])(?:[a-z0-9_+-]+\.)+[a-z]{2,}\b")
 #: Nats that a switch of language costs, and the most that one word may say.
 SWITCH, MOST = 14.0, 5.0
+#: Words times texts that advance in step, and texts from which on that is worth it.
+CELLS, FEW = 1_000_000, 8
 #: Words that a language's longest segment must have to count as part of a mixed text, and the share of known ones.
 LEAST_SEGMENT, LEAST_KNOWN = 9, 0.5
 #: A word belongs to the model if it makes up at least this share of a language's words, so a language has at most 1e5.
@@ -167,6 +169,54 @@ def viterbi(ids: list[list[int]], table: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def viterbi_one(ids: list[int], table: dict[int, list[float]]) -> np.ndarray:
+    """The best labels of one long text: the same pass word by word."""
+    states = range(len(LANGS))
+    best, back = [0.0] * len(LANGS), []
+    for t, word in enumerate(ids):
+        if t:
+            top = max(states, key=best.__getitem__)
+            jump = best[top] - SWITCH
+            back.append([s if best[s] >= jump else top for s in states])
+            best = [b if b >= jump else jump for b in best]
+        best = [b + x for b, x in zip(best, table[word], strict=True)]
+    out = np.zeros(len(ids), np.int8)
+    if ids:
+        state = max(states, key=best.__getitem__)
+        for t in range(len(ids) - 1, -1, -1):
+            out[t] = state
+            if t:
+                state = back[t - 1][state]
+    return out
+
+
+def in_groups(sizes: list[int]) -> Iterator[list[int]]:
+    """Texts of about one length together, so that the longest one of a group times its texts stays within CELLS."""
+    group: list[int] = []
+    for k in sorted(range(len(sizes)), key=lambda k: -sizes[k]):
+        if group and sizes[group[0]] * (len(group) + 1) > CELLS:
+            yield group
+            group = []
+        group.append(k)
+    if group:
+        yield group
+
+
+def labels(ids: list[list[int]], table: np.ndarray) -> list[np.ndarray]:
+    """The best label of each word of each text, in memory bounded by CELLS or by one text."""
+    out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(ids)
+    for group in in_groups([len(x) for x in ids]):
+        own = [ids[k] for k in group]
+        if len(own) < FEW:
+            scores = {w: table[w].tolist() for x in own for w in set(x)}
+            paths = [viterbi_one(x, scores) for x in own]
+        else:
+            paths = viterbi(own, table)
+        for k, path in zip(group, paths, strict=True):
+            out[k] = path
+    return out
+
+
 def _unaddressed(text: str) -> str:
     """The text in lower case, with addresses (of no language) blanked out; of the same length."""
     low = text.lower()
@@ -212,7 +262,7 @@ def segments_of(vocabulary: Vocabulary, texts: list[str]) -> Iterator[list[tuple
     shapes = [HIDDEN_WORD if HIDDEN.search(t) else WORD for t in plain]
     ids = [vocabulary.ids(WORD.findall(t) if w is WORD else [HIDDEN.sub("", x) for x in w.findall(t)]) for t, w in zip(plain, shapes, strict=True)]
     table, known = np.array(vocabulary.scores or [np.zeros(len(LANGS))]), np.array(vocabulary.known or [False])
-    for text, word, own, path in zip(plain, shapes, ids, viterbi(ids, table), strict=True):
+    for text, word, own, path in zip(plain, shapes, ids, labels(ids, table), strict=True):
         if not own:
             yield []
             continue
@@ -268,7 +318,7 @@ def languages(segments: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def records(documents: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The records with a language label: rec_table, rec_id, label, text; repeated deliveries once."""
+    """The records with a language label: rec_table, rec_id, label, text; repeated deliveries are dropped after labelling, as rows of segments."""
     docs = documents.select(F.lit("documents").alias("rec_table"), F.col("doc_id").alias("rec_id"), F.col("lang").alias("label"), "text")
     own = blocks.where(F.array_contains(F.map_keys("extra"), "lang")).select(F.lit("text_blocks").alias("rec_table"), F.col("block_id").alias("rec_id"), F.element_at("extra", "lang").alias("label"), "text")
     return docs.unionByName(own)

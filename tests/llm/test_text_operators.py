@@ -146,6 +146,25 @@ def test_viterbi_against_brute_force():
         assert abs(value(path.tolist()) - best) < 1e-9
 
 
+def test_long_texts_among_short_ones():
+    """One text of 300,000 words in a slice of short ones: the same labels, and memory for this one text only."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    table = rng.normal(0, 6, (12, len(language.LANGS)))
+    texts = [rng.integers(0, 12, n).tolist() for n in (300_000, *rng.integers(1, 60, 1999))]
+    tracemalloc.start()
+    made = language.labels(texts, table)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 300_000_000 and [len(x) for x in made] == [len(x) for x in texts]
+    for got, want in zip(made[1:], language.viterbi(texts[1:], table), strict=True):
+        assert (got == want).all()
+    assert (made[0][:2000] == language.viterbi([texts[0]], table)[0][:2000]).all()
+
+
 # Problem 8
 
 WORDS = [f"слово{k}" for k in range(900)]
