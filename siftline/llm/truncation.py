@@ -1,11 +1,13 @@
 """Problem 10: texts that were cut off.
 
-A stack automaton reads each whole text: quotes, brackets and markup push and pop, and the end is classed by what it
-leaves behind: a broken character or escape, an entity or tag without its end, a mark of omission, an open bracket, a
-missing terminator. Whether a missing terminator means anything depends on baselines over all texts: how often the
-paragraphs of the source end with one, and whether the last line is one that texts end with (signatures, notes: such
-lines recur whole more often than as the beginning of longer lines). Copies of a text say nothing about how texts end:
-for the last lines, texts that are equal count once.
+A stack automaton reads each whole text: brackets, quotes and markup push and pop, escapes, entities, tags and multibyte
+characters begin and end. Its last state is the evidence: inside a broken character, escape, entity or tag; behind a mark
+of omission; with a pair of the last line left open; or without a terminator. What the state means depends on baselines
+over all texts of the source: how often its paragraphs end with a terminator, how often they leave a pair open, and
+whether the last line is one that texts end with (signatures, notes: such lines recur whole more often than as the
+beginning of longer lines). Where a source's paragraphs have no terminators, lengths at which its unfinished texts pile up
+(field limits) are evidence; elsewhere such a length is reported only, as a complete text may be as long as a limit.
+Copies of a text say nothing about how texts end: for last lines and lengths, texts that are equal count once.
 
 Null and empty texts are not cut; a null source is a source of its own. Repeated rows give repeated results; extra
 columns are left out.
@@ -33,7 +35,16 @@ LEAST_SHARE, LEAST_TIMES = 1e-5, 3
 HEAD_WORDS = 3
 PAIRS = {"»": "«", ")": "(", "]": "[", "}": "{", "”": "“"}
 OPENING = set(PAIRS.values())
-TOKENS = re.compile(r"[«»()\[\]{}“”]|</?[A-Za-z][^<>\n]*>|\n")
+#: Pairs, straight double quotes, tags and line ends.
+TOKENS = re.compile(r"[«»()\[\]{}“”\"]|</?[A-Za-z][^<>\n]*>|\n")
+#: Elements that have no end tag.
+VOID = re.compile(r"<(?:br|hr|img|input|meta|link|wbr)\b", re.I)
+#: What is left open: nothing, what may be meant so (a straight quote, an element), or one of a pair.
+SHUT, LOOSE, PAIR = 0, 1, 2
+#: A source whose paragraphs leave a pair open more often than this gives no evidence by doing so behind a terminator.
+MOST_OPEN = 0.01
+#: Unfinished texts of one length, and their share of all texts of that length, from which it is a field limit of the source.
+LEAST_AT_LIMIT, LIMIT_SHARE = 5, 0.5
 TERMINATED = re.compile(r"[.!?。؟][»”\"')\]]*$|[:;][)\]]?$")
 OMITTED = re.compile(r"(?:…|\.{3,}|\[(?:\.{3}|…)\])[»”\"')\]]*$")
 #: What a transfer leaves of a character, an escape, an entity or a tag.
@@ -44,27 +55,38 @@ CLOSED = re.compile(r"^(?:[(\[].*[)\]]|.*\|.*|№\s*\S+|\d{1,2}[./]\d{1,2}[./]\d
 NUMBERS = re.compile(r"\d+")
 
 
-def automaton(text: str) -> tuple[str, bool]:
-    """(class of the end, whether a pair opened in the last line is left open)."""
+def left_open(text: str) -> int:
+    """What the last line that is not blank leaves open of what it opens."""
     stack: list[tuple[str, int]] = []
     line = 0
     for m in TOKENS.finditer(text):
         token = m[0]
         if token == "\n":
             line += 1
+            stack = [x for x in stack if x[0] != '"']  # a straight quote ends with its line
         elif token in OPENING:
             stack.append((token, line))
         elif token in PAIRS:
             if stack and stack[-1][0] == PAIRS[token]:
                 stack.pop()
+        elif token == '"':
+            if stack and stack[-1][0] == token:
+                stack.pop()
+            else:
+                stack.append((token, line))
         elif token[1] == "/":
             if stack and stack[-1][0] == "<":
                 stack.pop()
-        elif not token.endswith("/>"):
+        elif not token.endswith("/>") and not VOID.match(token):
             stack.append(("<", line))
+    last = text.rstrip().count("\n")
+    return max((LOOSE if kind in '<"' else PAIR for kind, at in stack if at == last), default=SHUT)
+
+
+def automaton(text: str) -> tuple[str, int]:
+    """(class of the end, what is left open in the last line)."""
     body = text.rstrip()
-    # Blank lines at the end do not move the last line.
-    open_end = any(at == body.count("\n") and kind != "<" for kind, at in stack)
+    open_end = left_open(body)
     last = body[body.rfind("\n") + 1 :].strip()
     if BROKEN.search(body):
         return "broken", open_end
@@ -89,24 +111,24 @@ def line_ends(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def make():  # noqa: ANN202
         def step(rows: Iterator[tuple]) -> Iterable[tuple]:
             for key, text_key, source, text in rows:
-                kind, left_open = automaton(text)
+                kind, opened = automaton(text)
                 last = text.rstrip().rpartition("\n")[2].strip()
                 bare = kind in ("bare", "item")
                 whole = hashlib.blake2b(NUMBERS.sub("#", last).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if bare else None
-                yield key, text_key, source, len(text), kind, left_open, whole, _head(last) if bare else None, len(last)
+                yield key, text_key, source, len(text), kind, opened, whole, _head(last) if bare else None
 
         return step
 
     chosen = docs.select(id_col, F.xxhash64("text").alias("text_key"), F.coalesce("source", F.lit("")).alias("source"), "text").where("text is not null and trim(text) <> ''")
     text, large = pa.string(), pa.int64()
     return map_rows(
-        chosen, make, f"{id_col} bigint, text_key bigint, source string, chars bigint, kind string, left_open boolean, last_line string, head string, last_chars bigint",
-        [(id_col, large), ("text_key", large), ("source", text), ("chars", large), ("kind", text), ("left_open", pa.bool_()), ("last_line", text), ("head", text), ("last_chars", large)],
+        chosen, make, f"{id_col} bigint, text_key bigint, source string, chars bigint, kind string, left_open int, last_line string, head string",
+        [(id_col, large), ("text_key", large), ("source", text), ("chars", large), ("kind", text), ("left_open", pa.int32()), ("last_line", text), ("head", text)],
     )
 
 
 def line_counts(docs: DataFrame, wanted: set[str]) -> DataFrame:
-    """Counts over all lines: paragraphs of each source and those with a terminator; over the lines of distinct texts: those longer than a head, of the wanted heads."""
+    """Counts over all lines: paragraphs of each source, those with a terminator and those that leave a pair open; over the lines of distinct texts: those longer than a head, of the wanted heads."""
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def make():  # noqa: ANN202
@@ -124,6 +146,7 @@ def line_counts(docs: DataFrame, wanted: set[str]) -> DataFrame:
                         if len(words) > 8 and k < len(lines) - 1:
                             counts["paragraph", source] += 1
                             counts["terminated", source] += TERMINATED.search(line.rstrip()) is not None
+                            counts["open", source] += any(c in line for c in OPENING) and left_open(line) == PAIR
                     # A line that breaks off within its first words is the beginning of these.
                     for n in range(1, min(HEAD_WORDS, len(words))):
                         heads[NUMBERS.sub("#", " ".join(words[:n]))] += 1
@@ -143,7 +166,7 @@ def line_counts(docs: DataFrame, wanted: set[str]) -> DataFrame:
 
 
 def mark_cut(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Each text with ``cut`` and ``evidence`` (broken, omitted, open, unterminated, or null)."""
+    """Each text with ``cut``, ``evidence`` (broken, omitted, open, unterminated, limit, or null) and ``at_limit``."""
     ends = checkpoint(line_ends(docs, id_col))
     # Bare last lines that recur are few; they are compared with the heads of lines that go on.
     total = ends.agg(F.count_distinct("text_key").alias("texts"))
@@ -151,22 +174,27 @@ def mark_cut(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     whole = checkpoint(times.join(F.broadcast(total)).where(F.col("times") >= F.greatest(F.lit(LEAST_TIMES), F.col("texts") * LEAST_SHARE)))
     counts = checkpoint(line_counts(docs, {r["head"] for r in whole.select("head").distinct().collect()}))
     heads = counts.where("what = 'head'").select(F.col("value").alias("head"), F.col("n").alias("heads"))
+    by = lambda what: F.sum(F.when(F.col("what") == what, F.col("n")))
     base = (
-        counts.where("what in ('paragraph', 'terminated')").groupBy("value")
-        .agg(F.sum(F.when(F.col("what") == "terminated", F.col("n"))).alias("t"), F.sum(F.when(F.col("what") == "paragraph", F.col("n"))).alias("p"))
-        .select(F.col("value").alias("source"), (F.col("t") / F.col("p")).alias("terminated_share"))
+        counts.where("what <> 'head'").groupBy("value").agg(by("terminated").alias("t"), by("open").alias("o"), by("paragraph").alias("p"))
+        .select(F.col("value").alias("source"), (F.col("t") / F.col("p")).alias("terminated_share"), (F.col("o") / F.col("p")).alias("open_share"))
     )
+    once = ends.select("source", "chars", "text_key", F.col("kind").isin("bare", "broken", "omitted").alias("unfinished")).distinct()
+    lengths = once.groupBy("source", "chars").agg(F.count_if("unfinished").alias("n"), F.count("*").alias("texts"))
+    limits = lengths.where((F.col("n") >= LEAST_AT_LIMIT) & (F.col("n") >= LIMIT_SHARE * F.col("texts"))).select("source", "chars", F.lit(True).alias("at_limit"))
     usual = (
         whole.join(heads, "head", "left")
         .where(F.col("times") * 2 > F.coalesce("heads", F.lit(0)) - F.when(F.size(F.split("head", " ")) < HEAD_WORDS, F.col("times")).otherwise(F.lit(0)))
         .select("last_line", F.lit(True).alias("usual_end"))
     )
-    judged = ends.join(base, "source", "left").join(usual, "last_line", "left")
-    unterminated = (F.col("kind") == "bare") & F.col("usual_end").isNull() & (F.coalesce("terminated_share", F.lit(1.0)) >= LEAST_TERMINATED)
-    evidence = F.when(F.col("kind").isin("broken", "omitted"), F.col("kind")).when((F.col("kind") == "bare") & F.col("left_open"), "open").when(unterminated, "unterminated")
-    return judged.select(id_col, "source", "chars", evidence.alias("evidence"), evidence.isNotNull().alias("cut"))
+    judged = ends.join(base, "source", "left").join(usual, "last_line", "left").join(limits, ["source", "chars"], "left").fillna({"at_limit": False})
+    bare = (F.col("kind") == "bare") & F.col("usual_end").isNull()
+    has_ends = F.coalesce("terminated_share", F.lit(1.0)) >= LEAST_TERMINATED
+    opened = ((F.col("kind") == "bare") & (F.col("left_open") > SHUT)) | ((F.col("kind") == "terminated") & (F.col("left_open") == PAIR) & (F.coalesce("open_share", F.lit(0.0)) <= MOST_OPEN))
+    evidence = F.when(F.col("kind").isin("broken", "omitted"), F.col("kind")).when(opened, "open").when(bare & has_ends, "unterminated").when(bare & F.col("at_limit"), "limit")
+    return judged.select(id_col, "source", "chars", "at_limit", evidence.alias("evidence"), evidence.isNotNull().alias("cut"))
 
 
 def cut_rates(marked: DataFrame) -> DataFrame:
-    """How often each source cuts."""
-    return marked.groupBy("source").agg(F.count("*").alias("texts"), F.sum(F.col("cut").cast("bigint")).alias("cut_texts"), F.round(F.avg(F.col("cut").cast("double")), 6).alias("cut_rate"))
+    """How often each source cuts, and how many of its texts end at a field limit."""
+    return marked.groupBy("source").agg(F.count("*").alias("texts"), F.sum(F.col("cut").cast("bigint")).alias("cut_texts"), F.round(F.avg(F.col("cut").cast("double")), 6).alias("cut_rate"), F.count_if("at_limit").alias("at_limit"))

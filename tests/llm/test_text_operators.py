@@ -118,7 +118,23 @@ def test_copies_and_long_lines_are_no_usual_ends(spark):
 
 
 def test_automaton_sees_open_pairs():
-    assert truncation.automaton("Система «Сан")[1] and not truncation.automaton("Система «Сан».")[1]
+    assert truncation.automaton("Система «Сан")[1] == truncation.PAIR and not truncation.automaton("Система «Сан».")[1]
+
+
+@pytest.mark.parametrize(("text", "state"), [('Сказано "журнал', truncation.LOOSE), ("<p>Журнал", truncation.LOOSE), ("<br>Журнал", truncation.SHUT), ("(см. «журнал»", truncation.PAIR), ('"журнал" (копия)', truncation.SHUT), ("(копия\nЖурнал", truncation.SHUT)])
+def test_automaton_stack(text, state):
+    assert truncation.left_open(text) == state
+
+
+def test_limits_and_open_pairs_are_evidence(spark):
+    rng = random.Random(4)
+    bare = lambda k: "том" * (k + 1) + "\n" + "\n".join(" ".join(rng.sample(["журнал", "архив", "опись", "сводка", "склад", "дело", "отчёт", "папка", "копия", "лист"], 10)) for _ in range(3))
+    loose = [(k, "notes", bare(k)) for k in range(60)] + [(100 + k, "notes", (bare(k) * 3)[:150]) for k in range(8)]
+    ends = [(200 + k, "mail", t) for k, t in enumerate(dict.fromkeys(corpus(3, 60)))]
+    ends += [(300, "mail", RU[0] + " Передача копий (см. опись. Журнал закрыт."), (301, "mail", RU[1] + " (см. опись).")]
+    made = {r.doc_id: r for r in truncation.mark_cut(spark.createDataFrame(loose + ends, DOC)).collect()}
+    assert {k for k, r in made.items() if r.cut} == {*range(100, 108), 300}
+    assert made[100].evidence == "limit" and made[300].evidence == "open" and made[100].at_limit and not made[0].at_limit
 
 
 # Problem 5
