@@ -1,21 +1,24 @@
 """Problem 8: documents that hold passages of evaluation items.
 
-Each item is cut into all its windows of a third of its length (a power-of-two-like size), each document into all its
-windows of those sizes. A window's SimHash has 64 bits in 8 blocks of 8; two hashes within a Hamming distance of 7
-agree in at least one block, so probing the 8 block tables finds every pair within that radius. A candidate (document,
-item) is verified with the exact weighted-shingle similarity (word pairs, weighed by rarity over all documents) of the
-passage and by the number of the item's words that the passage holds in their order, by local alignment.
-
-Before hashing, windows of whose weight less than LEAST_KNOWN lies in item words are left out; a passage with half an
-item's words in one piece has windows above that share, so this loses no match. The radius may: a passage of about half
-an item with a word changed in every 12 or fewer can have no window within 7 bits. Items are taken in blocks of ITEM_BLOCK, each against all documents,
-so what is sent to the tasks is bounded however many items there are.
+Each item is cut into all its windows of a third and of a sixth of its length, each document into all its windows of
+those sizes. A window's SimHash has 64 bits in 9 blocks; two hashes within a Hamming distance of 7 agree in at least two
+blocks, so probing the 36 tables on pairs of blocks finds every pair within that radius. The weights are whole numbers, so
+equal windows have equal hashes wherever they stand. A candidate (document, item) is verified with the exact
+weighted-shingle similarity (word pairs, weighed by rarity over all documents) of the passage and by the number of the
+item's words that the passage holds in their order, by local alignment.
+
+Every window within the radius is found, but for those of whose weight less than LEAST_KNOWN lies in item words, which are
+left out before hashing; what such a window could find, windows of the passage around it find (tested against probing
+them all). A passage of about half an item with a word changed in every eight or fewer can have no window within the
+radius. Rarity is counted once for all items; then items are taken in blocks of ITEM_BLOCK, each against all documents, so
+what is sent to the tasks is bounded however many items there are.
 
 Null and empty documents and items match nothing; repeated rows give repeated results; extra columns are left out.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import unicodedata
@@ -34,13 +37,21 @@ WORD = re.compile(r"\w+")
 #: Characters that have another form of the same letter, and those that print nothing.
 FORMS = re.compile("[\u0300-\u036f\uff01-\uffef\ufb00-\ufb06\u00ad\u200b-\u200f\u2060\ufeff]")
 HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
-#: Sizes of windows in words; an item is cut by the largest one up to a third of its length.
+#: Sizes of windows in words; an item is cut by the largest ones up to these parts of its length, of LEAST_SIZE words at least.
 SIZES = (4, 6, 8, 11, 16, 22, 32, 45, 64, 90, 128)
-RADIUS, BLOCKS = 7, 8
+PARTS, LEAST_SIZE = (3, 6), 8
+RADIUS = 7
+#: Blocks of the hash as (shift, bits), and all pairs of them.
+BLOCKS = (*((7 * k, 7) for k in range(8)), (56, 8))
+PAIRS = tuple(itertools.combinations(range(len(BLOCKS)), 2))
+#: Steps of a weight of 1, windows that are summed at once, and pairs of windows that are compared at once.
+UNITS, RUN, AT_ONCE = 256, 20_000, 2_000_000
 LEAST_KNOWN = 0.6
 #: Share of the item's words that the passage must hold, and the least weighted similarity of the aligned passage.
 LEAST_SHARE, LEAST_SIMILARITY = 0.5, 0.5
 ITEM_BLOCK = 4000
+#: Texts that are probed together.
+TEXTS = 500
 POP = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
@@ -56,15 +67,21 @@ def words_of(text: str | None) -> list[str]:
 def signs(word: str) -> np.ndarray:
     """64 signs that stand for a word."""
     bits = np.unpackbits(np.array([xxhash.xxh64_intdigest(word)], np.uint64).view(np.uint8))
-    return bits.astype(np.float32) * 2 - 1
+    return bits.astype(np.int64) * 2 - 1
 
 
 def simhash(vectors: np.ndarray, size: int) -> np.ndarray:
-    """The SimHash of every window of ``size`` rows; vectors: weighted signs, a row a word."""
-    total = np.vstack([np.zeros((1, 64), np.float32), np.cumsum(vectors, 0, dtype=np.float32)])
+    """The SimHash of every window of ``size`` rows; vectors: signs times whole weights, a row a word."""
+    total = np.vstack([np.zeros((1, 64), np.int64), np.cumsum(vectors, 0)])
     return np.packbits(total[size:] - total[:-size] > 0, axis=1).view(np.uint64).ravel()
 
 
+def pair_keys(hashes: np.ndarray, pair: tuple[int, int]) -> np.ndarray:
+    """The bits of two blocks as one number."""
+    (s, n), (t, m) = BLOCKS[pair[0]], BLOCKS[pair[1]]
+    return (((hashes >> np.uint64(s)) & np.uint64((1 << n) - 1)) | (((hashes >> np.uint64(t)) & np.uint64((1 << m) - 1)) << np.uint64(n))).astype(np.uint16)
+
+
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a ^ b
     return sum(POP[((x >> np.uint64(s)) & np.uint64(0xFFFF)).astype(np.int64)].astype(np.int16) for s in (0, 16, 32, 48))
@@ -100,67 +117,101 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 
 class ItemIndex:
-    """Block tables over the windows of a block of items."""
+    """Tables on pairs of blocks over the windows of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]], rarity: dict[str, float]) -> None:
         self.rarity = rarity
         self.words = {key: words_of(text) for key, text in items}
         self.words = {key: own for key, own in self.words.items() if own}
-        self.vectors = {w: signs(w) * self.weight(w) for own in self.words.values() for w in own}
-        self.own = {w: self.weight(w) for w in self.vectors}
-        self.sizes: dict[int, tuple[np.ndarray, np.ndarray, list[dict[int, np.ndarray]]]] = {}
+        self.own = {w: self.units(w) for own in self.words.values() for w in own}
+        self.vectors = {w: signs(w) * n for w, n in self.own.items()}
+        self.foreign = round(self.rarity[""] * UNITS)
+        self.sizes: dict[int, tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]] = {}
         by_size = defaultdict(list)
         for key, own in self.words.items():
-            size = max([s for s in SIZES if s <= len(own) / 3], default=min(len(own), SIZES[0]))
-            by_size[size].append(key)
+            for size in {max([s for s in SIZES if s <= len(own) / part and (s >= LEAST_SIZE or part == PARTS[0])], default=min(len(own), SIZES[0]) if part == PARTS[0] else 0) for part in PARTS} - {0}:
+                by_size[size].append(key)
         for size, keys in by_size.items():
             hashes = [simhash(np.stack([self.vectors[w] for w in self.words[k]]), size) for k in keys]
             owner = np.repeat(np.array(keys, np.int64), [len(h) for h in hashes])
             flat = np.concatenate(hashes)
             tables = []
-            for b in range(BLOCKS):
-                block = ((flat >> np.uint64(8 * b)) & np.uint64(0xFF)).astype(np.int64)
-                order = np.argsort(block, kind="stable")
-                edges = np.searchsorted(block[order], np.arange(257))
-                tables.append({v: order[edges[v] : edges[v + 1]] for v in range(256) if edges[v] < edges[v + 1]})
+            for pair in PAIRS:
+                own = pair_keys(flat, pair)
+                order = np.argsort(own, kind="stable").astype(np.int32)
+                tables.append((own[order], order))
             self.sizes[size] = (flat, owner, tables)
 
     def weight(self, word: str) -> float:
         return self.rarity.get(word, self.rarity[""])
 
+    def units(self, word: str) -> int:
+        return max(1, round(self.weight(word) * UNITS))
+
     def vector(self, word: str) -> np.ndarray:
         found = self.vectors.get(word)
         return self.other[word] if found is None else found
 
-    def candidates(self, words: list[str]) -> dict[int, list[int]]:
-        """Items of which a window is within the radius of one of the text's, with the positions in the text."""
-        own = self.own
-        known = np.fromiter((own.get(w, 0.0) for w in words), np.float64, len(words))
-        run = np.concatenate([[0.0], np.cumsum(known)])
-        foreign = np.concatenate([[0.0], np.cumsum((known == 0) * self.rarity[""])])
-        out: dict[int, list[int]] = defaultdict(list)
-        vectors = None
-        for size, (flat, owner, tables) in self.sizes.items():
+    def windows(self, words: list[str], least: float = LEAST_KNOWN) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(size, positions, hashes) of the text's windows of which the share ``least`` of the weight lies in item words."""
+        known = np.fromiter(map(self.own.get, words, itertools.repeat(0)), np.int64, len(words))
+        run = np.concatenate([[0], np.cumsum(known)])
+        other = np.concatenate([[0], np.cumsum((known == 0) * self.foreign)])
+        for size in self.sizes:
             if len(words) < size:
                 continue
-            held, rest = run[size:] - run[:-size], foreign[size:] - foreign[:-size]
-            dense = np.flatnonzero(held * (1 - LEAST_KNOWN) >= rest * LEAST_KNOWN)
+            held, rest = run[size:] - run[:-size], other[size:] - other[:-size]
+            dense = np.flatnonzero(held * (1 - least) >= rest * least)
             if not len(dense):
                 continue
-            if vectors is None:
-                vectors = np.stack([self.vector(w) for w in words])
-            hashes = simhash(vectors, size)[dense]
-            for at, value in zip(dense.tolist(), hashes, strict=True):
-                rows = [t[v] for b, t in enumerate(tables) if (v := int(value) >> (8 * b) & 0xFF) in t]
-                if rows:
-                    near = np.unique(np.concatenate(rows))
-                    for key in set(owner[near[distance(flat[near], value) <= RADIUS]].tolist()):
-                        out[key].append(at)
+            # Windows near one another are summed together, RUN of them at most.
+            cuts = np.flatnonzero(np.diff(dense) > size) + 1
+            parts = [p[k : k + RUN] for p in np.split(dense, cuts) for k in range(0, len(p), RUN)]
+            made = []
+            for part in parts:
+                a, b = int(part[0]), int(part[-1])
+                made.append(simhash(np.stack([self.vector(w) for w in words[a : b + size]]), size)[part - a])
+            yield size, dense, np.concatenate(made)
+
+    def near(self, size: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ``hashes``, items): all pairs of a hash and an item with a window of this size within the radius."""
+        flat, owner, tables = self.sizes[size]
+        got: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        step = max(1, AT_ONCE * (1 << 14) // (len(flat) + (1 << 14)))
+        for at in range(0, len(hashes), step):
+            own = hashes[at : at + step]
+            for pair, (keys, order) in zip(PAIRS, tables, strict=True):
+                wanted = pair_keys(own, pair)
+                low, high = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
+                n = high - low
+                if not n.any():
+                    continue
+                place = np.repeat(np.arange(len(own)), n)
+                first = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+                window = order[first + np.arange(len(place))]
+                close = distance(own[place], flat[window]) <= RADIUS
+                got.append((place[close] + at, owner[window[close]]))
+        places, items = (np.concatenate(x) for x in zip(*got, strict=True))
+        both = np.unique(np.stack([places, items]), axis=1) if len(places) else np.zeros((2, 0), np.int64)
+        return both[0], both[1]
+
+    def candidates(self, texts: list[list[str]]) -> list[dict[int, list[int]]]:
+        """For each text the items of which a window is within the radius of one of its own, with the positions; all texts are probed at once."""
+        out: list[dict[int, list[int]]] = [defaultdict(list) for _ in texts]
+        by: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = defaultdict(list)
+        for k, words in enumerate(texts):
+            for size, places, hashes in self.windows(words):
+                by[size].append((k, places, hashes))
+        for size, own in by.items():
+            text = np.repeat([k for k, _, _ in own], [len(p) for _, p, _ in own])
+            at = np.concatenate([p for _, p, _ in own])
+            for i, key in zip(*(x.tolist() for x in self.near(size, np.concatenate([h for *_, h in own]))), strict=True):
+                out[int(text[i])][key].append(int(at[i]))
         return out
 
-    def verified(self, words: list[str]) -> Iterator[tuple[int, int, int, float]]:
-        """(item, its words, those held in order, weighted similarity) of what the text holds at least half of."""
-        for key, places in self.candidates(words).items():
+    def verified(self, words: list[str], found: dict[int, list[int]]) -> Iterator[tuple[int, int, int, float]]:
+        """(item, its words, those held in order, weighted similarity) of the candidates that the text holds at least half of."""
+        for key, places in found.items():
             item = self.words[key]
             number = {w: i for i, w in enumerate(dict.fromkeys(item))}
             codes = np.array([number[w] for w in item])
@@ -211,6 +262,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     parts: list[DataFrame] = []
     last, text = None, docs.select("doc_id", "text").where("text is not null")
     number = pa.int64()
+    every = {w for r in listed.select("text").toLocalIterator() for w in words_of(r.text)}  # the words of the stated query set
+    rarity = rarity_of(text, every) if every else {}
     while True:  # a block of items at a time, by id
         block = listed if last is None else listed.where(F.col("item_id") > last)
         rows = block.orderBy("item_id").limit(ITEM_BLOCK).collect()
@@ -218,16 +271,20 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
             break
         last = rows[-1].item_id
         own = [(r.item_id, r.text) for r in rows]
-        sent = spark.sparkContext.broadcast(ItemIndex(own, rarity_of(text, {w for _, t in own for w in words_of(t)})))
+        words = {w for _, t in own for w in words_of(t)}
+        sent = spark.sparkContext.broadcast(ItemIndex(own, {w: v for w, v in rarity.items() if w in words or not w}))
 
         def make(sent=sent):  # noqa: ANN001, ANN202
             index = sent.value
-            index.other = Memo(lambda w: signs(w) * index.weight(w), 50_000)
+            index.other = Memo(lambda w: signs(w) * index.foreign, 50_000)
 
             def step(rows: Iterator[tuple]) -> Iterable[tuple]:
-                for doc_id, body in rows:
-                    for key, size, held, similar in index.verified(words_of(body)):
-                        yield key, doc_id, size, held, similar
+                keys, bodies = zip(*rows, strict=True)
+                for k in range(0, len(keys), TEXTS):
+                    texts = [words_of(body) for body in bodies[k : k + TEXTS]]
+                    for doc_id, own, found in zip(keys[k : k + TEXTS], texts, index.candidates(texts), strict=True):
+                        for key, size, held, similar in index.verified(own, found):
+                            yield key, doc_id, size, held, similar
 
             return step
 

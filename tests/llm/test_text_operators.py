@@ -217,17 +217,54 @@ def test_alignment_against_brute_force():
         assert leakage._best(a, b)[0] >> 20 == grid.max() and 0 <= start <= end <= 12 and held <= end - start
 
 
+def item_index(seed=3, size=30, n=50):
+    import numpy as np
+
+    from siftline.llm.common import Memo
+
+    rng = np.random.default_rng(seed)
+    index = leakage.ItemIndex([(k, " ".join(rng.choice(WORDS, size, replace=False))) for k in range(n)], {"": 5.0})
+    index.other = Memo(lambda w: leakage.signs(w) * index.foreign)
+    return rng, index
+
+
 def test_probing_finds_all_within_radius():
     import numpy as np
 
-    rng = np.random.default_rng(3)
-    index = leakage.ItemIndex([(k, " ".join(rng.choice(WORDS, 30, replace=False))) for k in range(50)], {"": 5.0})
-    flat, owner, tables = index.sizes[8]
-    for value in rng.integers(0, 2**63, 50).astype(np.uint64):
-        near = value ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, 7, replace=False)))
-        rows = [t[v] for b, t in enumerate(tables) if (v := int(near) >> (8 * b) & 0xFF) in t]
-        probed = set(np.concatenate(rows).tolist()) if rows else set()
-        assert set(np.flatnonzero(leakage.distance(flat, near) <= leakage.RADIUS).tolist()) <= probed
+    rng, index = item_index()
+    for size, (flat, owner, _) in index.sizes.items():
+        values = [v ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, 7, replace=False))) for v in rng.choice(flat, 60)]
+        values = np.array([*values, *rng.integers(0, 2**63, 50).astype(np.uint64)])
+        want = {(k, int(i)) for k, v in enumerate(values) for i in owner[leakage.distance(flat, v) <= leakage.RADIUS]}
+        assert set(zip(*(x.tolist() for x in index.near(size, values)), strict=True)) == want and len(want) >= 60
+
+
+def test_windows_left_out_lose_no_leak():
+    """Windows of little item weight are not hashed; probing them all finds the same leaks, also edited ones."""
+    rng, index = item_index(5, 48, 40)
+    texts = []
+    for key, words in index.words.items():
+        at = int(rng.integers(0, 20))
+        part = [w if k % 9 else "иное" for k, w in enumerate(words[at : at + 28], 1)]
+        texts.append([*rng.choice(WORDS, 40), *part, *rng.choice(WORDS, 40), *index.words[(key + 1) % 40][:9]])
+    found = [set(index.verified(t, c)) for t, c in zip(texts, index.candidates(texts), strict=True)]
+    own = index.windows
+    index.windows = lambda words: own(words, 0.0)
+    every = [set(index.verified(t, c)) for t, c in zip(texts, index.candidates(texts), strict=True)]
+    assert found == every and sum(map(bool, found)) >= 36
+
+
+def test_equal_windows_have_equal_hashes_far_into_a_text():
+    import numpy as np
+
+    _, index = item_index(7, 48, 2)
+    words = index.words[0]
+    far = [WORDS[k % 900] for k in range(60_000)] + words
+    near = {size: dict(zip(p.tolist(), h.tolist(), strict=True)) for size, p, h in index.windows(words, 0.0)}
+    for size, places, hashes in index.windows(far, 0.0):
+        made = dict(zip(places.tolist(), hashes.tolist(), strict=True))
+        assert all(made[60_000 + k] == h for k, h in near[size].items())
+    assert np.array([len(x) for x in near.values()]).min() > 20
 
 
 # Problem 3
