@@ -1,8 +1,10 @@
 """Problem 1: noise of scanned pages, by a noisy channel decoded with Viterbi.
 
 The language model is word unigrams and bigrams (numbers as one word) over all texts that were not scanned, with letter
-bigrams for other words. The channel has a probability for each confusion of characters, estimated by
-expectation-maximisation over the rare words of the scanned texts. Each word of a line gets the candidates that reversing
+bigrams for other words. The channel's confusions of characters are learned: pairs of one or two characters that turn
+many different unknown words of the scanned texts into words of the vocabulary, much more often than words of the
+vocabulary are turned into one another; a few that hold for every typeface are always in. Their probabilities are
+estimated by expectation-maximisation over the rare words of the scanned texts. Each word of a line gets the candidates that reversing
 one or two confusions gives; a Viterbi pass over the line picks the likeliest sequence. Words split at a line end are
 joined where the joined word is likelier than the compound with a hyphen. A line at the top or bottom of a page that
 comes back on other pages of its file is a running header; keys are compared with confusable characters folded, and
@@ -27,13 +29,15 @@ from pyspark.sql import functions as F
 from siftline.llm.common import Memo, count_keys, map_rows
 
 METHODS = ("ocr_extractor", "pdf_text_extractor")
-#: What characters are misread as, and what they were: fixed values.
-CONFUSIONS = (
-    ("0", "о"), ("r", "т"), ("п", "л"), ("3", "з"), ("п", "н"), ("5", "s"), ("4", "ч"), ("0", "o"), ("c", "e"), ("6", "б"), ("1", "l"), ("1", "i"),
-    ("rn", "м"), (">к", "ж"), ("9", "g"), ("r", "г"), ("ьl", "ы"), ("cl", "d"), ("li", "h"), ("ii", "u"), ("д", "ц"), ("rn", "m"), ("ш", "щ"), ("lo", "ю"),
-    ("!", "i"), ("!", "l"), ("vv", "w"), ("ni", "m"), ("tn", "m"), ("8", "в"), ("и", "н"), ("н", "и"), ("ь", "ъ"), ("l", "i"), ("3", "э"), ("l", "t"), ("f", "t"), ("|", "l"), ("е", "с"), ("с", "е"), ("b", "h"), ("e", "c"), ("u", "ii"), ("0", "ö"), ("á", "ä"), ("l", "1"),
-    ("m", "rn"), ("л", "п"), ("ц", "д"), ("щ", "ш"),
+#: Misreadings of every typeface, digits for letters and letters run together: what is read and what it was; fixed values.
+ALWAYS = (
+    ("0", "о"), ("0", "o"), ("1", "l"), ("1", "i"), ("!", "l"), ("!", "i"), ("|", "l"), ("3", "з"), ("4", "ч"), ("5", "s"), ("6", "б"), ("8", "в"), ("9", "g"),
+    ("rn", "m"), ("rn", "м"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("ii", "u"), ("ьl", "ы"), (">к", "ж"), ("lo", "ю"),
 )
+#: A confusion is learned if it explains so many words and so many different ones, no one of them more than half, and so many times more than words of the vocabulary.
+LEAST_SEEN, LEAST_DIFFERENT, TIMES = 8, 5, 10
+#: Letters of words from which confusions are learned, at least.
+WHOLE = 4
 #: Words and word pairs from this share on make the model, which bounds it.
 SHARE = 1e-6
 #: Log probability that a word is none of the vocabulary.
@@ -42,33 +46,52 @@ HYPHENS = "-‐¬­"
 SPLIT = re.compile(rf"([^\W_]+(?:-[^\W_]+)*)([{HYPHENS}])[ \t]*$")
 NEXT = re.compile(r"^[ \t]*([^\W_]+)")
 TOKEN = re.compile(r"[^\s.,;:«»()\"?/|—–\[\]{}=<>]+(?:>к[^\s.,;:«»()\"?/|—–\[\]]*)*|>к[^\s.,;:«»()\"?/|—–\[\]]*")
+#: Characters that no misread letter stands among.
+MARKS = frozenset("-‐¬­'’\n")
+#: Characters of a running header, at least.
+LEAST_HEADER = 5
 #: Addresses and codes are read as they are.
 CODE = re.compile(r"\S*@\S*|\S+[\[(](?:at|dot)\S*|(?:[\w+-]+\.)+(?:[A-Za-z]{2,})\b|(?<!\w)[\w.+-]+\s*(?:@|\[at\]|\(собака\))\s*\n?\s*[\w-]+(?:\s*(?:\.|\[dot\])\s*[\w-]+)*", re.I)
 CODE_SIGN = re.compile(r"@|[\[(<{]\s*(?:at|собака)|[A-Za-z0-9-]\.[A-Za-z]")
 NUMBER = re.compile(r"\d\d")
-PAGE = re.compile(
-    r"^[\s\-—–\[(|]*(?:(?:лис[тr]|с[тr]р\.?|с[тr]раница|page|pagc|pa9e|p\.|sheet|shee[tf]|5heet|seite|s\.|strana|str\.|аркуш|blatt|list|с[тr]орінка)\s*№?\s*)?"
-    r"[\doоlзO]{1,4}(?:\s*(?:/|из|и3|of|0f|von|z|із)\s*[\doоlзO]{1,4})?[\s\-—–\])|]*$", re.I
-)
+#: Words for a page, before its number: fixed values.
+PAGE_WORDS = ("лист", "стр", "страница", "page", "p", "sheet", "seite", "s", "strana", "str", "аркуш", "blatt", "list", "сторінка")
+OF_WORDS = ("из", "of", "von", "z", "із")
 TAIL = re.compile(r"(?:\s{2,}|\t|\s*[|·—–]\s*)[-—–\[(]*(\d{1,4})[-—–\])]*\s*$")
 ONE_TAIL = re.compile(r"\s(\d{1,4})\s*$")
-FOLDS = ((">к", "ж"), ("ьl", "ы"), ("lo", "ю"), ("rn", "m"), ("cl", "d"), ("li", "h"), ("ii", "u"))
 
 
-def _fold_table() -> dict[int, str]:
-    classes = ("0oо", "3зэ", "4ч", "6б", "1l!i|", "тrгt", "5s", "9g", "плн", "eсеc", "дц", "шщ", "mм")
-    return {ord(c): k[0] for k in classes for c in k}
+class Folding:
+    """Lines with the characters that are confused as one, and what is a page number under it."""
 
+    def __init__(self, confusions: Iterable[tuple[str, str]]) -> None:
+        top: dict[str, str] = {}
 
-FOLD = _fold_table()
+        def find(c: str) -> str:
+            while top.get(c, c) != c:
+                c = top[c]
+            return c
 
+        for a, b in confusions:
+            if len(a) == len(b) == 1:
+                low, high = sorted((find(a), find(b)))
+                top[high] = low
+        self.table = {ord(c): find(c) for c in top if find(c) != c}
+        self.wide = sorted(((a, b) for a, b in confusions if len(a) > len(b) == 1), key=lambda x: (-len(x[0]), x))
+        digit = "[" + "".join(sorted({re.escape(self.fold(c)) for c in "0123456789"})) + "]{1,4}"
+        either = lambda words: "|".join(sorted({re.escape(self.fold(w)) for w in words}, key=lambda w: (-len(w), w)))
+        self.page = re.compile(rf"^[\s\-—–\[(|]*(?:(?:{either(PAGE_WORDS)})\.?\s*№?\s*)?{digit}(?:\s*(?:/|{either(OF_WORDS)})\s*{digit})?[\s\-—–\])|]*$")
 
-def fold(line: str) -> str:
-    """A line in lower case with confusable characters as one."""
-    out = re.sub(r"\s+", " ", line.lower()).strip()
-    for a, b in FOLDS:
-        out = out.replace(a, b)
-    return out.translate(FOLD)
+    def fold(self, line: str) -> str:
+        """A line in lower case with confusable characters as one."""
+        out = re.sub(r"\s+", " ", line.lower()).strip()
+        for a, b in self.wide:
+            out = out.replace(a, b)
+        return out.translate(self.table)
+
+    def is_page(self, line: str) -> bool:
+        """Whether a line is a page number, alone or with a word for it."""
+        return any(c.isdigit() for c in line) and self.page.match(self.fold(line)) is not None
 
 
 def words_of(text: str) -> list[str]:
@@ -117,19 +140,60 @@ class Channel:
                     letters[x, y] += weight
                     firsts[x] += weight
         self.letters = {k: math.log(n / firsts[k[0]]) for k, n in letters.items()}
-        self.rates = dict.fromkeys(CONFUSIONS, math.log(1e-3))
+        self.longest = max(map(len, words), default=0)
+        self.confusions = tuple(sorted({*ALWAYS, *self._confusions(scanned)}))
+        self.folding = Folding(self.confusions)
+        self.rates = dict.fromkeys(self.confusions, math.log(1e-3))
         for _ in range(3):
             self._learn(scanned)
 
+    def _confusions(self, scanned: dict[str, int]) -> list[tuple[str, str]]:
+        """Pairs of one or two characters by which unknown scanned words differ from words of the vocabulary."""
+        holes: dict[tuple[str, str], list[tuple[str, int]]] = {}
+        for word, n in self.words.items():
+            if len(word) >= WHOLE:
+                for size in (1, 2):
+                    for i in range(len(word) - size + 1):
+                        holes.setdefault((word[:i], word[i + size :]), []).append((word[i : i + size], n))
+
+        def neighbours(word: str) -> Iterator[tuple[str, str, int]]:
+            for size in (1, 2):
+                for i in range(len(word) - size + 1):
+                    a = word[i : i + size]
+                    if MARKS.isdisjoint(a):
+                        for b, n in holes.get((word[:i], word[i + size :]), ()):
+                            # Of two characters that give two both must differ: else one that gives one says it.
+                            if a != b and b.isalpha() and not (size == len(b) == 2 and (a[0] == b[0] or a[1] == b[1])):
+                                yield a, b, n
+
+        seen: Counter = Counter()
+        different: dict[tuple[str, str], Counter] = {}
+        for word, n in scanned.items():
+            if word not in self.words and WHOLE <= len(word) <= self.longest + 1 and not NUMBER.search(word):
+                found = list(neighbours(word))
+                mass = sum(m for *_, m in found)
+                for a, b, m in found:
+                    seen[a, b] += n * m / mass
+                    different.setdefault((a, b), Counter())[word] += n * m / mass
+        likely = {c for c, n in seen.items() if n >= LEAST_SEEN and len(different[c]) >= LEAST_DIFFERENT and max(different[c].values()) <= 0.5 * n}
+        usual: Counter = Counter()
+        if likely:
+            for word in self.words:
+                if len(word) >= WHOLE:
+                    usual.update(c for *c_, _ in neighbours(word) if (c := tuple(c_)) in likely)
+        # Two letters that words often hold are themselves; their likeness to one letter is left to ALWAYS.
+        own: Counter = Counter(w[i : i + 2] for w in self.words for i in range(len(w) - 1))
+        return [c for c in likely if seen[c] >= TIMES * usual[c] and own[c[0]] * TIMES <= len(different[c])]
+
     def _learn(self, scanned: dict[str, int]) -> None:
         """One step of expectation-maximisation of the confusions' rates over the scanned words."""
         got: Counter = Counter()
         chances: Counter = Counter()
         for word, n in scanned.items():
-            for c in {b for _, b in CONFUSIONS if b in word}:
+            for c in {b for _, b in self.confusions if b in word}:
                 chances[c] += n * word.count(c)
             base = self.alone(word)
-            if base > OTHER - 3 or len(word) > 40:
+            if base > OTHER - 3 or len(word) > self.longest + 3:
                 continue
             found = [(used, self.alone(w) + cost) for w, cost, used in self._reversed(word) if w in self.words]
             found = [(used, s) for used, s in found if s > base]
@@ -139,7 +203,7 @@ class Channel:
                 for used, s in found:
                     for c in used:
                         got[c] += n * math.exp(s - top) / mass
-        self.rates = {c: math.log((got[c] + 0.5) / (chances[c[1]] + got[c] + 5000)) for c in CONFUSIONS}
+        self.rates = {c: math.log((got[c] + 0.5) / (chances[c[1]] + got[c] + 5000)) for c in self.confusions}
 
     def alone(self, word: str) -> float:
         """Log probability of a word by itself."""
@@ -156,7 +220,7 @@ class Channel:
     def _reversed(self, word: str) -> Iterator[tuple[str, float, tuple]]:
         """Words that one or two confusions may have turned into this one, with the log cost."""
         places = []
-        for c in CONFUSIONS:
+        for c in self.confusions:
             at = word.find(c[0])
             while at >= 0:
                 places.append((at, c))
@@ -179,8 +243,8 @@ class Channel:
         """(reading, channel cost, log probability alone) of a lower-case word; the first is the word as it stands."""
         own = self.alone("#" if word.isdigit() else word)
         out = [(word, 0.0, own)]
-        if self.words.get(word, 0) >= self.total * 2e-5 and len(word) > 2 or len(word) > 40:
-            return out
+        if self.words.get(word, 0) >= self.total * 2e-5 and len(word) > 2 or len(word) > self.longest + 3:
+            return out  # confusions make no word so much shorter
         if word.isdigit() and len(word) > 1 or NUMBER.search(word):
             return out  # a number, alone or written together with words
         best: dict[str, float] = {}
@@ -194,7 +258,7 @@ class Channel:
             alone = self.alone(made)
             if alone + cost > own - 8:
                 out.append((made, cost, alone))
-        return out if len(out) < 8 else [out[0], *sorted(out[1:], key=lambda x: -x[1] - x[2])[:7]]
+        return out
 
     def decode(self, words: list[str]) -> list[str]:
         """Viterbi over the words of a line; only words with more than one reading branch."""
@@ -250,11 +314,11 @@ class Channel:
             m = SPLIT.search(masked[k]) if masked[k].rstrip()[-1:] in HYPHENS and masked[k].strip() else None
             if not m:
                 continue
-            on = next((j for j in range(k + 1, min(k + 5, len(lines))) if lines[j].strip() and not PAGE.match(lines[j])), None)
+            on = next((j for j in range(k + 1, len(lines)) if lines[j].strip() and not self.folding.is_page(lines[j])), None)
             n = NEXT.match(masked[on]) if on is not None else None
             if n and n[1][0].isupper() and not m[1].isupper():
                 # The top of a new page stands between the parts.
-                on = next((j for j in range(on + 1, min(on + 4, len(lines))) if lines[j].strip() and not PAGE.match(lines[j])), None)
+                on = next((j for j in range(on + 1, len(lines)) if lines[j].strip() and not self.folding.is_page(lines[j])), None)
                 n = NEXT.match(masked[on]) if on is not None else None
                 n = n if n and n[1][0].islower() and not self.words.get(m[1].lower()) else None
             if n and on not in rests.values() and self.is_split(m[1], m[2], n[1]):
@@ -311,11 +375,11 @@ def fit(blocks: DataFrame) -> Channel:
     return Channel(kept["word"] or kept["scan"], kept["pair"], kept["scan"])
 
 
-def edge_lines(text: str) -> tuple[list[int], list[tuple[int, str]]]:
+def edge_lines(text: str, folding: Folding) -> tuple[list[int], list[tuple[int, str]]]:
     """(lines that are page numbers, lines that may be running headers with a mark of their kind)."""
     lines = text.split("\n")
     filled = [k for k, x in enumerate(lines) if x.strip()]
-    pages = [k for k in filled if len(lines[k]) < 40 and PAGE.match(lines[k]) and re.search(r"\d", lines[k])]
+    pages = [k for k in filled if folding.is_page(lines[k])]
     rest = [k for k in filled if k not in pages]
     edges = []
     if len(rest) > 1:
@@ -327,24 +391,24 @@ def edge_lines(text: str) -> tuple[list[int], list[tuple[int, str]]]:
         if line[:1].isupper() or line[:1].isdigit():
             if b - k > 1 or k - a > 1 or (lines[b].strip()[:1].islower() and lines[a].rstrip()[-1:] not in ".!?:;»"):
                 edges.append((k, ""))
-    return pages, [(k, side) for k, side in edges if not re.search(r"[.!?;,]\s*$", lines[k]) and 4 < len(lines[k].strip()) < 120]
+    return pages, [(k, side) for k, side in edges if not re.search(r"[.!?;,]\s*$", lines[k]) and len(lines[k].strip()) >= LEAST_HEADER]
 
 
-def headers(scans: DataFrame) -> DataFrame:
+def headers(scans: DataFrame, folding: Folding) -> DataFrame:
     """(block_id, line_no, defect) of running headers, and of page numbers in them; ``scans``: block_id, file_path, text."""
 
     def make():  # noqa: ANN202
         def step(rows: Iterator[tuple]) -> Iterable[tuple]:
             for key, path, text in rows:
                 lines = text.split("\n")
-                for k, side in edge_lines(text)[1]:
+                for k, side in edge_lines(text, folding)[1]:
                     line = lines[k]
                     tail = TAIL.search(line) or ONE_TAIL.search(line)
-                    if PAGE.match(line):
+                    if folding.is_page(line):
                         continue
-                    yield path, side + fold(line), key, k, None
+                    yield path, side + folding.fold(line), key, k, None
                     if tail and len(line[: tail.start()].strip()) > 4:
-                        yield path, side + fold(line[: tail.start()]), key, k, tail[1]
+                        yield path, side + folding.fold(line[: tail.start()]), key, k, tail[1]
 
         return step
 
@@ -364,7 +428,8 @@ def scans_of(blocks: DataFrame) -> DataFrame:
 def defects(blocks: DataFrame) -> DataFrame:
     """(block_id, defect): one row for each sort of noise in a block."""
     scans = scans_of(blocks)
-    sent = blocks.sparkSession.sparkContext.broadcast(fit(blocks))
+    model = fit(blocks)
+    sent = blocks.sparkSession.sparkContext.broadcast(model)
 
     def make():  # noqa: ANN202
         channel = sent.value
@@ -373,7 +438,7 @@ def defects(blocks: DataFrame) -> DataFrame:
         def step(rows: Iterator[tuple]) -> Iterable[tuple]:
             for key, text in rows:
                 found = channel.read(text)[1]
-                if edge_lines(text)[0]:
+                if edge_lines(text, channel.folding)[0]:
                     found.add("page_number")
                 for defect in found:
                     yield key, defect
@@ -381,14 +446,15 @@ def defects(blocks: DataFrame) -> DataFrame:
         return step
 
     read = map_rows(scans.select("block_id", "text"), make, "block_id bigint, defect string", [("block_id", pa.int64()), ("defect", pa.string())])
-    return read.unionByName(headers(scans).select("block_id", "defect")).distinct()
+    return read.unionByName(headers(scans, model.folding).select("block_id", "defect")).distinct()
 
 
 def repair(blocks: DataFrame) -> DataFrame:
     """(block_id, clean_text): continuous paragraphs without headers and page numbers, words whole and read right."""
     scans = scans_of(blocks)
-    sent = blocks.sparkSession.sparkContext.broadcast(fit(blocks))
-    drop = headers(scans).groupBy("block_id").agg(F.collect_set("line_no").alias("out"))
+    model = fit(blocks)
+    sent = blocks.sparkSession.sparkContext.broadcast(model)
+    drop = headers(scans, model.folding).groupBy("block_id").agg(F.collect_set("line_no").alias("out"))
 
     def make():  # noqa: ANN202
         channel = sent.value
@@ -397,7 +463,7 @@ def repair(blocks: DataFrame) -> DataFrame:
         def step(rows: Iterator[tuple]) -> Iterable[tuple]:
             for key, text, out in rows:
                 lines, _, joins = channel.read(text)
-                gone = {*edge_lines(text)[0], *(out or ())}
+                gone = {*edge_lines(text, channel.folding)[0], *(out or ())}
                 yield key, paragraphs([(x, j) for k, (x, j) in enumerate(zip(lines, joins, strict=True)) if k not in gone])
 
         return step

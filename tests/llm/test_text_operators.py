@@ -410,6 +410,11 @@ def test_ciphers_against_brute_force():
 # Problem 1
 
 
+@pytest.mark.parametrize(("line", "is_page"), [("— 3 —", True), ("Стр. 12 из 40", True), ("5heet 2", True), ("Раgе 4", False), ("3 октября", False), ("лист", False), ("12/14", True)])
+def test_page_numbers(line, is_page):
+    assert scans.Folding(scans.ALWAYS).is_page(line) == is_page
+
+
 def test_scans(spark):
     clean = corpus(9, 400)
     texts = [
@@ -437,8 +442,23 @@ def test_pairs_are_counted_in_any_batches(spark):
 
 
 def test_every_confusable_place_is_tried():
-    channel = scans.Channel({"л" * 15 + "ш": 50, "слово": 100}, {}, {})
-    assert "л" * 15 + "ш" in {w for w, *_ in channel.candidates("л" * 15 + "щ")}
+    """Also in a word of more than 40 characters, and however many readings there are."""
+    word = "|б" * 25 + "з"
+    channel = scans.Channel({word: 50, "слово": 100}, {}, {})
+    assert word in {w for w, *_ in channel.candidates("|б" * 25 + "3")}
+    read = "0а|а!а1аrn"
+    many = {read.replace(a, b): 5 for a, b in scans.ALWAYS if a in read}
+    assert len(many) > 8 and {w for w, *_ in scans.Channel(many, {}, {}).candidates(read)} == {read, *many}
+
+
+def test_confusions_are_learned():
+    """What turns many unknown scanned words into known ones is a misreading; what turns known words into one another is not."""
+    rng = random.Random(5)
+    stems = ["".join(rng.choice("бвдзклмнпрст") + rng.choice("аеиоу") for _ in range(4)) + "т" for _ in range(60)]
+    words = {s + e: 20 for s in stems for e in ("а", "у", "ом")}
+    scanned = {w.replace("т", "ж", 1): 3 for w in list(words)[:90]} | {s + "е": 3 for s in stems}
+    learned = set(scans.Channel(words, {}, scanned).confusions) - set(scans.ALWAYS)
+    assert learned == {("ж", "т")}
 
 
 def test_personal(spark):
