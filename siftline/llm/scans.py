@@ -36,8 +36,8 @@ ALWAYS = (
 )
 #: A confusion is learned if it explains so many words and so many different ones, no one of them more than half, and so many times more than words of the vocabulary.
 LEAST_SEEN, LEAST_DIFFERENT, TIMES = 8, 5, 10
-#: Letters of words from which confusions are learned, at least.
-WHOLE = 4
+#: Letters of words from which confusions are learned, at least, and the share of a confusion's places that are not at a word's end, as endings are.
+WHOLE, INSIDE = 4, 0.3
 #: Words and word pairs from this share on make the model, which bounds it.
 SHARE = 1e-6
 #: Log probability that a word is none of the vocabulary.
@@ -156,31 +156,32 @@ class Channel:
                     for i in range(len(word) - size + 1):
                         holes.setdefault((word[:i], word[i + size :]), []).append((word[i : i + size], n))
 
-        def neighbours(word: str) -> Iterator[tuple[str, str, int]]:
+        def neighbours(word: str) -> Iterator[tuple[str, str, int, bool]]:
             for size in (1, 2):
                 for i in range(len(word) - size + 1):
                     a = word[i : i + size]
                     if MARKS.isdisjoint(a):
                         for b, n in holes.get((word[:i], word[i + size :]), ()):
-                            # Of two characters that give two both must differ: else one that gives one says it.
-                            if a != b and b.isalpha() and not (size == len(b) == 2 and (a[0] == b[0] or a[1] == b[1])):
-                                yield a, b, n
+                            if a != b and b.isalpha() and size + len(b) < 4:
+                                yield a, b, n, i + size < len(word) - 1
 
         seen: Counter = Counter()
+        inside: Counter = Counter()
         different: dict[tuple[str, str], Counter] = {}
         for word, n in scanned.items():
             if word not in self.words and WHOLE <= len(word) <= self.longest + 1 and not NUMBER.search(word):
                 found = list(neighbours(word))
-                mass = sum(m for *_, m in found)
-                for a, b, m in found:
+                mass = sum(m for _, _, m, _ in found)
+                for a, b, m, within in found:
                     seen[a, b] += n * m / mass
+                    inside[a, b] += within * n * m / mass
                     different.setdefault((a, b), Counter())[word] += n * m / mass
-        likely = {c for c, n in seen.items() if n >= LEAST_SEEN and len(different[c]) >= LEAST_DIFFERENT and max(different[c].values()) <= 0.5 * n}
+        likely = {c for c, n in seen.items() if n >= LEAST_SEEN and len(different[c]) >= LEAST_DIFFERENT and max(different[c].values()) <= 0.5 * n and inside[c] >= INSIDE * n}
         usual: Counter = Counter()
         if likely:
             for word in self.words:
                 if len(word) >= WHOLE:
-                    usual.update(c for *c_, _ in neighbours(word) if (c := tuple(c_)) in likely)
+                    usual.update((a, b) for a, b, *_ in neighbours(word) if (a, b) in likely)
         # Two letters that words often hold are themselves; their likeness to one letter is left to ALWAYS.
         own: Counter = Counter(w[i : i + 2] for w in self.words for i in range(len(w) - 1))
         return [c for c in likely if seen[c] >= TIMES * usual[c] and own[c[0]] * TIMES <= len(different[c])]
