@@ -23,10 +23,12 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.common import Memo, count_keys, map_rows
+from siftline.session import checkpoint
 
 METHODS = ("ocr_extractor", "pdf_text_extractor")
 #: Misreadings of every typeface, digits for letters and letters run together: what is read and what it was; fixed values.
@@ -61,6 +63,11 @@ TAIL = re.compile(r"(?:\s{2,}|\t|\s*[|·—–]\s*)[-—–\[(]*(\d{1,4})[-—
 ONE_TAIL = re.compile(r"\s(\d{1,4})\s*$")
 
 
+DIGIT = re.compile(r"\d")
+#: What may stand around a page number, and the most characters between that its pattern has, without blanks.
+AROUND_PAGE, MOST_PAGE = " \t-—–[(|])", 2 + 1 + 2 * 4 + max(map(len, PAGE_WORDS)) + max(map(len, OF_WORDS))
+
+
 class Folding:
     """Lines with the characters that are confused as one, and what is a page number under it."""
 
@@ -91,7 +98,9 @@ class Folding:
 
     def is_page(self, line: str) -> bool:
         """Whether a line is a page number, alone or with a word for it."""
-        return any(c.isdigit() for c in line) and self.page.match(self.fold(line)) is not None
+        if not DIGIT.search(line) or (len(line) > MOST_PAGE and len("".join(line.strip(AROUND_PAGE).split())) > MOST_PAGE):
+            return False
+        return self.page.match(self.fold(line)) is not None
 
 
 def words_of(text: str) -> list[str]:
@@ -395,6 +404,10 @@ def edge_lines(text: str, folding: Folding) -> tuple[list[int], list[tuple[int,
     return pages, [(k, side) for k, side in edges if not re.search(r"[.!?;,]\s*$", lines[k]) and len(lines[k].strip()) >= LEAST_HEADER]
 
 
+def _key(text: str) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(text.encode("utf-8", "surrogatepass")), "big", signed=True)
+
+
 def headers(scans: DataFrame, folding: Folding) -> DataFrame:
     """(block_id, line_no, defect) of running headers, and of page numbers in them; ``scans``: block_id, file_path, text."""
 
@@ -402,19 +415,22 @@ def headers(scans: DataFrame, folding: Folding) -> DataFrame:
         def step(rows: Iterator[tuple]) -> Iterable[tuple]:
             for key, path, text in rows:
                 lines = text.split("\n")
+                place = _key(path)
                 for k, side in edge_lines(text, folding)[1]:
                     line = lines[k]
                     tail = TAIL.search(line) or ONE_TAIL.search(line)
                     if folding.is_page(line):
                         continue
-                    yield path, side + folding.fold(line), key, k, None
-                    if tail and len(line[: tail.start()].strip()) > 4:
-                        yield path, side + folding.fold(line[: tail.start()]), key, k, tail[1]
+                    yield place, _key(side + folding.fold(line)), key, k, None
+                    if tail and len(line[: tail.start()].strip()) >= LEAST_HEADER:
+                        yield place, _key(side + folding.fold(line[: tail.start()])), key, k, tail[1]
 
         return step
 
     text, number = pa.string(), pa.int64()
-    edges = map_rows(scans.select("block_id", F.coalesce("file_path", F.lit("")), "text"), make, "path string, key string, block_id bigint, line_no bigint, page string", [("path", text), ("key", text), ("block_id", number), ("line_no", number), ("page", text)]).distinct()
+    # Files and lines as hashes of 64 bits each; the rows are small, read twice and written once.
+    made = map_rows(scans.select("block_id", F.coalesce("file_path", F.lit("")), "text"), make, "path bigint, key bigint, block_id bigint, line_no bigint, page string", [("path", number), ("key", number), ("block_id", number), ("line_no", number), ("page", text)])
+    edges = checkpoint(made).distinct()
     # Plain and numbered lines of one key are counted apart: titles may end in a number that stays.
     counted = edges.groupBy("path", "key", F.col("page").isNotNull().alias("numbered")).agg(F.count_distinct("block_id").alias("blocks"), F.count_distinct("line_no").alias("lines"), F.count_distinct("page").alias("pages"))
     again = counted.where("(blocks > 1 or lines > 1) and (not numbered or pages > 1)")
