@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -82,7 +83,7 @@ NAME = re.compile(
 )
 NAME_LOW = re.compile(rf"(?<!\w)(?:ФИО|ПІБ|ф\.?\s?и\.?\s?о\.?):?{G}(\w+{G}\w+(?:{G}\w+)?)", re.I)
 EMAIL = re.compile(
-    rf"(?<![\w.+*-])(?P<user>\w[\w.+-]{{0,63}}?)(?P<at>{S}(?:@|[\[({{<]{S}(?:at|собака|ет|dog|zavináč){S}[\])}}>]){S})(?P<host>\w[\w-]*(?:(?:\.|{S}[\[({{]{S}(?:dot|точка|крапка|punkt|tečka){S}[\])}}]{S})\w[\w-]*)+)", re.I
+    rf"(?<![\w.+*-])(?P<user>\w[\w.+-]*?)(?P<at>{S}(?:@|[\[({{<]{S}(?:at|собака|ет|dog|zavináč){S}[\])}}>]){S})(?P<host>\w[\w-]*(?:(?:\.|{S}[\[({{]{S}(?:dot|точка|крапка|punkt|tečka){S}[\])}}]{S})\w[\w-]*)+)", re.I
 )
 DIGIT_SEP = r"(?:[ \t]?\n?[ .\-–‐/()]{0,3}\n?)"
 PHONE = re.compile(
@@ -102,13 +103,15 @@ ADDRESS = re.compile(
     rf"|(?<!\w)[{U}][{L}-]*(?:straße|strasse|str\.|weg|allee|platz|gasse){G}\d+[a-z]?(?!\w)"
     rf"|(?<!\w)(?:ulice|ulici|ul\.|náměstí|nám\.|třída|tř\.){G}{W}(?:{G}[{U}{L}]+)?,?{G}\d+(?:/\d+)?", re.I
 )
-#: What every address (e-mail or postal) holds; only its surroundings are searched.
+#: What every address (e-mail or postal) holds; an e-mail is matched from the beginning of the word before it on.
 EMAIL_SIGN = re.compile(r"@|[\[({<][ \t\n]*(?:at|собака|ет|dog|zavináč)[ \t\n]*[\])}>]", re.I)
 STREET_SIGN = re.compile(
     r"(?i:(?<!\w)(?:улиц|ул[.\s]|вул|пер[.\s]|переул|пров|просп|пр-т|набер|наб\.|шосс|бульв|б-р|площ|пл\.|проезд|тупик|аллея))|(?<!\w)(?:ulic|ul\.|nám|třída|tř\.)"
     r"|(?<=\s)(?:Lane|Ln|Road|Rd|Street|St|Avenue|Ave|Drive|Dr|Court|Ct|Square|Sq|Way|Close|Hill|Boulevard|Blvd|Place|Row|Terrace)(?!\w)|(?:straße|strasse|str\.|weg|allee|platz|gasse)(?=\s+\d)"
 )
-BEFORE, BEHIND = 110, 130
+#: Words before and behind the sign of a street that its pattern can reach, of any length.
+BEFORE, BEHIND = 12, 24
+GAP = re.compile(r"\s+")
 #: Words before a value that speak for a category, and those that speak for goods, files, devices and organisations.
 FOR = {
     "phone": re.compile(r"тел|phone|call|звон|связь|contact|моб|перезвон|получател|recipient|volejte|anruf|rufen|дзвон|зв.?яз", re.I),
@@ -118,6 +121,10 @@ FOR = {
     "email": re.compile(r"адрес|почт|mail|ответ|answer|writ|wrote|копия|copy|duplicate|связь|contact|adres|antwort|odpov", re.I),
 }
 AGAINST = re.compile(r"парти[ия]|накладн|инвентар|учёта|учета|inventory|lot number|waybill|сборк|build|узел|node|верси|version|артикул|счёт-фактур|серийн|serial|устройств|device|заявке|request|описи|огрн|кпп|партії|накладна|обліку|order|charge|bestand|šarže|položk|inventář|los\b", re.I)
+#: Words right before a name, and what may stand between.
+LABEL = re.compile(r"(?<!\w)(?:фио|піб|ф\.и\.о\.|заявитель|заявник|владелец|власник|получатель|одержувач|подписал[аи]?|подписано|підписав|ответственн\w+|name|full name|signed by|contact|recipient|applicant|owner|unterschrieben von|empfänger|jméno|podepsal[aiy]?|příjemce)[ \t]*[:–—-]?[ \t]*$", re.I)
+#: Words with capitals that stand behind such a word and are part of no name.
+NO_NAME = frozenset("the our your this that all any team board office department support group service company der die das unser ihr abteilung gruppe firma oddělení skupina".split())
 #: Words that name a record of things although one of them alone could name a personal number.
 THINGS = re.compile(r"inventory card|карточк\w+ уч[её]та|картк\w+ обліку", re.I)
 HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
@@ -164,6 +171,25 @@ def _parts(value: str) -> list[str]:
     return re.findall(rf"[{U}{L}-]+", value)
 
 
+def unlisted(full: list[tuple[str, int, int]], fathers: list, text: str) -> tuple[str, str, str, tuple[int, int]] | None:
+    """A full name whose given name no list has: known by its patronymic, or by a word right before it that names go with."""
+    rest = [w for w in full if w not in fathers]
+    low, high = full[0][1], full[-1][2]
+    if fathers:
+        near = [w for w in rest if abs(full.index(w) - full.index(fathers[0])) <= 2]
+        surnames = [w for w in near if SURNAME_C.match(w[0])]
+        if len(near) < 2 or not surnames:
+            return None
+        return "+", "+", stem(surnames[0][0]), (min(near[0][1], fathers[0][1]), max(near[-1][2], fathers[0][2]))
+    if len(full) != 2 or "\n" in text[low:high] or not LABEL.search(text[max(0, low - 40) : low]):
+        return None
+    if full[0][0][0] >= "Ѐ":
+        surnames = [w for w in full if SURNAME_C.match(w[0])]
+        return ("0", "?", stem(surnames[0][0]), (low, high)) if surnames else None
+    # No list speaks for or against it.
+    return ("0", "0", stem(full[1][0]), (low, high)) if not any(w[0] in NO_NAME for w in full) else None
+
+
 def name_votes(m: re.Match, text: str) -> tuple[str, str, str, tuple[int, int]] | None:
     """(form, gazetteer vote, surname, span) of a proposed name; None if it cannot be one."""
     a, b = m.span()
@@ -173,6 +199,8 @@ def name_votes(m: re.Match, text: str) -> tuple[str, str, str, tuple[int, int]]
     given = [w for w in full if w[0] in GIVEN]
     fathers = [w for w in full if PATRONYMIC.match(w[0]) and w not in given]
     rest = [w for w in full if w not in given and w not in fathers]
+    if kind == "full" and not given:
+        return unlisted(full, fathers, text)
     if kind in ("full", "mid"):
         if not given:
             return None
@@ -225,31 +253,48 @@ def propose(text: str, hint: str = "") -> Iterator[tuple[str, int, int, str, str
     def free(a: int, b: int) -> bool:
         return all(b <= x or a >= y for x, y in taken)
 
-    def near(pattern: re.Pattern, sign: re.Pattern) -> Iterator[re.Match]:
-        """Matches of ``pattern`` around each match of ``sign``, from left to right."""
+    def emails() -> Iterator[re.Match]:
+        """E-mail addresses, from left to right: each begins with the word that stands before its sign."""
         done = 0
-        for x in sign.finditer(text):
+        for x in EMAIL_SIGN.finditer(text):
+            if x.start() < done:
+                continue
+            a = x.start()
+            while a > done and text[a - 1] in " \t\n":
+                a -= 1
+            while a > done and (text[a - 1].isalnum() or text[a - 1] in "_.+-"):
+                a -= 1
+            at = EMAIL.match(text, a)
+            if at is not None:
+                done = at.end()
+                yield at
+
+    def addresses() -> Iterator[re.Match]:
+        """Postal addresses around each sign of a street, from left to right."""
+        done, gaps = 0, None
+        for x in STREET_SIGN.finditer(text):
             if x.start() < done:
                 continue
-            low = max(done, x.start() - BEFORE)
-            while 0 < low < x.start() and not text[low - 1].isspace():
-                low += 1
-            at = pattern.search(text, low, x.end() + BEHIND)
+            gaps = gaps if gaps is not None else [m.end() for m in GAP.finditer(text)]
+            k = bisect_left(gaps, x.start())
+            low = max(done, gaps[k - BEFORE] if k >= BEFORE else 0)
+            high = gaps[k + BEHIND] if k + BEHIND < len(gaps) else len(text)
+            at = ADDRESS.search(text, low, high)
             while at is not None and at.end() <= x.start():
-                at = pattern.search(text, at.end(), x.end() + BEHIND)
+                at = ADDRESS.search(text, at.end(), high)
             if at is not None and at.start() <= x.end():
                 done = at.end()
                 yield at
 
     low = text.lower()
     if "@" in text or "[at" in low or "(at" in low or "собака" in low or "zavin" in low or "(ет" in low:
-        for m in near(EMAIL, EMAIL_SIGN):
+        for m in emails():
             a, b = m.start("user"), m.end("host")
             taken.append((a, b))
             yield "email", a, b, ("+" if m["at"].strip() == "@" else "0") + "0" + ("+" if re.search(r"\w{2,}$", m["host"]) else "-") + around("email", a, b), ""
     if DIGITS.search(text):
-        if DIGITS.search(text):
-            for m in near(ADDRESS, STREET_SIGN):
+        if STREET_SIGN.search(text):
+            for m in addresses():
                 a, b = m.span()
                 city = m["city"]
                 if city and (any(w.lower() in GIVEN or PATRONYMIC.match(w.lower()) for w in _parts(city)) or re.search(r"\b\w\.", city.replace("г.", "").replace("м.", "")) or re.search(rf"{INITIAL}\s?$", text[max(0, a - 4) : a])):
@@ -314,7 +359,7 @@ def propose(text: str, hint: str = "") -> Iterator[tuple[str, int, int, str, str
         at = max(b, m.start() + 1)
         if free(a, b):
             taken.append((a, b))
-            yield "name", a, b, form + "0" + gazetteer + around("name", a, b), surname
+            yield "name", a, b, form + "0" + gazetteer + ("+" if LABEL.search(text[max(0, a - 40) : a]) else around("name", a, b)), surname
 
 
 def plain(text: str) -> tuple[str, list[int] | None]:

@@ -485,6 +485,19 @@ def test_personal(spark):
     assert personal.accepted(personal.spans(pieces.limit(0)), personal.fit(personal.spans(pieces.limit(0)))).count() == 0
 
 
+@pytest.mark.parametrize(("text", "category", "value"), [
+    ("Заявитель: Ахметов Айдар Маратович, тел.", "name", "Ахметов Айдар Маратович"), ("Signed by Kwame Mensah today.", "name", "Kwame Mensah"), ("contact Priya Sharma", "name", "Priya Sharma"), ("Владелец Сидоров Добрыня подал", "name", "Сидоров Добрыня"),
+    ("на " + "a" * 100 + "." + "b" * 90 + "@" + "c" * 60 + ".mail.test сюда", "email", "a" * 100 + "." + "b" * 90 + "@" + "c" * 60 + ".mail.test"),
+    ("живёт: 123456, г. Нижний Новгород, ул. " + "Длинная" * 40 + ", д. 5", "address", "123456, г. Нижний Новгород, ул. " + "Длинная" * 40 + ", д. 5"),
+])
+def test_unlisted_names_and_long_values(text, category, value):
+    assert [(c, text[a:b]) for c, a, b, *_ in personal.propose(text)] == [(category, value)]
+
+
+def test_no_names():
+    assert not list(personal.propose("Signed by The Board")) and not list(personal.propose("Красная Площадь Москва"))
+
+
 # Problem 9
 
 
