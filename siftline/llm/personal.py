@@ -458,20 +458,29 @@ def _cased(text: str, hint: str) -> str:
     return made if len(made) == len(text) else text
 
 
+#: A text of a record, told apart from other texts under its id.
+TEXT_KEY = ("rec_table", "rec_id", "first_line", "text_key")
+
+
 def spans(texts: DataFrame) -> DataFrame:
-    """A row for each proposed span: rec_table, rec_id, line_no, category, votes, surname."""
+    """A row for each proposed span: rec_table, rec_id, first_line and text_key of its text, line_no, from_char, to_char, category, votes, surname."""
 
     def make():  # noqa: ANN202
         def step(rows: Iterator[tuple]) -> Iterable[tuple]:
-            for table, key, line, hint, text in rows:
-                body, _ = plain(_cased(text, hint))
-                for category, a, _b, votes, surname in propose(body, hint):
-                    yield table, key, line + (body.count("\n", 0, a) if table == "text_blocks" else 0), category, votes, surname
+            for table, key, line, text_key, hint, text in rows:
+                body, places = plain(_cased(text, hint))
+                for category, a, b, votes, surname in propose(body, hint):
+                    x, y = (a, b) if places is None else (places[a], places[b - 1] + 1)
+                    yield table, key, line, text_key, line + (body.count("\n", 0, a) if table == "text_blocks" else 0), x, y, category, votes, surname
 
         return step
 
     text, number = pa.string(), pa.int64()
-    return map_rows(texts.select("rec_table", "rec_id", "first_line", "hint", "text"), make, "rec_table string, rec_id bigint, line_no bigint, category string, votes string, surname string", [("rec_table", text), ("rec_id", number), ("line_no", number), ("category", text), ("votes", text), ("surname", text)])
+    return map_rows(
+        texts.select("rec_table", "rec_id", "first_line", F.xxhash64("text").alias("text_key"), "hint", "text"), make,
+        "rec_table string, rec_id bigint, first_line bigint, text_key bigint, line_no bigint, from_char bigint, to_char bigint, category string, votes string, surname string",
+        [("rec_table", text), ("rec_id", number), ("first_line", number), ("text_key", number), ("line_no", number), ("from_char", number), ("to_char", number), ("category", text), ("votes", text), ("surname", text)],
+    )
 
 
 def fit(found: DataFrame) -> SpanModel:
@@ -479,8 +488,11 @@ def fit(found: DataFrame) -> SpanModel:
     full = found.where("category = 'name' and votes like '__+_' and surname <> ''")
     counted = full.groupBy("surname").agg(F.count("*").alias("n"))
     total = full.count()
-    surnames = {r.surname for r in counted.where(F.col("n") >= max(1, SURNAME_SHARE * total)).collect()}
-    patterns = found.groupBy("category", "votes", F.when(F.col("votes").contains("?"), F.col("surname").isin(*surnames) if surnames else F.lit(False)).alias("known"), F.when(F.col("votes").contains("?"), F.substring("surname", 1, 1) >= "Ѐ").alias("cyrillic"))
+    known = counted.where(F.col("n") >= max(1, SURNAME_SHARE * total)).select("surname", F.lit(True).alias("known"))  # at most 1 / SURNAME_SHARE
+    surnames = {r.surname for r in known.collect()}
+    open_votes = F.col("votes").contains("?")
+    judged = found.join(F.broadcast(known), "surname", "left")
+    patterns = judged.groupBy("category", "votes", F.when(open_votes, F.coalesce("known", F.lit(False))).alias("known"), F.when(open_votes, F.substring("surname", 1, 1) >= "Ѐ").alias("cyrillic"))
     counts: dict[tuple[str, str], int] = defaultdict(int)
     for r in patterns.agg(F.count("*").alias("n")).collect():
         counts[r.category, r.votes.replace("?", "+" if r.known else "0" if r.cyrillic else "-")] += r.n
@@ -488,7 +500,7 @@ def fit(found: DataFrame) -> SpanModel:
 
 
 def accepted(found: DataFrame, model: SpanModel) -> DataFrame:
-    """The spans that the model takes for personal values."""
+    """The spans that the model takes for personal values, without votes and surname."""
     sent = found.sparkSession.sparkContext.broadcast(model)
 
     def make():  # noqa: ANN202
@@ -496,39 +508,43 @@ def accepted(found: DataFrame, model: SpanModel) -> DataFrame:
         known: dict[tuple[str, str], bool] = {}
 
         def step(rows: Iterator[tuple]) -> Iterable[tuple]:
-            for table, key, line, category, votes, surname in rows:
+            for *own, category, votes, surname in rows:
                 pattern = category, held.settle(votes, surname)
                 if pattern not in known:
                     known[pattern] = held.accepts(*pattern)
                 if known[pattern]:
-                    yield table, key, line, category
+                    yield *own, category
 
         return step
 
     text, number = pa.string(), pa.int64()
-    return map_rows(found.select("rec_table", "rec_id", "line_no", "category", "votes", "surname"), make, "rec_table string, rec_id bigint, line_no bigint, category string", [("rec_table", text), ("rec_id", number), ("line_no", number), ("category", text)])
+    chosen = found.select(*TEXT_KEY, "line_no", "from_char", "to_char", "category", "votes", "surname")
+    return map_rows(
+        chosen, make, "rec_table string, rec_id bigint, first_line bigint, text_key bigint, line_no bigint, from_char bigint, to_char bigint, category string",
+        [("rec_table", text), ("rec_id", number), ("first_line", number), ("text_key", number), ("line_no", number), ("from_char", number), ("to_char", number), ("category", text)],
+    )
 
 
-def redact(texts: DataFrame, model: SpanModel) -> DataFrame:
-    """(rec_table, rec_id, first_line, clean_text): the texts with typed placeholders, all else unchanged."""
-    sent = texts.sparkSession.sparkContext.broadcast(model)
+def redact(texts: DataFrame, found: DataFrame, model: SpanModel) -> DataFrame:
+    """(rec_table, rec_id, first_line, clean_text): the texts with typed placeholders, all else unchanged; repeated deliveries once.
 
-    def make():  # noqa: ANN202
-        held = sent.value
+    The spans found before are cut out; a text meets its own spans only.
+    """
+    cuts = accepted(found, model).groupBy(*TEXT_KEY).agg(F.collect_set(F.struct("from_char", "to_char", "category")).alias("cuts"))
+    once = texts.select("rec_table", "rec_id", "first_line", F.xxhash64("text").alias("text_key"), "text").dropDuplicates(list(TEXT_KEY))
 
+    def make():  # noqa: ANN202
         def step(rows: Iterator[tuple]) -> Iterable[tuple]:
-            for table, key, line, hint, text in rows:
-                body, places = plain(_cased(text, hint))
+            for table, key, line, text, own in rows:
                 out, done = [], 0
-                for category, a, b, votes, surname in sorted(propose(body, hint), key=lambda s: s[1]):
-                    if held.accepts(category, held.settle(votes, surname)):
-                        x, y = (a, b) if places is None else (places[a], places[b - 1] + 1)
-                        if x >= done:
-                            out += [text[done:x], PLACEHOLDERS[category]]
-                            done = y
+                for cut in sorted(own or (), key=lambda c: (c["from_char"], -c["to_char"])):
+                    if cut["from_char"] >= done:
+                        out += [text[done : cut["from_char"]], PLACEHOLDERS[cut["category"]]]
+                        done = cut["to_char"]
                 yield table, key, line, "".join([*out, text[done:]])
 
         return step
 
     text, number = pa.string(), pa.int64()
-    return map_rows(texts.select("rec_table", "rec_id", "first_line", "hint", "text"), make, "rec_table string, rec_id bigint, first_line bigint, clean_text string", [("rec_table", text), ("rec_id", number), ("first_line", number), ("clean_text", text)])
+    joined = once.join(cuts.hint("shuffle_merge"), list(TEXT_KEY), "left").select("rec_table", "rec_id", "first_line", "text", "cuts")
+    return map_rows(joined, make, "rec_table string, rec_id bigint, first_line bigint, clean_text string", [("rec_table", text), ("rec_id", number), ("first_line", number), ("clean_text", text)])

@@ -75,12 +75,13 @@ def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = checkpoint(personal.spans(_personal(spark, sf_dir)))
-    return personal.accepted(found, personal.fit(found)).distinct()
+    return personal.accepted(found, personal.fit(found)).select("rec_table", "rec_id", "line_no", "category").distinct()
 
 
 def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _personal(spark, sf_dir)
-    return personal.redact(texts, personal.fit(checkpoint(personal.spans(texts)))).distinct()
+    found = checkpoint(personal.spans(texts))
+    return personal.redact(texts, found, personal.fit(found))
 
 
 def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -480,7 +480,7 @@ def test_personal(spark):
     found = {(r.rec_table, r.rec_id, r.line_no, r.category) for r in personal.accepted(spans, model).collect() if r.rec_id < 1000}
     b, f = "text_blocks", "findings"
     assert found == {(b, 0, 0, "email"), (b, 0, 1, "phone"), (b, 1, 0, "email"), (b, 1, 0, "name"), (b, 2, 0, "id_number"), (b, 4, 0, "address"), (b, 6, 0, "name"), (b, 6, 0, "phone"), (b, 6, 1, "name"), (b, 8, 0, "id_number"), (b, 12, 0, "email"), (f, 1, 0, "email"), (f, 2, 0, "id_number"), (f, 4, 0, "name")}
-    made = {(r.rec_table, r.rec_id): r.clean_text for r in personal.redact(pieces, model).where("first_line = 0").collect()}
+    made = {(r.rec_table, r.rec_id): r.clean_text for r in personal.redact(pieces, personal.spans(pieces), model).where("first_line = 0").collect()}
     assert made[b, 0] == "Ответ отправьте на [EMAIL] до пятницы.\nСвязь по телефону [PHONE]." and made[b, 5] == texts[5]
     assert personal.accepted(personal.spans(pieces.limit(0)), personal.fit(personal.spans(pieces.limit(0)))).count() == 0
 
