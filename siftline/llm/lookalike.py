@@ -1,7 +1,8 @@
 """Problem 2: one consistent form for texts that look the same.
 
-DuckDB runs inside the Arrow partitions. Its SQL drops invisible characters, maps full-width and other compatibility
-forms, makes every blank a plain one, composes accents (nfc_normalize) and gives two forms: ``clean_text``, readable, in
+DuckDB runs inside the Arrow partitions. Its SQL drops invisible characters, maps full-width, half-width, mathematical,
+ligature and other compatibility forms (a table made from the character database; raised, lowered and circled characters
+look different and stay), makes every blank a plain one, composes accents (nfc_normalize) and gives two forms: ``clean_text``, readable, in
 which a look-alike letter becomes the letter of the alphabet that its word is otherwise written in; and ``look_key``,
 a hash of the text with every look-alike folded to one letter, equal exactly for texts that look the same. Case,
 accents, digits and word order stay.
@@ -12,6 +13,8 @@ through; a column named clean_text or look_key is replaced.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,36 +26,69 @@ from pyspark.sql import types as T
 INVISIBLE = "[\\x{00AD}\\x{034F}\\x{061C}\\x{115F}\\x{1160}\\x{17B4}\\x{17B5}\\x{180B}-\\x{180E}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{FE00}-\\x{FE0F}\\x{FEFF}]"
 #: Blanks of another width.
 BLANKS = "".join(map(chr, [0x09, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]))
-#: Full-width ASCII forms and their plain ones.
-WIDE, PLAIN = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
-#: Compatibility forms of more than one letter.
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ", "ǆ": "dž", "ǉ": "lj", "ǌ": "nj"}
-#: Letters of two alphabets with one look, letter by letter.
+#: Kinds of compatibility forms that look like what they stand for.
+LIKE = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>")
+#: Marks that look like another one: hyphens, slashes, an apostrophe.
+MARKS, MARKS_PLAIN = "\u2010\u2011\ufe63\uff0d\u2044\u2215\u02bc", "----//\u2019"
+
+
+def compatible() -> dict[str, str]:
+    """Every character with a compatibility form that looks like it, and that form; blanks and accents standing alone are left out."""
+    out = {}
+    for code in range(0xA1, sys.maxunicode + 1):
+        c = chr(code)
+        kind = unicodedata.decomposition(c).partition(" ")[0]
+        if kind in LIKE and unicodedata.category(c) != "Zs":
+            form = unicodedata.normalize("NFKC", c)
+            if form != c and not form.startswith(" ") and c not in MARKS + "№":
+                out[c] = form
+    return out
+
+
+COMPATIBLE = compatible()
+ONE = {a: b for a, b in COMPATIBLE.items() if len(b) == 1} | dict(zip(MARKS, MARKS_PLAIN, strict=True))
+#: Those among the letters that most texts are made of.
+NEAR = {a: b for a, b in COMPATIBLE.items() if a < "\u0500"}
+MANY = {a: b for a, b in COMPATIBLE.items() if len(b) > 1}
+#: Letters of two alphabets with one look, letter by letter; with Greek also Armenian ones and variants of Latin ones.
 CYRILLIC, LATIN_C = "аеорсухіјѕһԁԛԝӏАВЕКМНОРСТХІЈЅУԌԚԜҮ", "aeopcyxijshdqwlABEKMHOPCTXIJSYGQWY"
-GREEK, LATIN_G = "οανΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳ", "oavABEZHIKMNOPTYXcj"
+GREEK, LATIN_G = "οανρΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳօոսհցՏԼՕՍɑɡ", "oavpABEZHIKMNOPTYXcjonuhgSLOUag"
 
 
 def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _class(characters: dict[str, str]) -> str:
+    """A regular expression for one of the characters."""
+    codes, runs = sorted(map(ord, characters)), []
+    for code in codes:
+        if runs and runs[-1][1] == code - 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+
+
 def _plain_sql(column: str) -> str:
     """SQL for a text without invisible, full-width or ligature characters and with plain blanks."""
     # A mark that a look-alike letter carries is composed on the folded letter later, hence two normalisations.
     sql = f"regexp_replace({column}, '{INVISIBLE}', '', 'g')"
-    for one, many in LIGATURES.items():
-        sql = f"replace({sql}, {_quote(one)}, {_quote(many)})"
-    sql = f"translate({sql}, {_quote(WIDE + BLANKS)}, {_quote(PLAIN + ' ' * len(BLANKS))})"
+    # Forms of more than one letter are looked up letter by letter, in the few texts that have any.
+    forms = f"MAP([{', '.join(map(_quote, MANY))}], [{', '.join(map(_quote, MANY.values()))}])"
+    sql = f"CASE WHEN regexp_matches({sql}, '{_class(MANY)}') THEN array_to_string(list_transform(string_split({sql}, ''), lambda c: coalesce({forms}[c], c)), '') ELSE {sql} END"
+    sql = f"translate({sql}, {_quote(''.join(ONE) + BLANKS)}, {_quote(''.join(ONE.values()) + ' ' * len(BLANKS))})"
     sql = f"regexp_replace(regexp_replace({sql}, ' +', ' ', 'g'), ' ?(\\r\\n|\\r|\\n) ?', '\\n', 'g')"
     return f"nfc_normalize(trim({sql}, ' \\n'))".replace("'\\n'", "chr(10)").replace("' \\n'", "' ' || chr(10)")
 
 
 #: Runs of plain characters need none of the above; the pattern finds texts that do.
-PLAIN_SQL = f"""CASE WHEN regexp_matches(text, '[^\\x{{20}}-\\x{{7E}}\\nЀ-ӿ«»№—–©À-ɏ]|[  ][ \\n]|\\n |^[ \\n]|[ \\n]$|\\x{{00A0}}|\\x{{00AD}}|[ĳĲǆǉǌ]')
+PLAIN_SQL = f"""CASE WHEN regexp_matches(text, '[^\\x{{20}}-\\x{{7E}}\\nЀ-ӿ«»№—–©À-ɏ]|[  ][ \\n]|\\n |^[ \\n]|[ \\n]$|\\x{{00A0}}|\\x{{00AD}}|{_class(NEAR)}')
  THEN {_plain_sql("text")} ELSE text END"""
 #: Composed letters whose base is a look-alike fold with it: й stays Cyrillic, but ё and ï, ё and ë look the same.
 COMPOSED, COMPOSED_L = "ёЁїЇ", "ëËïÏ"
-KEY_SQL = f"md5(translate(plain, {_quote(CYRILLIC + GREEK + COMPOSED)}, {_quote(LATIN_C + LATIN_G + COMPOSED_L)}))"
+_FOLDED = f"translate(plain, {_quote(CYRILLIC + GREEK + COMPOSED)}, {_quote(LATIN_C + LATIN_G + COMPOSED_L)})"
+KEY_SQL = f"md5(CASE WHEN regexp_matches(plain, '[\\x{{0300}}-\\x{{036F}}]') THEN nfc_normalize({_FOLDED}) ELSE {_FOLDED} END)"
 _C, _L = "[Ѐ-ӿ]", "[A-Za-zÀ-ɏ]"
 #: Characters that only one alphabet has; a word with such a Cyrillic letter is Cyrillic.
 ONLY_C, ONLY_L = "[бвгджзийклмнптфцчшщъыьэюяєґБГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯЄҐ]", "[bdfghjklmnqrstuvwzDFGJLNQRSUVWZÀ-ɏ]"
@@ -120,11 +156,24 @@ def look_keys(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
 def same_look_pairs(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(a, b), a < b: rows that look the same but differ in characters. Repeated rows count once; null and empty never.
 
-    Only hashes are shuffled. Classes with one text are dropped by an aggregate before anything is paired, and a class
-    is paired by text variant, so copies of one text never meet one another.
+    Only hashes are shuffled. Classes with one text are dropped by an aggregate before anything is paired; the texts of a
+    class are paired first and then their rows, so copies of one text never meet one another.
     """
     keys = look_keys(df, id_col, text_col).distinct()
-    mixed = keys.groupBy("look_key").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo <> hi").select("look_key")
-    kept = keys.join(mixed, "look_key", "left_semi")
-    a, b = (kept.select("look_key", F.col("id").alias(i), F.col("text_key").alias(t)) for i, t in (("a", "ta"), ("b", "tb")))
-    return a.join(b, "look_key").where("a < b AND ta <> tb").select("a", "b").distinct()
+    variants = keys.select("look_key", "text_key").distinct()
+    mixed = variants.groupBy("look_key").agg(F.count("*").alias("n")).where("n > 1").select("look_key")
+    kept = variants.join(mixed, "look_key", "left_semi")
+    one, two = kept.withColumnRenamed("text_key", "one"), kept.withColumnRenamed("text_key", "two")
+    pairs = one.join(two, "look_key").where("one < two")  # texts of one look, not the rows that hold them
+    left = pairs.join(keys.select("look_key", F.col("text_key").alias("one"), F.col("id").alias("x")), ["look_key", "one"])
+    both = left.join(keys.select("look_key", F.col("text_key").alias("two"), F.col("id").alias("y")), ["look_key", "two"])
+    return both.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def look_classes(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, look_key, variants, links) of the rows that look like a row of another text: their class, its texts, and how many rows differ in characters. Null and empty texts have no class."""
+    keys = look_keys(df, id_col, text_col).distinct()
+    sizes = keys.groupBy("look_key", "text_key").agg(F.count("*").alias("own"))
+    classes = sizes.groupBy("look_key").agg(F.count("*").alias("variants"), F.sum("own").alias("rows")).where("variants > 1")
+    linked = sizes.join(classes, "look_key").select("look_key", "text_key", "variants", (F.col("rows") - F.col("own")).alias("links"))
+    return keys.join(linked, ["look_key", "text_key"]).select("id", "look_key", "variants", "links")

@@ -26,6 +26,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("block_id_a"), F.col("b").alias("block_id_b"))
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lookalike.look_classes(read_table(spark, sf_dir, "text_blocks"), "block_id")
+    return found.groupBy("look_key").agg(F.min("id").alias("class_id"), F.first("variants").alias("variants"), F.count("*").alias("rows"), F.sum("links").alias("links")).drop("look_key")
+
+
 def p2_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = lookalike.normalise(read_table(spark, sf_dir, "text_blocks").select("block_id", "text").distinct())
     return made.select("block_id", "clean_text", "look_key")
@@ -130,6 +135,7 @@ QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_repaired": p1_repaired,
     "p2_found": p2_found,
+    "p2_classes": p2_classes,
     "p2_normalised": p2_normalised,
     "p3_found": p3_found,
     "p3_bodies": p3_bodies,

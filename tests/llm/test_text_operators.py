@@ -39,6 +39,22 @@ def test_same_look(spark):
     assert {(r.a, r.b) for r in found} == {(0, 1), (0, 2), (1, 2), (5, 6), (7, 8)}
 
 
+@pytest.mark.parametrize(("one", "two", "same"), [
+    ("𝐀lpha", "Alpha", True), ("Ⅳ квартал", "IV квартал", True), ("ｱ", "ア", True), ("Congreſs", "Congress", True), ("ρay", "pay", True), ("a‑b‐c", "a-b-c", True), ("a∕b", "a/b", True), ("℀", "a/c", True), ("ﬁle", "file", True), ("е\u0301", "é", True),
+    ("① пункт", "1 пункт", False), ("x²", "x2", False), ("№ 5", "No 5", False), ("Alpha", "alpha", False), ("ёж", "еж", False), ("5", "6", False),
+])
+def test_looks(spark, one, two, same):
+    made = lookalike.look_keys(spark.createDataFrame([(1, one), (2, two)], "id long, text string"), "id").collect()
+    assert (made[0].look_key == made[1].look_key) == same
+
+
+def test_look_classes(spark):
+    df = blocks(spark, ["По заявке", "Пo заявке", "По заявке", "Пo зaявке", "иное", "иное", None, ""])
+    found = {r.id: (r.variants, r.links) for r in lookalike.look_classes(df, "block_id").collect()}
+    assert found == {0: (3, 2), 1: (3, 3), 2: (3, 2), 3: (3, 3)}
+    assert {(r.a, r.b) for r in lookalike.same_look_pairs(df, "block_id").collect()} == {(0, 1), (0, 3), (1, 2), (1, 3), (2, 3)}
+
+
 def test_same_look_repeats_and_empty(spark):
     df = blocks(spark, ["a b", "a b"])
     assert lookalike.same_look_pairs(df.unionByName(df), "block_id").count() == 1
@@ -249,7 +265,7 @@ def test_windows_left_out_lose_no_leak():
         texts.append([*rng.choice(WORDS, 40), *part, *rng.choice(WORDS, 40), *index.words[(key + 1) % 40][:9]])
     found = [set(index.verified(t, c)) for t, c in zip(texts, index.candidates(texts), strict=True)]
     own = index.windows
-    index.windows = lambda words: own(words, 0.0)
+    index.windows = lambda texts: own(texts, 0.0)
     every = [set(index.verified(t, c)) for t, c in zip(texts, index.candidates(texts), strict=True)]
     assert found == every and sum(map(bool, found)) >= 36
 
@@ -260,11 +276,14 @@ def test_equal_windows_have_equal_hashes_far_into_a_text():
     _, index = item_index(7, 48, 2)
     words = index.words[0]
     far = [WORDS[k % 900] for k in range(60_000)] + words
-    near = {size: dict(zip(p.tolist(), h.tolist(), strict=True)) for size, p, h in index.windows(words, 0.0)}
-    for size, places, hashes in index.windows(far, 0.0):
-        made = dict(zip(places.tolist(), hashes.tolist(), strict=True))
-        assert all(made[60_000 + k] == h for k, h in near[size].items())
-    assert np.array([len(x) for x in near.values()]).min() > 20
+    texts = [words[:5], words, [], far]
+    seen = 0
+    for _, text, places, hashes in index.windows(texts, 0.0):
+        made = dict(zip(zip(text.tolist(), places.tolist(), strict=True), hashes.tolist(), strict=True))
+        near = {p: h for (t, p), h in made.items() if t == 1}
+        assert len(near) > 20 and all(made[3, 60_000 + p] == h for p, h in near.items())
+        seen += len(near)
+    assert seen > 60
 
 
 # Problem 3
