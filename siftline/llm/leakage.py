@@ -107,11 +107,11 @@ def _best(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return top
 
 
-def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
-    """(item words held in order, start and end in the passage) of the best local alignment."""
+def align(item: np.ndarray, passage: np.ndarray, least: float = 0.0) -> tuple[int, int, int]:
+    """(item words held in order, start and end in the passage) of the best local alignment; no places if it holds fewer than ``least``."""
     value, i, k = _best(item, passage)
-    if not value:
-        return 0, 0, 0
+    if not value or value % _UNIT < least:
+        return value % _UNIT, 0, 0
     _, _, back = _best(item[:i][::-1], passage[:k][::-1])
     return value % _UNIT, k - back, k
 
@@ -141,6 +141,7 @@ class ItemIndex:
                 order = np.argsort(own, kind="stable").astype(np.int32)
                 tables.append((own[order], order))
             self.sizes[size] = (flat, owner, tables)
+        self.keys = np.array(sorted(self.words), np.int64)
 
     def weight(self, word: str) -> float:
         return self.rarity.get(word, self.rarity[""])
@@ -152,8 +153,12 @@ class ItemIndex:
         found = self.vectors.get(word)
         return self.other[word] if found is None else found
 
-    def windows(self, words: list[str], least: float = LEAST_KNOWN) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(size, positions, hashes) of the text's windows of which the share ``least`` of the weight lies in item words."""
+    def windows(self, texts: list[list[str]], least: float = LEAST_KNOWN) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(size, texts, positions, hashes) of all windows of which the share ``least`` of the weight lies in item words."""
+        words = list(itertools.chain.from_iterable(texts))
+        lengths = np.array([len(t) for t in texts])
+        begins = np.concatenate([[0], np.cumsum(lengths)])
+        owner = np.repeat(np.arange(len(texts)), lengths)
         known = np.fromiter(map(self.own.get, words, itertools.repeat(0)), np.int64, len(words))
         run = np.concatenate([[0], np.cumsum(known)])
         other = np.concatenate([[0], np.cumsum((known == 0) * self.foreign)])
@@ -161,17 +166,17 @@ class ItemIndex:
             if len(words) < size:
                 continue
             held, rest = run[size:] - run[:-size], other[size:] - other[:-size]
-            dense = np.flatnonzero(held * (1 - least) >= rest * least)
+            inside = owner[: len(words) - size + 1] == owner[size - 1 :]
+            dense = np.flatnonzero(inside & (held * (1 - least) >= rest * least))
             if not len(dense):
                 continue
             # Windows near one another are summed together, RUN of them at most.
             cuts = np.flatnonzero(np.diff(dense) > size) + 1
-            parts = [p[k : k + RUN] for p in np.split(dense, cuts) for k in range(0, len(p), RUN)]
             made = []
-            for part in parts:
+            for part in (p[k : k + RUN] for p in np.split(dense, cuts) for k in range(0, len(p), RUN)):
                 a, b = int(part[0]), int(part[-1])
                 made.append(simhash(np.stack([self.vector(w) for w in words[a : b + size]]), size)[part - a])
-            yield size, dense, np.concatenate(made)
+            yield size, owner[dense], dense - begins[owner[dense]], np.concatenate(made)
 
     def near(self, size: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in ``hashes``, items): all pairs of a hash and an item with a window of this size within the radius."""
@@ -192,20 +197,14 @@ class ItemIndex:
                 close = distance(own[place], flat[window]) <= RADIUS
                 got.append((place[close] + at, owner[window[close]]))
         places, items = (np.concatenate(x) for x in zip(*got, strict=True))
-        both = np.unique(np.stack([places, items]), axis=1) if len(places) else np.zeros((2, 0), np.int64)
-        return both[0], both[1]
+        both = np.unique(places * len(self.keys) + np.searchsorted(self.keys, items))
+        return both // len(self.keys), self.keys[both % len(self.keys)]
 
     def candidates(self, texts: list[list[str]]) -> list[dict[int, list[int]]]:
         """For each text the items of which a window is within the radius of one of its own, with the positions; all texts are probed at once."""
         out: list[dict[int, list[int]]] = [defaultdict(list) for _ in texts]
-        by: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = defaultdict(list)
-        for k, words in enumerate(texts):
-            for size, places, hashes in self.windows(words):
-                by[size].append((k, places, hashes))
-        for size, own in by.items():
-            text = np.repeat([k for k, _, _ in own], [len(p) for _, p, _ in own])
-            at = np.concatenate([p for _, p, _ in own])
-            for i, key in zip(*(x.tolist() for x in self.near(size, np.concatenate([h for *_, h in own]))), strict=True):
+        for size, text, at, hashes in self.windows(texts):
+            for i, key in zip(*(x.tolist() for x in self.near(size, hashes)), strict=True):
                 out[int(text[i])][key].append(int(at[i]))
         return out
 
@@ -222,7 +221,10 @@ class ItemIndex:
                     continue
                 done = p + len(item)
                 part = words[max(0, p - len(item)) : p + 3 * len(item)]
-                held, start, end = align(codes, np.array([number.get(w, -1) for w in part]))
+                own = np.array([number.get(w, -1) for w in part])
+                if np.count_nonzero(own >= 0) < LEAST_SHARE * len(item):
+                    continue  # no passage of it can hold half of the item
+                held, start, end = align(codes, own, LEAST_SHARE * len(item))
                 best = max(best, (held, self.similarity(item, part[start:end])))
             held, similar = best
             if held >= LEAST_SHARE * len(item) and similar >= LEAST_SIMILARITY:
