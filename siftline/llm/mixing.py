@@ -54,6 +54,11 @@ def token_counts(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN) ->
     return map_rows(chosen, make, "doc_id bigint, source string, tokens bigint, place bigint", [("doc_id", number), ("source", pa.string()), ("tokens", number), ("place", number)])
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """A table with a row a target as rows of its own, so that later rounds do not compute it again; targets are few by definition."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def budgets(counted: DataFrame, targets: DataFrame) -> DataFrame:
     """One row a target: source, target_share, max_repeats, source_tokens, total_tokens, budget, whole (copies of all), part (tokens of the rest)."""
     first = Window.partitionBy("source").orderBy(F.desc("target_share"), "max_repeats")
@@ -68,7 +73,7 @@ def budgets(counted: DataFrame, targets: DataFrame) -> DataFrame:
 def thresholds(counted: DataFrame, wanted: DataFrame) -> DataFrame:
     """(source, edge): documents with an unsigned place below ``edge`` get one copy more; a place is compared by its top bits."""
     # Places as unsigned: the sign bit is turned over and the order of signed numbers is that of the hash.
-    state = wanted.select("source", "part", F.lit(0).cast("bigint").alias("prefix"))
+    state = _settled(wanted.select("source", "part", F.lit(0).cast("bigint").alias("prefix")))
     docs = counted.select("source", "tokens", "place")
     for k in range(1, ROUNDS + 1):
         shift = 64 - k * BITS
@@ -80,7 +85,7 @@ def thresholds(counted: DataFrame, wanted: DataFrame) -> DataFrame:
         # All buckets that fit are in; the next one is divided further with what is left.
         fits = ran.groupBy("source", "part").agg(F.max(F.when(F.col("upto") <= F.col("part"), F.col("upto"))).alias("held"), F.min(F.when(F.col("upto") > F.col("part"), F.col("bucket"))).alias("next"))
         now = fits.select("source", F.coalesce("held", F.lit(0)).alias("held"), "next")
-        state = state.join(now, "source", "left").select("source", (F.col("part") - F.coalesce("held", F.lit(0))).alias("part"), F.coalesce("next", F.shiftleft(F.col("prefix"), BITS) + (1 << BITS)).alias("prefix"))
+        state = _settled(state.join(now, "source", "left").select("source", (F.col("part") - F.coalesce("held", F.lit(0))).alias("part"), F.coalesce("next", F.shiftleft(F.col("prefix"), BITS) + (1 << BITS)).alias("prefix")))
     return state.select("source", F.col("prefix").alias("edge"))
 
 
@@ -89,7 +94,7 @@ def mix(docs: DataFrame, targets: DataFrame, ranks: str = RANKS) -> DataFrame:
     from siftline.session import checkpoint
 
     counted = checkpoint(token_counts(docs, ranks))
-    wanted = budgets(counted, targets).persist()  # a row a target: few by definition, as the targets table is
+    wanted = _settled(budgets(counted, targets))
     edges = thresholds(counted, wanted)
     plan = wanted.select("source", "whole").join(edges, "source", "left")
     top = F.shiftrightunsigned("place", 64 - ROUNDS * BITS)
@@ -102,8 +107,8 @@ def shares(docs: DataFrame, targets: DataFrame, ranks: str = RANKS) -> DataFrame
     from siftline.session import checkpoint
 
     counted = checkpoint(token_counts(docs, ranks))
-    wanted = budgets(counted, targets)
-    edges = thresholds(counted, wanted.persist())
+    wanted = _settled(budgets(counted, targets))
+    edges = thresholds(counted, wanted)
     top = F.shiftrightunsigned("place", 64 - ROUNDS * BITS)
     plan = wanted.select("source", "whole").join(edges, "source", "left")
     got = counted.join(F.broadcast(plan), "source").groupBy("source").agg(F.sum(F.col("tokens") * (F.col("whole") + F.when(top < F.col("edge"), 1).otherwise(0))).alias("mixed_tokens"))
