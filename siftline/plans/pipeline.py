@@ -34,10 +34,8 @@ def typed_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def scan_folder(spark: SparkSession, root: str, mode: str = "fast", most: int | None = None) -> Scan:
-    """Scan every file below ``root``. Contents are read twice: a head for the format, all of what the selection takes."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    listed = files.listing(spark, root)
-    inventory = checkpoint(formats.detect_format(files.with_content(spark, root, listed)))
+    """Scan every file below ``root``. Contents are read in tasks by path: a head for the format, all of what the selection takes."""
+    inventory = checkpoint(formats.detect_format(files.heads(files.listing(spark, root), formats.SAMPLE_BYTES)))
     planned = planner.plans(inventory)
     scored = triage.scored(planned, mode)
     settings = setting(f"modes.{mode}")
@@ -47,8 +45,7 @@ def scan_folder(spark: SparkSession, root: str, mode: str = "fast", most: int |
         total = most or settings["max_candidates"]
         chosen = triage.select(scored, triage.scaled_caps(mode, total), total, settings["min_score"])
     steps = planner.ordered_steps(chosen.where("include"), settings["escalate"]).select("path", "extractor")
-    wanted = steps.join(listed.select("path", "name"), "path")
-    made = files.extract(files.with_content(spark, root, wanted))
+    made = files.extract(steps.join(inventory.select("path", "name"), "path"))
     # Extractors may give several blocks of one number to a file; they are numbered anew in the order of the steps.
     order = Window.partitionBy("file_path").orderBy("extraction_method", "block_index")
     blocks = checkpoint(typed_blocks(made.withColumn("block_index", (F.row_number().over(order) - 1).cast("int"))))
@@ -60,7 +57,10 @@ def scan_folder(spark: SparkSession, root: str, mode: str = "fast", most: int |
 def write_submit(assessed: DataFrame, path: str | Path, threshold: float | None = None) -> int:
     """The submit paths from the threshold on, sorted, one a line; an empty file if there are none."""
     least = setting("risk.submit") if threshold is None else threshold
-    names = [r[0] for r in assessed.where(F.col("score") >= least).select("submit_path").orderBy("submit_path").toLocalIterator()]
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text("".join(f"{n}\n" for n in names), "utf-8")
-    return len(names)
+    count = 0
+    with Path(path).open("w", encoding="utf-8") as file:  # a partition at a time
+        for row in assessed.where(F.col("score") >= least).select("submit_path").orderBy("submit_path").toLocalIterator():
+            file.write(f"{row[0]}\n")
+            count += 1
+    return count

@@ -1,8 +1,9 @@
 """Sources: a folder of mixed files as an inventory, and extractors that turn files into text blocks.
 
-Listing reads no content; content is read for the files that a plan needs. Extractors run over Arrow batches of binary
-content; a file that cannot be read gives one empty block with a warning, and never ends the job. Engines that are not
-installed (PDF, OCR) give such blocks too.
+Folders are listed in tasks, level by level; the driver holds neither paths nor contents. Tasks read the head of each file
+for its format, and the whole of those that a plan needs, by path, so contents are never joined or shuffled. A folder is
+one that all executors see, or an address that Arrow can open. A file that cannot be read gives one empty block with a
+warning, and never ends the job. Engines that are not installed (PDF) give such blocks too.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import csv
 import io
 import itertools
 import json
+import os
 import re
 import zipfile
 from collections import Counter
@@ -20,39 +22,119 @@ from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftline.operators.formats import IGNORED
 from siftline.operators.rows import ADDRESS, CONTACT, IDENTIFIER, PERSON, PHYSICAL
+from siftline.session import checkpoint
 from siftline.settings import setting
 
 #: Text, place and warnings; blocks of tables have hints with their lines, and mentions of physical persons, too.
+DELIMITERS = ",;\t|"
+#: Lines from which a table is told, the share of them with one number of columns, and heads of files that a task holds at once.
+TABLE_LINES, LEAST_STABLE, HELD_HEADS = 25, 0.8, 64
 Block = tuple[str, str | None, list[str]] | tuple[str, str | None, list[str], dict[str, int], int]
 BLOCK_DDL = "file_path string, source_type string, block_index int, extraction_method string, text string, page_or_sheet string, warnings array<string>, table_semantic_hints map<string,int>, physical_person_mentions int"
 BLOCK_ARROW = pa.schema([("file_path", pa.string()), ("source_type", pa.string()), ("block_index", pa.int32()), ("extraction_method", pa.string()), ("text", pa.string()), ("page_or_sheet", pa.string()), ("warnings", pa.list_(pa.string())), ("table_semantic_hints", pa.map_(pa.string(), pa.int32())), ("physical_person_mentions", pa.int32())])
 
 
+def opened(path: str):  # noqa: ANN201
+    """(file system, path in it) of a local path or an address."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _entries(folders: Iterable[str]) -> Iterator[tuple[str, int, bool]]:
+    """(path, size, whether a folder) of what is in the folders; links to folders and folders that cannot be read are passed over."""
+    for folder in folders:
+        try:
+            system, at = opened(folder)
+            found = system.get_file_info(fs.FileSelector(at, allow_not_found=True))
+        except OSError:
+            continue
+        scheme = folder.partition("://")[0] + "://" if "://" in folder else ""
+        for e in found:
+            if e.type == fs.FileType.Directory:
+                if scheme or not os.path.islink(e.path):
+                    yield scheme + e.path, 0, True
+            elif e.type == fs.FileType.File:
+                yield scheme + e.path, e.size, False
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """path, name, decoded_name and size_bytes of the regular files below ``root``; system files are left out."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    plain = F.regexp_replace(F.col("path"), "^file:/*", "/")
-    found = read.select(plain.alias("path"), F.col("length").alias("size_bytes"))
-    # Scans pass over empty files, but the file index, which the driver holds anyway, has them.
-    index = spark.createDataFrame([(unquote(p),) for p in read.inputFiles()], "path string").select(plain.alias("path"))
-    found = found.unionByName(index.join(found, "path", "left_anti").withColumn("size_bytes", F.lit(0).cast("long")))
+    schema = pa.schema([("path", pa.string()), ("size_bytes", pa.int64()), ("folder", pa.bool_())])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            entries = _entries(batch.column(0).to_pylist())
+            while rows := list(itertools.islice(entries, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    level = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string")
+    found: DataFrame | None = None
+    while True:  # a small job a level of folders; each level's folders are spread over the tasks
+        inside = checkpoint(level.mapInArrow(listed, "path string, size_bytes bigint, folder boolean"))
+        files = inside.where("not folder").select("path", "size_bytes")
+        found = files if found is None else found.unionByName(files)
+        level = inside.where("folder").select("path").repartition(spark.sparkContext.defaultParallelism)
+        if level.isEmpty():
+            break
     named = found.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "size_bytes").where(~F.col("name").isin(*IGNORED))
     # A plus in a name is a plus: it is kept from being taken for a blank.
     return named.withColumn("decoded_name", F.coalesce(F.try_url_decode(F.replace("name", F.lit("+"), F.lit("%2B"))), "name"))
 
 
-def with_content(spark: SparkSession, root: str, wanted: DataFrame, most_bytes: int | None = None) -> DataFrame:
-    """``wanted`` (by path) with the content of its files; null for empty files."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    content = reader.load(root).select(F.regexp_replace(F.col("path"), "^file:/*", "/").alias("path"), "content", F.col("length").alias("_n"))
-    kept = content.where(F.col("_n") <= most_bytes) if most_bytes else content
-    joined = wanted.join(kept.drop("_n"), "path", "left")
-    return joined.where("content is not null or size_bytes = 0") if "size_bytes" in wanted.columns else joined.where("content is not null")
+def read_bytes(path: str, most: int | None = None) -> bytes:
+    system, at = opened(path)
+    with system.open_input_file(at) as file:
+        return file.read(most) if most else file.read()
+
+
+#: What the first lines of a text show of a table: delimiter, rows looked at, columns.
+TABLE_FIELDS = (("table_delimiter", T.StringType(), pa.string()), ("table_rows", T.IntegerType(), pa.int32()), ("table_columns", T.IntegerType(), pa.int32()))
+
+
+def table_shape(head: bytes) -> tuple[str, int, int] | None:
+    """(delimiter, rows, columns) of a text whose first lines have one number of columns, more than one, in four of five rows."""
+    lines = [x for x in decode(head).splitlines()[:TABLE_LINES] if x.strip()]
+    if len(lines) < 2:
+        return None
+    sample = "\n".join(lines)
+    try:
+        dialect = csv.Sniffer().sniff(sample, DELIMITERS)
+        widths = Counter(len(row) for row in csv.reader(io.StringIO(sample), dialect) if row)
+    except csv.Error:
+        return None
+    width, n = widths.most_common(1)[0] if widths else (0, 0)
+    rows = sum(widths.values())
+    return (dialect.delimiter, rows, width) if width > 1 and n >= LEAST_STABLE * rows else None
+
+
+def heads(files: DataFrame, most: int) -> DataFrame:
+    """``files`` (by path) with the first ``most`` bytes as ``content`` and what they show of a table; null where a file cannot be read."""
+    own = [c for c in files.columns if c not in ("content", *(n for n, *_ in TABLE_FIELDS))]
+    chosen = files.select(*own)
+    schema = T.StructType([*chosen.schema.fields, T.StructField("content", T.BinaryType()), *(T.StructField(n, kind) for n, kind, _ in TABLE_FIELDS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, HELD_HEADS):
+                part = batch.slice(k, HELD_HEADS)
+                contents, shapes = [], []
+                for path in part.column(own.index("path")).to_pylist():
+                    try:
+                        raw = read_bytes(path, most)
+                    except OSError:
+                        raw = None
+                    contents.append(raw)
+                    shapes.append((table_shape(raw) if raw and b"\0" not in raw else None) or (None, None, None))
+                made = [pa.array(c, kind) for c, (*_, kind) in zip(zip(*shapes, strict=True), TABLE_FIELDS, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(contents, pa.binary()), *made], names=[*own, "content", *(n for n, *_ in TABLE_FIELDS)])
+
+    return chosen.mapInArrow(run, schema)
 
 
 def decode(raw: bytes) -> str:
@@ -167,7 +249,7 @@ def html(raw: bytes, name: str) -> Iterator[Block]:
 def delimited(raw: bytes, name: str) -> Iterator[Block]:
     text = decode(raw)
     try:
-        dialect: type[csv.Dialect] | csv.Dialect = csv.Sniffer().sniff(text[:16_384], ",;\t|")
+        dialect: type[csv.Dialect] | csv.Dialect = csv.Sniffer().sniff(text[:16_384], DELIMITERS)
     except csv.Error:
         dialect = csv.excel_tab if name.lower().endswith(".tsv") else csv.excel
     return _row_blocks(csv.reader(io.StringIO(text), dialect))
@@ -220,6 +302,20 @@ def docx(raw: bytes, name: str) -> Iterator[Block]:
                 yield text, part, []
 
 
+_A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+SLIDE = re.compile(r"^ppt/slides/slide(\d+)\.xml$")
+
+
+def pptx(raw: bytes, name: str) -> Iterator[Block]:
+    """A block a slide: the paragraphs of its frames and tables."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as box:
+        for number, part in sorted((int(m[1]), n) for n in box.namelist() if (m := SLIDE.match(n))):
+            lines = ["".join(t.text or "" for t in p.iter(f"{_A}t")).strip() for p in ElementTree.fromstring(box.read(part)).iter(f"{_A}p")]
+            text = "\n".join(x for x in lines if x)
+            if text:
+                yield text, f"slide {number}", []
+
+
 def xlsx(raw: bytes, name: str) -> Iterator[Block]:
     with zipfile.ZipFile(io.BytesIO(raw)) as box:
         names = box.namelist()
@@ -278,7 +374,7 @@ def pdf(raw: bytes, name: str) -> Iterator[Block]:
 
 EXTRACTORS: dict[str, tuple[str, Callable[[bytes, str], Iterator[Block]]]] = {
     "plain_text_extractor": ("file", plain), "html_text_extractor": ("html", html), "csv_extractor": ("table", delimited), "json_extractor": ("json", json_text), "parquet_extractor": ("table", parquet_rows),
-    "spreadsheet_extractor": ("workbook", xlsx), "docx_text_extractor": ("document", docx), "rtf_text_extractor": ("document", rtf), "pdf_text_extractor": ("pages", pdf), "binary_payload_extractor": ("file", payloads),
+    "spreadsheet_extractor": ("workbook", xlsx), "docx_text_extractor": ("document", docx), "rtf_text_extractor": ("document", rtf), "presentation_text_extractor": ("pages", pptx), "pdf_text_extractor": ("pages", pdf), "binary_payload_extractor": ("file", payloads),
 }
 
 
@@ -286,12 +382,13 @@ EXTRACTORS: dict[str, tuple[str, Callable[[bytes, str], Iterator[Block]]]] = {
 HELD_BLOCKS = 64
 
 
-def _blocks_of(path: str, name: str | None, extractor: str, content: bytes | None) -> Iterator[tuple]:
-    """The blocks of a file one by one; what it gave before an error is kept."""
+def _blocks_of(path: str, name: str | None, extractor: str, content: bytes | None, own: bool) -> Iterator[tuple]:
+    """The blocks of a file one by one, read by its path if ``own``; what it gave before an error is kept."""
     kind, work = EXTRACTORS.get(extractor, ("file", None))
     k = 0
     try:
-        for text, place, warnings, *hints in work(content or b"", name or "") if work else [("", None, [f"no extractor {extractor}"])]:
+        raw = read_bytes(path) if work and content is None and own else content
+        for text, place, warnings, *hints in work(raw or b"", name or "") if work else [("", None, [f"no extractor {extractor}"])]:
             yield path, kind, k, extractor, text, place, warnings, *(hints or (None, 0))
             k += 1
     except Exception as error:  # noqa: BLE001  one bad file must not end the job
@@ -299,13 +396,15 @@ def _blocks_of(path: str, name: str | None, extractor: str, content: bytes | Non
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """Text blocks of files with path, name, extractor and content."""
+    """Text blocks of files with path, name and extractor; their content is read by path, or taken from a column ``content``."""
+    own = "content" not in files.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks = (b for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for b in _blocks_of(*row))
+            blocks = (b for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for b in _blocks_of(*row, own))
             while rows := list(itertools.islice(blocks, HELD_BLOCKS)):
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, BLOCK_ARROW, strict=True)], schema=BLOCK_ARROW)
 
-    return files.select("path", "name", "extractor", "content").mapInArrow(run, BLOCK_DDL)
+    content = F.lit(None).cast("binary").alias("content") if own else F.col("content")
+    return files.select("path", "name", "extractor", content).mapInArrow(run, BLOCK_DDL)
