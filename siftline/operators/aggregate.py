@@ -47,13 +47,15 @@ def hint_sums(blocks: DataFrame) -> DataFrame:
 
 
 def block_flags(blocks: DataFrame) -> DataFrame:
-    """(file_path, ocr_used, embedded_document, blocks, chars, with_text, warnings) of each file."""
+    """(file_path, ocr_used, embedded_document, blocks, chars, with_text, warnings) of each file; from texts, or from their ``chars`` and ``filled``."""
+    if "chars" not in blocks.columns:
+        blocks = blocks.withColumns({"chars": F.length("text").cast("bigint"), "filled": F.trim("text") != ""})
     return blocks.groupBy("file_path").agg(
         F.coalesce(F.bool_or("ocr"), F.lit(False)).alias("ocr_used"),
         F.coalesce(F.bool_or(F.col("embedded_payload") & F.col("embedded_document_like")), F.lit(False)).alias("embedded_document"),
         F.count("*").alias("blocks"),
-        F.coalesce(F.sum(F.length("text").cast("bigint")), F.lit(0)).alias("chars"),
-        F.coalesce(F.bool_or(F.trim("text") != ""), F.lit(False)).alias("with_text"),
+        F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"),
+        F.coalesce(F.bool_or("filled"), F.lit(False)).alias("with_text"),
         F.sum(F.coalesce(F.size("warnings"), F.lit(0)).cast("bigint")).alias("warnings"),
     )
 

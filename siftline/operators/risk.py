@@ -70,10 +70,15 @@ def features(plans: DataFrame, findings: DataFrame, blocks: DataFrame) -> DataFr
     return full.withColumns({"is_table": is_table, "strong_profile": strong})
 
 
-def assess(rows: DataFrame, rules: list[tuple[str, float, str]] | None = None) -> DataFrame:
+#: Rules on the columns of tables hold only where a mode reads more than the cheap formats: fixed values.
+NOT_IN_FAST = {"table_sensitive_schema", "table_physical_person_names", "table_name_address_schema", "table_name_contact_schema"}
+
+
+def assess(rows: DataFrame, rules: list[tuple[str, float, str]] | None = None, mode: str = "normal") -> DataFrame:
     """score, level, rule_hits and recommendation of each file."""
     s = setting("risk")
-    hits = [F.when(F.coalesce(F.expr(condition), F.lit(False)), F.struct(F.lit(name).alias("rule"), F.lit(float(score)).alias("score_delta"))) for name, score, condition in (RULES if rules is None else rules)]
+    rules = [r for r in (RULES if rules is None else rules) if mode != "fast" or r[0] not in NOT_IN_FAST]
+    hits = [F.when(F.coalesce(F.expr(condition), F.lit(False)), F.struct(F.lit(name).alias("rule"), F.lit(float(score)).alias("score_delta"))) for name, score, condition in rules]
     in_path = count_any(F.col("path_low"), SUSPICIOUS_PATH)
     hits.append(F.when(in_path > 0, F.struct(F.lit("suspicious_path").alias("rule"), F.least(F.lit(25.0), 8.0 + 4.0 * in_path).alias("score_delta"))))
     found = rows.withColumn("rule_hits", F.array_compact(F.array(*hits)))

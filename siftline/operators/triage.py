@@ -47,8 +47,9 @@ def scored(planned: DataFrame, mode: str) -> DataFrame:
     """Plans with triage_score, signals, bucket and blocked (why a file can never be chosen; empty if it can)."""
     words, family = setting("triage"), F.coalesce("family", F.lit("unknown"))
     weights = words["family"] | (words["family_hard"] if mode == "hard" else {})
-    total = weight_of(family, weights) + weight_of(F.coalesce("extension", F.lit("unknown")), words["extension"])
-    names = []
+    extension = F.coalesce("extension", F.lit("unknown"))
+    total = weight_of(family, weights) + weight_of(extension, words["extension"])
+    names = [F.when(family.isin(*weights), F.concat(F.lit("family:"), family)), F.when(extension.isin(*words["extension"]), F.concat(F.lit("ext:"), extension))]
     for name, weight, holds in signals(mode):
         holds = F.coalesce(holds, F.lit(False))
         total = total + F.when(holds, float(weight)).otherwise(0.0)
@@ -59,16 +60,38 @@ def scored(planned: DataFrame, mode: str) -> DataFrame:
         .when(family == "archive", "skip: archive needs separate safe unpacking policy")
         .when(media, F.concat(F.lit("skip: "), family, F.lit(" OCR is reserved for hard mode"))).otherwise("")
     )
-    return planned.withColumns({"blocked": blocked, "bucket": bucket(), "triage_score": F.when(blocked != "", 0.0).otherwise(F.greatest(total, F.lit(0.0))), "signals": F.array_compact(F.array(*names))})
+    return planned.withColumns({"blocked": blocked, "bucket": bucket(), "triage_score": F.when(blocked != "", 0.0).otherwise(F.greatest(total, F.lit(0.0))), "signals": F.when(F.col("skip_reason").isNotNull(), F.array(F.concat(F.lit("planner_skip:"), F.col("skip_reason")))).when(blocked != "", F.array(family)).otherwise(F.array_compact(F.array(*names)))})
 
 
-def is_baseline() -> Column:
-    """Files that cheap extraction takes anyway."""
+def fast_reason() -> Column:
+    """Why cheap extraction takes a file (``include: …``) or does not (``skip: …``); the first rule that holds decides, fixed values."""
     family, path, name = F.coalesce("family", F.lit("unknown")), F.col("path_low"), F.col("name_low")
     named = has_any(name, ["паспорт", "passport", "удостовер", "identity", "identification", "driver", "license", "анкета", "заявление", "согласие", "пропуск", "дмс", "dms", "personal", "личн", "scan", "скан", "photo", "фото"])
     staff = has_any(path, ["мои бумажки", "employes", "employees"])
-    office = (family == "document") & F.col("extension").isin("docx", "rtf", "doc") & (named | staff | path.contains("/прочее/"))
-    return F.coalesce(family.isin("executable", "video", "text", "structured", "spreadsheet") | office | ((family == "web") & named), F.lit(False))
+    office = F.coalesce(F.col("extension").isin("docx", "rtf", "doc"), F.lit(False)) & (named | staff | path.contains("/прочее/"))
+    return (
+        F.when(family == "executable", "include: executable binary payload probe").when(family == "video", "include: video manual review candidate")
+        .when(family.isin("text", "structured", "spreadsheet"), "include: cheap text/table parser")
+        .when((family == "document") & office, "include: office document with explicit/employee context").when((family == "web") & named, "include: web page with explicit file-name signal")
+        .when((family == "document") & (F.col("extension") == "pdf"), "skip: PDF is expensive in fast mode").when(family.isin("image", "presentation"), "skip: OCR-heavy media in fast mode")
+        .when(family == "web", "skip: mass web snapshot without explicit file-name signal").when(family == "document", "skip: document without fast-mode context").otherwise("skip: no fast-mode rule")
+    )
+
+
+def mode_reason(mode: str) -> Column:
+    """Why a mode other than fast would take a file by itself, ahead of scores and caps."""
+    family = F.coalesce("family", F.lit("unknown"))
+    plain = (
+        F.when(F.col("skip_reason").isNotNull(), F.concat(F.lit("skip: planner skipped file ("), F.col("skip_reason"), F.lit(")"))).when(family == "archive", "skip: archive needs separate safe unpacking policy")
+        .when(family == "presentation", "skip: presentation deferred outside normal mode").when(family == "image", "skip: image OCR is reserved for hard mode")
+        .when(family.isin("text", "structured", "spreadsheet", "document", "web", "executable", "video"), F.concat(F.lit("include: normal "), family, F.lit(" extraction"))).otherwise("skip: no normal-mode extractor")
+    )
+    return F.when(family.isin("image", "presentation") & F.col("skip_reason").isNull(), F.concat(F.lit("include: hard OCR candidate ("), family, F.lit(")"))).otherwise(plain) if mode == "hard" else plain
+
+
+def is_baseline() -> Column:
+    """Files that cheap extraction takes anyway."""
+    return fast_reason().startswith("include")
 
 
 def scaled_caps(mode: str, most: int) -> dict[str, int]:
@@ -96,7 +119,7 @@ def select(scored_plans: DataFrame, caps: dict[str, int], most: int, least: floa
     first = Window.partitionBy("bucket").orderBy(*order)
     highest = max([0, *caps.values()])
     base = scored_plans.withColumns({"cap": weight_of(F.col("bucket"), caps), "baseline": is_baseline()})
-    base = base.withColumn("can", ~F.col("baseline") & (F.col("blocked") == "") & (F.col("triage_score") >= least) & (F.col("cap") > 0)).persist()
+    base = base.withColumn("can", ~F.col("baseline") & (F.col("blocked") == "") & (F.col("triage_score") >= least) & (F.col("cap") > 0))
     lean = base.where("baseline or can").select("path", "bucket", "triage_score", "cap", "baseline")
     heads = lean.withColumn("k", F.row_number().over(first)).where(F.col("k") <= highest).where("k <= cap and not baseline")
     # What passes and is no baseline is bounded by the caps' sum; the head of all that passes, by ``most``.

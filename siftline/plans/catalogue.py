@@ -80,11 +80,10 @@ def only_by_model(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def check_digits(spark: SparkSession, sf: str) -> DataFrame:
-    made = [_keyed(spark, sf, n).select("o_orderkey", F.lit(name).alias("kind"), checks.CHECKS[name](F.col("v")).alias("valid")) for n, name in ((11, "is_snils"), (10, "is_inn_legal"), (12, "is_inn_person"), (16, "is_luhn"))]
-    out = made[0]
-    for part in made[1:]:
-        out = out.unionByName(part)
-    return out
+    orders = read_table(spark, sf, "orders").select("o_orderkey")
+    kinds = [(11, "is_snils"), (10, "is_inn_legal"), (12, "is_inn_person"), (16, "is_luhn")]
+    each = F.array(*(F.struct(F.lit(name).alias("kind"), checks.CHECKS[name](F.lpad((F.col("o_orderkey") * 7919 % F.lit(10**n)).cast("string"), n, "0")).alias("valid")) for n, name in kinds))
+    return orders.select("o_orderkey", F.explode(each).alias("x")).select("o_orderkey", "x.kind", "x.valid")
 
 
 def masked_values(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,6 +156,26 @@ def triage_scores(spark: SparkSession, sf: str) -> DataFrame:
     return triage.scored(_plans(spark, sf), "normal").select("path", "bucket", "triage_score", F.array_join("signals", ",").alias("signals"))
 
 
+def fast_selection(spark: SparkSession, sf: str) -> DataFrame:
+    return triage.scored(_plans(spark, sf), "fast").select("path", triage.fast_reason().alias("reason"), triage.mode_reason("normal").alias("normal_reason"), triage.mode_reason("hard").alias("hard_reason"))
+
+
+def plan_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    return _plans(spark, sf).select("path", F.array_join("plan_warnings", ",").alias("plan_warnings"))
+
+
+def category_counters(spark: SparkSession, sf: str) -> DataFrame:
+    return _findings(spark, sf).groupBy("category", "detector").agg(F.count("*").alias("findings"), F.sum(F.col("count").cast("long")).alias("total"), F.round(F.max("confidence"), 4).alias("most_confidence"))
+
+
+def block_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    return _blocks(spark, sf).select("extraction_method", F.explode("warnings").alias("warning")).groupBy("extraction_method", "warning").agg(F.count("*").alias("blocks"))
+
+
+def latest_assessments(spark: SparkSession, sf: str) -> DataFrame:
+    return _assessed(spark, sf).select("file_path", "assessment_id", "document_type", F.size("categories").alias("n_categories"))
+
+
 def triage_selection(spark: SparkSession, sf: str) -> DataFrame:
     mode = setting("modes.normal")
     chosen = triage.select(triage.scored(_plans(spark, sf), "normal"), triage.scaled_caps("normal", mode["max_candidates"]), mode["max_candidates"], mode["min_score"])
@@ -167,12 +186,18 @@ def ocr_budget(spark: SparkSession, sf: str) -> DataFrame:
     return triage.ocr_budget(_plans(spark, sf), setting("limits.ocr_files"))
 
 
+def _small_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """One row a block without its text: length and whether there is any are known before repeated deliveries meet."""
+    own = read_table(spark, sf, "text_blocks").select("block_id", "file_path", "extraction_method", "warnings", "ocr", "embedded_payload", "embedded_document_like", F.length("text").cast("long").alias("chars"), (F.trim("text") != "").alias("filled"))
+    return own.dropDuplicates(["block_id"])
+
+
 def block_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return aggregate.block_flags(_blocks(spark, sf))
+    return aggregate.block_flags(_small_blocks(spark, sf))
 
 
 def extraction_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return _blocks(spark, sf).groupBy("extraction_method").agg(F.count("*").alias("blocks"), F.count_distinct("file_path").alias("files"), F.sum(F.length("text").cast("long")).alias("chars"), F.count_if(F.size("warnings") > 0).alias("with_warnings"))
+    return _small_blocks(spark, sf).groupBy("extraction_method").agg(F.count("*").alias("blocks"), F.count_distinct("file_path").alias("files"), F.sum("chars").alias("chars"), F.count_if(F.size("warnings") > 0).alias("with_warnings"))
 
 
 def table_hints(spark: SparkSession, sf: str) -> DataFrame:
@@ -238,7 +263,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         findings_by_file, categories_ordered, pii_summary, top_files, finding_examples, base_scores, findings_by_family, only_by_model, check_digits, masked_values, synthetic_findings, detect_blocks,
-        normalized_texts, text_quality, packed_lines, scan_types, scan_states, file_extensions, registered_formats, plan_strategies, plan_summary, plan_steps, triage_scores, triage_selection, ocr_budget,
+        normalized_texts, text_quality, packed_lines, scan_types, scan_states, file_extensions, registered_formats, plan_strategies, plan_summary, plan_steps, triage_scores, fast_selection, plan_warnings, triage_selection, ocr_budget, category_counters, block_warnings, latest_assessments,
         block_flags, extraction_summary, table_hints, row_blocks, table_headers, recurring_lines, without_recurring_lines, event_runs, json_members, ner_quota, rule_counts, level_counts, score_bands,
         submit_list, review_bands, risk_assessment,
     )

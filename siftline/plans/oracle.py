@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from siftline.operators.rows import ADDRESS, CONTACT, IDENTIFIER, PERSON, PHYSICAL
 from siftline.settings import FORMATS, setting
 
 _F = "(SELECT DISTINCT * FROM findings)"
@@ -18,6 +19,10 @@ def _weights(column: str, table: dict[str, float], default: float = 0) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {float(v)}" for k, v in table.items()) + f" ELSE {float(default)} END"
 
 
+def _words(words: list[str] | dict[str, float]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
 _T, _P, _R = setting("triage"), setting("planner"), setting("risk")
 _BASE = f"(SELECT *, {_weights('category', _R['weights'], _R['default_weight'])} AS w FROM (SELECT file_path, category, sum(count) AS n FROM {_F} GROUP BY 1, 2))"
 _FLAGS = f"""(SELECT *, {_any("p", _P["suspicious"])} AS suspicious, {_any("p", _P["business"])} AS business, {_any("p", _P["scan_folders"])} AS scan FROM
@@ -43,7 +48,9 @@ _SCORE = " + ".join([_weights("coalesce(family, 'unknown')", _T["family"]), _wei
 _TRIAGE = f"""(SELECT *, CASE WHEN blocked <> '' THEN 0.0 ELSE greatest(raw, 0.0) END AS triage_score FROM (SELECT *, {_SCORE} AS raw,
   CASE WHEN skip_reason IS NOT NULL THEN 'skip: planner skipped file (' || skip_reason || ')' WHEN family = 'archive' THEN 'skip: archive needs separate safe unpacking policy' WHEN family IN ('image', 'presentation') THEN 'skip: ' || family || ' OCR is reserved for hard mode' ELSE '' END AS blocked,
   CASE WHEN family IN ('text', 'structured', 'spreadsheet') THEN 'text_table' WHEN family = 'document' THEN 'document' WHEN family = 'web' THEN 'web' WHEN family IN ('executable', 'video') THEN 'binary_media' WHEN family IN ('image', 'presentation') THEN 'ocr_media' ELSE 'other' END AS bucket,
-  array_to_string(list_filter([{", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, _, c in _SIGNALS)}], lambda x: x IS NOT NULL), ',') AS signals FROM {_PLANS}))"""
+  CASE WHEN skip_reason IS NOT NULL THEN 'planner_skip:' || skip_reason WHEN family IN ('archive', 'image', 'presentation') THEN family ELSE array_to_string(list_filter([
+   CASE WHEN coalesce(family, 'unknown') IN ({_words(_T["family"])}) THEN 'family:' || family END, CASE WHEN extension IN ({_words(_T["extension"])}) THEN 'ext:' || extension END,
+   {", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, _, c in _SIGNALS)}], lambda x: x IS NOT NULL), ',') END AS signals FROM {_PLANS}))"""
 _NAMED = _any("nm", ["паспорт", "passport", "удостовер", "identity", "identification", "driver", "license", "анкета", "заявление", "согласие", "пропуск", "дмс", "dms", "personal", "личн", "scan", "скан", "photo", "фото"])
 _BASELINE = f"coalesce(family IN ('executable', 'video', 'text', 'structured', 'spreadsheet') OR (family = 'document' AND extension IN ('docx', 'rtf', 'doc') AND ({_NAMED} OR {_any('p', ['мои бумажки', 'employes', 'employees'])} OR contains(p, '/прочее/'))) OR (family = 'web' AND {_NAMED}), false)"
 _CAPS = _weights("bucket", _T["bucket_caps"]["normal"])
@@ -141,3 +148,29 @@ ORACLE["without_recurring_lines"] = f"""
     WITH gone AS (SELECT file_path, list(line) AS gone FROM ({ORACLE["recurring_lines"]}) GROUP BY 1)
     SELECT block_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT coalesce(list_contains(gone, x), false)), ' ') AS clean_text
     FROM (SELECT * FROM {_B} WHERE source_type IN ('pages', 'ocr') AND text IS NOT NULL) b LEFT JOIN gone g ON g.file_path = b.file_path"""
+_NORMAL = """CASE WHEN skip_reason IS NOT NULL THEN 'skip: planner skipped file (' || skip_reason || ')' WHEN family = 'archive' THEN 'skip: archive needs separate safe unpacking policy' WHEN family = 'presentation' THEN 'skip: presentation deferred outside normal mode'
+  WHEN family = 'image' THEN 'skip: image OCR is reserved for hard mode' WHEN family IN ('text', 'structured', 'spreadsheet', 'document', 'web', 'executable', 'video') THEN 'include: normal ' || family || ' extraction' ELSE 'skip: no normal-mode extractor' END"""
+ORACLE["fast_selection"] = f"""
+    SELECT path, CASE family WHEN 'executable' THEN 'include: executable binary payload probe' WHEN 'video' THEN 'include: video manual review candidate' WHEN 'text' THEN 'include: cheap text/table parser' WHEN 'structured' THEN 'include: cheap text/table parser'
+     WHEN 'spreadsheet' THEN 'include: cheap text/table parser' WHEN 'image' THEN 'skip: OCR-heavy media in fast mode' WHEN 'presentation' THEN 'skip: OCR-heavy media in fast mode'
+     WHEN 'web' THEN CASE WHEN {_NAMED} THEN 'include: web page with explicit file-name signal' ELSE 'skip: mass web snapshot without explicit file-name signal' END
+     WHEN 'document' THEN CASE WHEN extension IN ('docx', 'rtf', 'doc') AND ({_NAMED} OR {_any('p', ['мои бумажки', 'employes', 'employees'])} OR contains(p, '/прочее/')) THEN 'include: office document with explicit/employee context'
+      WHEN extension = 'pdf' THEN 'skip: PDF is expensive in fast mode' ELSE 'skip: document without fast-mode context' END ELSE 'skip: no fast-mode rule' END AS reason,
+     {_NORMAL} AS normal_reason, CASE WHEN family IN ('image', 'presentation') AND skip_reason IS NULL THEN 'include: hard OCR candidate (' || family || ')' ELSE {_NORMAL} END AS hard_reason FROM {_PLANS}"""
+ORACLE["plan_warnings"] = f"""
+    SELECT path, concat_ws(',', CASE WHEN any_value(size_bytes) BETWEEN 1 AND {_P["tiny_bytes"]} THEN 'tiny_file' END, CASE WHEN any_value(confidence) < {_P["low_confidence"]} THEN 'low_confidence' END) AS plan_warnings FROM {_I} GROUP BY path"""
+ORACLE["category_counters"] = f"SELECT category, detector, count(*) AS findings, sum(count)::BIGINT AS total, round(max(confidence), 4) AS most_confidence FROM {_F} GROUP BY 1, 2"
+ORACLE["block_warnings"] = f"SELECT extraction_method, w AS warning, count(*) AS blocks FROM (SELECT extraction_method, unnest(warnings) AS w FROM {_B}) GROUP BY 1, 2"
+ORACLE["latest_assessments"] = f"SELECT file_path, assessment_id, document_type, len(categories)::INT AS n_categories FROM {_A}"
+ORACLE["packed_lines"] = """
+    SELECT doc_id, (i - 1)::INT AS k, chunks[i] AS chunk FROM (SELECT doc_id, chunks, unnest(range(1, len(chunks) + 1)) AS i FROM (
+     SELECT doc_id, list_reduce(list_transform(string_split(text, chr(10)), lambda x: [x]), lambda a, x: CASE WHEN length(a[-1]) + length(x[1]) + 2 <= 600 THEN list_concat(list_slice(a, 1, len(a) - 1), [a[-1] || chr(10) || x[1]]) ELSE list_concat(a, x) END) AS chunks
+     FROM documents WHERE text IS NOT NULL))"""
+_HINTS = {"person_name_column": PERSON, "address_column": ADDRESS, "contact_column": CONTACT, "identifier_column": IDENTIFIER, "person_type_column": PHYSICAL[3:], "physical_person_rows": PHYSICAL[:3]}
+ORACLE["table_headers"] = rf"""
+    SELECT block_id, len(cells) >= 2 AND (len(list_filter(cells, lambda c: {_any("lower(c)", [*PERSON, *ADDRESS, *CONTACT, *IDENTIFIER])})) > 0
+      OR len(list_filter(cells, lambda c: length(c) <= 40 AND regexp_matches(c, '\pL') AND NOT regexp_matches(c, '\p{{Nd}}'))) >= greatest(2, len(cells) // 2)) AS header,
+     concat_ws(',', {", ".join(f"CASE WHEN {_any('low', words)} THEN '{name}' END" for name, words in _HINTS.items())}) AS hints
+    FROM (SELECT block_id, lower(text) AS low, list_filter(regexp_split_to_array(split_part(text, chr(10), 1), '[ 	
+]*[|,;	][ 	
+]*'), lambda c: trim(c) <> '') AS cells FROM {_B} WHERE source_type IN ('table', 'workbook') AND text IS NOT NULL)"""

@@ -40,7 +40,7 @@ def scan_folder(spark: SparkSession, root: str, mode: str = "fast", most: int |
     scored = triage.scored(planned, mode)
     settings = setting(f"modes.{mode}")
     if mode == "fast":
-        chosen = scored.withColumn("include", triage.is_baseline())
+        chosen = scored.withColumn("reason", triage.fast_reason()).withColumn("include", F.col("reason").startswith("include") & F.col("skip_reason").isNull())
     else:
         total = most or settings["max_candidates"]
         chosen = triage.select(scored, triage.scaled_caps(mode, total), total, settings["min_score"])
@@ -51,7 +51,7 @@ def scan_folder(spark: SparkSession, root: str, mode: str = "fast", most: int |
     blocks = checkpoint(typed_blocks(made.withColumn("block_index", (F.row_number().over(order) - 1).cast("int"))))
     found = detect.detect(blocks.select("block_id", "file_path", "block_index", "extraction_method", "text")).withColumn("finding_id", F.xxhash64("block_id", "category"))
     findings = checkpoint(found)
-    return Scan(inventory, planned, blocks, findings, risk.assess(risk.features(planned, findings, blocks)).withColumn("submit_path", risk.submit_path(F.col("file_path"), root)))
+    return Scan(inventory, planned, blocks, findings, risk.assess(risk.features(planned, findings, blocks), mode=mode).withColumn("submit_path", risk.submit_path(F.col("file_path"), root)))
 
 
 def write_submit(assessed: DataFrame, path: str | Path, threshold: float | None = None) -> int:

@@ -236,7 +236,9 @@ def test_scan_scores_table_hints(spark, tmp_path):
     (tmp_path / "table.csv").write_text("fio;address;phone;passport\n" + "Анна;Лесная, 7;нет;есть 12\nБорис, физическое лицо;Речная;нет;нет\n", "utf-8")
     (tmp_path / "plain.csv").write_text("colour;size\nred;big\nblue;small\n", "utf-8")
     pq.write_table(pa.table({"client_name": ["Анна"], "home_address": ["Лесная"]}), tmp_path / "table.parquet")
-    rows = {r.file_path.rpartition("/")[2]: r for r in pipeline.scan_folder(spark, str(tmp_path)).assessed.collect()}
+    rows = {r.file_path.rpartition("/")[2]: r for r in pipeline.scan_folder(spark, str(tmp_path), "normal").assessed.collect()}
+    fast = pipeline.scan_folder(spark, str(tmp_path), "fast").assessed.select(F.explode("rule_hits.rule")).distinct().collect()
+    assert not {r[0] for r in fast} & risk.NOT_IN_FAST
     rules = {name: {h.rule for h in r.rule_hits} for name, r in rows.items()}
     assert {"table_sensitive_schema", "table_physical_person_names", "table_name_address_schema", "table_name_contact_schema"} <= rules["table.csv"]
     assert (rows["table.csv"].person_name_column, rows["table.csv"].sensitive_column_value, rows["table.csv"].physical_person_rows) == (3, 1, 2)
