@@ -46,10 +46,11 @@ def compatible() -> dict[str, str]:
 
 
 COMPATIBLE = compatible()
-ONE = {a: b for a, b in COMPATIBLE.items() if len(b) == 1} | dict(zip(MARKS, MARKS_PLAIN, strict=True))
-#: Those among the letters that most texts are made of.
-NEAR = {a: b for a, b in COMPATIBLE.items() if a < "\u0500"}
-MANY = {a: b for a, b in COMPATIBLE.items() if len(b) > 1}
+#: Forms that many texts have, wide letters and such marks, are translated; the others are looked up in the few texts that have any.
+ONE = {a: b for a, b in COMPATIBLE.items() if len(b) == 1 and "\uff01" <= a <= "\uff5e"} | dict(zip(MARKS, MARKS_PLAIN, strict=True))
+RARE = {a: b for a, b in COMPATIBLE.items() if a not in ONE}
+#: Latin letters with marks that stand for themselves.
+LATIN = {chr(k): "" for k in range(0xC0, 0x250) if chr(k) not in COMPATIBLE}
 #: Letters of two alphabets with one look, letter by letter; with Greek also Armenian ones and variants of Latin ones.
 CYRILLIC, LATIN_C = "аеорсухіјѕһԁԛԝӏАВЕКМНОРСТХІЈЅУԌԚԜҮ", "aeopcyxijshdqwlABEKMHOPCTXIJSYGQWY"
 GREEK, LATIN_G = "οανρΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳօոսհցՏԼՕՍɑɡ", "oavpABEZHIKMNOPTYXcjonuhgSLOUag"
@@ -74,16 +75,15 @@ def _plain_sql(column: str) -> str:
     """SQL for a text without invisible, full-width or ligature characters and with plain blanks."""
     # A mark that a look-alike letter carries is composed on the folded letter later, hence two normalisations.
     sql = f"regexp_replace({column}, '{INVISIBLE}', '', 'g')"
-    # Forms of more than one letter are looked up letter by letter, in the few texts that have any.
-    forms = f"MAP([{', '.join(map(_quote, MANY))}], [{', '.join(map(_quote, MANY.values()))}])"
-    sql = f"CASE WHEN regexp_matches({sql}, '{_class(MANY)}') THEN array_to_string(list_transform(string_split({sql}, ''), lambda c: coalesce({forms}[c], c)), '') ELSE {sql} END"
+    forms = f"MAP([{', '.join(map(_quote, RARE))}], [{', '.join(map(_quote, RARE.values()))}])"
+    sql = f"CASE WHEN regexp_matches({column}, '{_class(RARE)}') THEN array_to_string(list_transform(regexp_extract_all({sql}, '{_class(RARE)}|{_class(RARE).replace('[', '[^', 1)}+'), lambda c: CASE WHEN length(c) = 1 THEN coalesce({forms}[c], c) ELSE c END), '') ELSE {sql} END"
     sql = f"translate({sql}, {_quote(''.join(ONE) + BLANKS)}, {_quote(''.join(ONE.values()) + ' ' * len(BLANKS))})"
     sql = f"regexp_replace(regexp_replace({sql}, ' +', ' ', 'g'), ' ?(\\r\\n|\\r|\\n) ?', '\\n', 'g')"
     return f"nfc_normalize(trim({sql}, ' \\n'))".replace("'\\n'", "chr(10)").replace("' \\n'", "' ' || chr(10)")
 
 
 #: Runs of plain characters need none of the above; the pattern finds texts that do.
-PLAIN_SQL = f"""CASE WHEN regexp_matches(text, '[^\\x{{20}}-\\x{{7E}}\\nЀ-ӿ«»№—–©À-ɏ]|[  ][ \\n]|\\n |^[ \\n]|[ \\n]$|\\x{{00A0}}|\\x{{00AD}}|{_class(NEAR)}')
+PLAIN_SQL = f"""CASE WHEN regexp_matches(text, '[^\\x{{20}}-\\x{{7E}}\\nЀ-ӿ«»№—–©{_class(LATIN)[1:-1]}]|[  ][ \\n]|\\n |^[ \\n]|[ \\n]$|\\x{{00A0}}|\\x{{00AD}}')
  THEN {_plain_sql("text")} ELSE text END"""
 #: Composed letters whose base is a look-alike fold with it: й stays Cyrillic, but ё and ï, ё and ë look the same.
 COMPOSED, COMPOSED_L = "ёЁїЇ", "ëËïÏ"
