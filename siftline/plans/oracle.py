@@ -172,5 +172,39 @@ ORACLE["table_headers"] = rf"""
       OR len(list_filter(cells, lambda c: length(c) <= 40 AND regexp_matches(c, '\pL') AND NOT regexp_matches(c, '\p{{Nd}}'))) >= greatest(2, len(cells) // 2)) AS header,
      concat_ws(',', {", ".join(f"CASE WHEN {_any('low', words)} THEN '{name}' END" for name, words in _HINTS.items())}) AS hints
     FROM (SELECT block_id, lower(text) AS low, list_filter(regexp_split_to_array(split_part(text, chr(10), 1), '[ 	
-]*[|,;	][ 	
-]*'), lambda c: trim(c) <> '') AS cells FROM {_B} WHERE source_type IN ('table', 'workbook') AND text IS NOT NULL)"""
+
+]*[|,;	][ 	
+
+]*'), lambda c: trim(c) <> '') AS cells FROM {_B} WHERE source_type IN ('table', 'workbook') AND text IS NOT NULL)"""
+_SUSPICIOUS = ["выгруз", "subscribers", "subscriber", "backup", "dump", "full", "scan", "скан", "паспорт", "passport", "анкета", "заявка", "пропуск", "дмс", "dms", "личн", "копия", "card", "карта"]
+_IN_PATH = " + ".join(f"contains(p, '{w}')::INT" for w in _SUSPICIOUS)
+_COUNTED = (*_R["weights"], "inn")
+_SEEN = ("person_name_column", "address_column", "contact_column", "identifier_column", "sensitive_column_value", "physical_person_rows")
+_RULES = [
+    ("high_risk_identifier", 35, "high_risk > 0"), ("identity_document_media", 95, "identity_document > 0 AND (family IN ('image', 'video') OR ocr_used)"), ("form_identity_document", 80, "identity_document > 0 AND family IN ('document', 'rtf', 'web')"),
+    ("embedded_identity_document_payload", 170, "embedded"), ("mass_bank_cards", 35, "bank_card > 4"), ("mass_snils", 30, "snils > 4"), ("person_profile_combo", 30, "fio > 0 AND greatest(passport_rf, snils, inn_person, birth_date, bank_account, bank_card) > 0"),
+    ("contact_profile_combo", 18, "fio > 0 AND greatest(phone, email, address) > 0 AND kinds > 2"), ("special_categories", 20, "special > 0 AND strong"), ("mass_table_pii", 28, "is_table AND total > 99"), ("sensitive_export", 35, "is_table AND high_risk > 0"),
+    ("table_sensitive_schema", 45, "is_table AND greatest(identifier_column, sensitive_column_value) > 0"), ("table_physical_person_names", 42, "is_table AND least(physical_person_rows, person_name_column) > 0"),
+    ("table_name_address_schema", 34, "is_table AND least(person_name_column, address_column) > 0"), ("table_name_contact_schema", 26, "is_table AND least(person_name_column, contact_column) > 0"),
+    ("informal_employee_folder", 50, f"total > 0 AND {_any('p', ['мои бумажки', 'employes', 'employees'])}"), ("high_ocr_context", 10, "total > 0 AND scan"), ("scan_archive_image", 55, "family = 'image' AND contains(p, 'архив сканы')"),
+    ("web_snapshot_without_profile", -110, "family = 'web' AND NOT strong"),
+]
+_HITS = ", ".join(f"CASE WHEN {c} THEN {{'rule': '{n}', 'd': {float(d)}::DOUBLE}} END" for n, d, c in _RULES)
+ORACLE["risk_assessment"] = f"""
+    WITH cats AS (SELECT file_path, category, n, least(w + greatest(n - 1, 0) * least(w * {_R["repeat_factor"]}, {_R["repeat_cap"]}), w * {_R["max_multiplier"]}) AS part FROM {_BASE}),
+    wide AS (SELECT file_path, {", ".join(f"coalesce(sum(n) FILTER (category = '{c}'), 0) AS {c}" for c in _COUNTED)}, sum(n) AS total, count(*) AS kinds, sum(part) AS base,
+      coalesce(sum(n) FILTER (category IN ({_words(_R["high_risk"])})), 0) AS high_risk, coalesce(sum(n) FILTER (category IN ({_words(_R["special"])})), 0) AS special FROM cats GROUP BY 1),
+    hints AS (SELECT file_path, {", ".join(f"coalesce(sum(n) FILTER (hint = '{h}'), 0) AS {h}" for h in _SEEN)} FROM ({ORACLE["table_hints"]}) GROUP BY 1),
+    flags AS (SELECT file_path, coalesce(bool_or(ocr), false) AS ocr_used, coalesce(bool_or(embedded_payload AND embedded_document_like), false) AS embedded FROM {_B} GROUP BY 1),
+    own AS (SELECT p.path AS file_path, p.p, p.family, p.scan, coalesce(p.strategy IN ('structured_parse', 'table_parse') OR p.family IN ('structured', 'spreadsheet') OR p.extension IN ('csv', 'tsv', 'json', 'parquet', 'xls', 'xlsx'), false) AS is_table,
+      {", ".join(f"coalesce({c}, 0) AS {c}" for c in (*_COUNTED, *_SEEN, "total", "kinds", "base", "high_risk", "special"))}, coalesce(ocr_used, false) AS ocr_used, coalesce(embedded, false) AS embedded
+      FROM {_PLANS} p LEFT JOIN wide w ON w.file_path = p.path LEFT JOIN hints h ON h.file_path = p.path LEFT JOIN flags f ON f.file_path = p.path),
+    judged AS (SELECT *, greatest(passport_rf, snils, inn_person, mrz, cvv) > 0 OR (identity_document > 0 AND greatest(birth_date, fio) > 0) OR bank_card > 2 OR (fio > 0 AND greatest(birth_date, bank_account, bank_card) > 0) AS strong FROM own),
+    hit AS (SELECT *, list_filter([{_HITS}, CASE WHEN {_IN_PATH} > 0 THEN {{'rule': 'suspicious_path', 'd': least(25.0, 8.0 + 4.0 * ({_IN_PATH}))::DOUBLE}} END], lambda x: x IS NOT NULL) AS hits FROM judged),
+    raw AS (SELECT *, base + coalesce(list_sum(list_transform(hits, lambda x: x.d)), 0) AS r FROM hit),
+    done AS (SELECT *, greatest(round(CASE WHEN total = 0 AND NOT coalesce(family = 'video' OR embedded OR (contains(p, 'архив сканы') AND family IN ('image', 'document') AND {_IN_PATH} > 0), false) THEN least(r, {_R["no_evidence_cap"]}) ELSE r END, 2), 0)::DOUBLE AS score FROM raw)
+    SELECT file_path, score, CASE WHEN score >= {_R["high"]} THEN 'high' WHEN score >= {_R["submit"]} THEN 'submit' WHEN score >= {_R["review"]} THEN 'review' ELSE 'low' END AS level,
+     CASE WHEN score >= {_R["priority"]} THEN 'manual_review_priority' WHEN score >= {_R["submit"]} THEN 'manual_review' ELSE 'do_not_submit_baseline' END AS recommendation,
+     CASE WHEN embedded THEN 'embedded_identity_document' WHEN bank_card > 4 THEN 'card_dataset' WHEN identity_document > 0 THEN 'identity_document_media' WHEN snils > 4 THEN 'identifier_list' WHEN fio > 0 AND greatest(passport_rf, birth_date, inn_person) > 0 THEN 'personal_profile'
+      WHEN {_any("p", ["анкета", "заявка"])} THEN 'form_or_request' WHEN is_table THEN 'table_or_export' WHEN family = 'image' THEN 'image_candidate' ELSE coalesce(family, 'unknown') END AS document_type,
+     list_transform(hits, lambda x: x.rule) AS rules FROM done"""
