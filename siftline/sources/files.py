@@ -31,6 +31,7 @@ from siftline.operators.formats import IGNORED
 from siftline.operators.rows import ADDRESS, CONTACT, IDENTIFIER, PERSON, PHYSICAL
 from siftline.session import checkpoint
 from siftline.settings import setting
+from siftline.sources import recognition
 
 #: Text, place and warnings; blocks of tables have hints with their lines, and mentions of physical persons, too.
 DELIMITERS = ",;\t|"
@@ -382,9 +383,13 @@ EXTRACTORS: dict[str, tuple[str, Callable[[bytes, str], Iterator[Block]]]] = {
 HELD_BLOCKS = 64
 
 
-def _blocks_of(path: str, name: str | None, extractor: str, content: bytes | None, own: bool) -> Iterator[tuple]:
+def _blocks_of(path: str, name: str | None, extractor: str, content: bytes | None, own: bool, engine: recognition.Engine | None) -> Iterator[tuple]:
     """The blocks of a file one by one, read by its path if ``own``; what it gave before an error is kept."""
-    kind, work = EXTRACTORS.get(extractor, ("file", None))
+    if extractor in recognition.EXTRACTORS:
+        kind, reader = recognition.EXTRACTORS[extractor]
+        work = lambda raw, name: reader(raw, name, engine)
+    else:
+        kind, work = EXTRACTORS.get(extractor, ("file", None))
     k = 0
     try:
         raw = read_bytes(path) if work and content is None and own else content
@@ -395,13 +400,13 @@ def _blocks_of(path: str, name: str | None, extractor: str, content: bytes | Non
         yield path, kind, k, extractor, "", None, [f"{type(error).__name__}: {error}"[:300]], None, 0
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """Text blocks of files with path, name and extractor; their content is read by path, or taken from a column ``content``."""
+def extract(files: DataFrame, engine: recognition.Engine | None = None) -> DataFrame:
+    """Text blocks of files with path, name and extractor; their content is read by path, or taken from a column ``content``. ``engine`` reads pictures."""
     own = "content" not in files.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks = (b for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for b in _blocks_of(*row, own))
+            blocks = (b for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for b in _blocks_of(*row, own, engine))
             while rows := list(itertools.islice(blocks, HELD_BLOCKS)):
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, BLOCK_ARROW, strict=True)], schema=BLOCK_ARROW)

@@ -271,6 +271,74 @@ def test_extractors_never_fail(spark):
     assert len(made) == 3 and all(r.text == "" and r.warnings for r in made)
 
 
+def test_slides_and_tables_by_content(spark, tmp_path):
+    import io
+    import zipfile
+
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w") as z:
+        for k in (10, 2):
+            z.writestr(f"ppt/slides/slide{k}.xml", f'<p xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><a:p><a:r><a:t>slide</a:t></a:r><a:r><a:t> {k}</a:t></a:r></a:p><a:tbl><a:p><a:t>cell</a:t></a:p></a:tbl></p>')
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "deep" / "er" / "talk.pptx").write_bytes(box.getvalue())
+    (tmp_path / "deep" / "list.dat").write_text("a;b;c\n1;2;3\n4;5;6\n7;8;9\n", "utf-8")
+    (tmp_path / "deep" / "words.txt").write_text("some words\nand more of them\n", "utf-8")
+    (tmp_path / "empty.csv").write_text("", "utf-8")
+    made = {r.name: r for r in formats.detect_format(files.heads(files.listing(spark, str(tmp_path)), formats.SAMPLE_BYTES)).collect()}
+    assert set(made) == {"talk.pptx", "list.dat", "words.txt", "empty.csv"} and made["list.dat"].extension == "csv" and made["list.dat"].details.asDict() == {"encoding": "utf-8", "delimiter": ";", "rows_sampled": 4, "columns": 3}
+    assert made["words.txt"].method == "extension" and made["empty.csv"].method == "empty_file"
+    assert [(b[0], b[1]) for b in files.pptx(box.getvalue(), "x.pptx")] == [("slide 2\ncell", "slide 2"), ("slide 10\ncell", "slide 10")]
+
+
+def test_pictures_are_recognised_within_the_budget(spark, tmp_path):
+    for k in range(4):
+        (tmp_path / f"скан паспорт {k}.png").write_bytes(b"\x89PNG\r\n\x1a\n" + bytes(3000 + k))
+    scan = pipeline.scan_folder(spark, str(tmp_path), "hard", engine=lambda raw: f"паспорт серия 45 10 номер 123456\nx\n{len(raw)}", ocr_files=2)
+    read = scan.blocks.where("ocr").collect()
+    assert len(read) == 2 and all(r.text.startswith("паспорт серия 45 10") and "\nx" not in r.text for r in read)
+    assert {r.category for r in scan.findings.collect()} >= {"passport_rf"}
+    none = pipeline.scan_folder(spark, str(tmp_path), "hard", ocr_files=1).blocks.where("ocr").collect()
+    assert len(none) == 1 and none[0].text == "" and none[0].warnings
+
+
+def test_entities_of_a_model(spark):
+    from siftline.operators import entities
+
+    rows = [(1, "/a.txt", "file", 0, "Смирнова Анна живёт: Лесная улица, 5; дата рождения 1.2.1990, выпуск 3.4.2001" + " " * 100 + "5.6.2002"), (2, "/a.txt", "file", 1, None), (3, "/b.csv", "table", 0, "Смирнова Анна")]
+    df = spark.createDataFrame(rows, "block_id long, file_path string, source_type string, block_index int, text string")
+    model = lambda text: [("PERSON", "Смирнова Анна", 0.9), ("PERSON", "Анна", 0.9), ("LOCATION", "Лесная улица, 5", 0.8), ("LOCATION", "Омск", 0.8), ("DATE_TIME", "1.2.1990", 0.8), ("DATE_TIME", "5.6.2002", 0.8), ("SNILS_RF", "112-233-445 95", 1.0), ("OTHER", "x", 1.0)]  # noqa: E731, ARG005
+    found = {(r.block_id, r.category): r.examples for r in entities.detect_entities(df, model).collect()}
+    assert found == {(1, "fio"): ["С*** А***"], (1, "address"): ["Лесная улица, 5"], (1, "birth_date"): ["*.*.****"]}
+    assert entities.detect_entities(df, None).count() == 0 and entities.status(None).startswith("not_used")
+
+
+def test_reports(spark, share, tmp_path):
+    from siftline.plans import reports
+
+    scan = pipeline.scan_folder(spark, str(share), "normal")
+    reports.review_report(scan.assessed, tmp_path / "review.md", 60)
+    reports.pipeline_report(scan, tmp_path / "pipeline.md", "normal", 60)
+    review, whole = (tmp_path / "review.md").read_text("utf-8"), (tmp_path / "pipeline.md").read_text("utf-8")
+    assert "clients.csv" in review.split("## Review Candidates")[0] and "phone:20" in review and "## Top Suppressed" in review
+    assert "- Files: `12`" in whole and "csv_extractor" in whole and "include: fast baseline" in whole and "clients.csv" in whole.split("## Best risks")[0]
+    levels = {r.item: r.n for r in reports.risk_summary(scan.assessed, 60).where("what = 'level'").collect()}
+    assert sum(levels.values()) == 12
+    reports.export_json(scan, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json" / "findings")).count() == scan.findings.count()
+
+
+def test_arguments():
+    from siftline import cli
+
+    one = cli.settle(cli.parser().parse_args(["scan", "x"]))
+    assert one.mode == "fast" and one.risk and one.submit.endswith("submit.txt") and one.review_report
+    two = cli.settle(cli.parser().parse_args(["scan", "x", "--detect-pii", "--ml", "--no-ml"]))
+    assert two.mode == "normal" and not two.submit and not two.risk and not two.ml
+    three = cli.settle(cli.parser().parse_args(["scan", "x", "--mode", "hard", "--submit", "s.txt"]))
+    assert three.submit == "s.txt" and three.risk and not three.review_report
+    assert cli.main(["scan", "/no/such/folder"]) == 1
+
+
 def test_stream(spark, tmp_path):
     schema = "block_id long, file_path string, block_index int, text string, extracted_at timestamp"
     data = [(k % 7, f"/f{k % 2}", k, "mail a@x.test", None) for k in range(14)]
