@@ -106,12 +106,23 @@ ADDRESS = re.compile(
 #: What every address (e-mail or postal) holds; an e-mail is matched from the beginning of the word before it on.
 EMAIL_SIGN = re.compile(r"@|[\[({<][ \t\n]*(?:at|собака|ет|dog|zavináč)[ \t\n]*[\])}>]", re.I)
 STREET_SIGN = re.compile(
-    r"(?i:(?<!\w)(?:улиц|ул[.\s]|вул|пер[.\s]|переул|пров|просп|пр-т|набер|наб\.|шосс|бульв|б-р|площ|пл\.|проезд|тупик|аллея))|(?<!\w)(?:ulic|ul\.|nám|třída|tř\.)"
+    r"(?i:(?<!\w)(?:улиц|ул[.\s]|вул|пер[.\s]|переул|провул|пров(?!\w)|просп|пр-т|набер|наб\.|шосс|бульв|б-р|площ|пл\.|проезд|тупик|аллея))|(?<!\w)(?:ulic|ul\.|nám|třída|tř\.)"
     r"|(?<=\s)(?:Lane|Ln|Road|Rd|Street|St|Avenue|Ave|Drive|Dr|Court|Ct|Square|Sq|Way|Close|Hill|Boulevard|Blvd|Place|Row|Terrace)(?!\w)|(?:straße|strasse|str\.|weg|allee|platz|gasse)(?=\s+\d)"
 )
+#: What a text with a sign of a street holds: pieces in lower case, pieces as they are, and the short forms.
+STREET_LOW = ("улиц", "вул", "переул", "провул", "просп", "пр-т", "набер", "наб.", "шосс", "бульв", "б-р", "площ", "пл.", "проезд", "тупик", "аллея")
+STREET_AS_IS = ("ulic", "ul.", "nám", "třída", "tř.", "straße", "strasse", "str.", "weg", "allee", "platz", "gasse", "Lane", "Ln", "Road", "Rd", "Street", "St", "Avenue", "Ave", "Drive", "Dr", "Court", "Ct", "Square", "Sq", "Way", "Close", "Hill", "Boulevard", "Blvd", "Place", "Row", "Terrace")
+STREET_SHORT = re.compile(r"(?:ул|пер)[.\s]|пров(?!\w)")
+
+
+def may_have_street(text: str, low: str) -> bool:
+    """Whether STREET_SIGN can match at all; much cheaper than looking for it."""
+    return any(x in low for x in STREET_LOW) or (("ул" in low or "пер" in low or "пров" in low) and STREET_SHORT.search(low) is not None) or any(x in text for x in STREET_AS_IS)
+
+
 #: Words before and behind the sign of a street that its pattern can reach, of any length.
-BEFORE, BEHIND = 12, 24
-GAP = re.compile(r"\s+")
+BEFORE, BEHIND = 8, 16
+GAP, WORD_END = re.compile(r"\s+"), re.compile(r"[\s.,]")
 #: Words before a value that speak for a category, and those that speak for goods, files, devices and organisations.
 FOR = {
     "phone": re.compile(r"тел|phone|call|звон|связь|contact|моб|перезвон|получател|recipient|volejte|anruf|rufen|дзвон|зв.?яз", re.I),
@@ -279,6 +290,8 @@ def propose(text: str, hint: str = "") -> Iterator[tuple[str, int, int, str, str
             k = bisect_left(gaps, x.start())
             low = max(done, gaps[k - BEFORE] if k >= BEFORE else 0)
             high = gaps[k + BEHIND] if k + BEHIND < len(gaps) else len(text)
+            if not DIGITS.search(text, low, high):
+                continue  # every address has a number
             at = ADDRESS.search(text, low, high)
             while at is not None and at.end() <= x.start():
                 at = ADDRESS.search(text, at.end(), high)
@@ -293,20 +306,19 @@ def propose(text: str, hint: str = "") -> Iterator[tuple[str, int, int, str, str
             taken.append((a, b))
             yield "email", a, b, ("+" if m["at"].strip() == "@" else "0") + "0" + ("+" if re.search(r"\w{2,}$", m["host"]) else "-") + around("email", a, b), ""
     if DIGITS.search(text):
-        if STREET_SIGN.search(text):
-            for m in addresses():
-                a, b = m.span()
-                city = m["city"]
-                if city and (any(w.lower() in GIVEN or PATRONYMIC.match(w.lower()) for w in _parts(city)) or re.search(r"\b\w\.", city.replace("г.", "").replace("м.", "")) or re.search(rf"{INITIAL}\s?$", text[max(0, a - 4) : a])):
-                    a = m.end("city")
-                while city and a < m.end("city") and (x := re.match(rf"(?!(?:г|гор|город|м|місто|пос|с|п)\b)[{L}]+\s+", text[a : m.end("city")])):
-                    a += x.end()  # a word of the sentence, not of the city's name
-                street = text[a:b]
-                if not re.search(rf"[{U}]", street) and not re.search(r"(?i)\b(?:ул|вул|пер|пр)\b", street):
-                    continue
-                if free(a, b):
-                    taken.append((a, b))
-                    yield "address", a, b, "+0+" + around("address", a, b), ""
+        for m in addresses() if may_have_street(text, low) else ():
+            a, b = m.span()
+            city = m["city"]
+            if city and (any(w.lower() in GIVEN or PATRONYMIC.match(w.lower()) for w in _parts(city)) or re.search(r"\b\w\.", city.replace("г.", "").replace("м.", "")) or re.search(rf"{INITIAL}\s?$", text[max(0, a - 4) : a])):
+                a = m.end("city")
+            while city and a < m.end("city") and (x := re.match(rf"(?!(?:г|гор|город|м|місто|пос|с|п)\b)[{L}]+\s+", text[a : m.end("city")])):
+                a += x.end()  # a word of the sentence, not of the city's name
+            street = text[a:b]
+            if not re.search(rf"[{U}]", street) and not re.search(r"(?i)\b(?:ул|вул|пер|пр)\b", street):
+                continue
+            if free(a, b):
+                taken.append((a, b))
+                yield "address", a, b, "+0+" + around("address", a, b), ""
         for m in ID.finditer(text):
             a, b = m.span()
             kind = next(k for k in ("card", "snils", "inn", "passport", "ssn") if m[k])
@@ -352,7 +364,7 @@ def propose(text: str, hint: str = "") -> Iterator[tuple[str, int, int, str, str
         found = name_votes(m, text)
         if found is None:
             # Go on behind the first word, as a name may begin within the match.
-            nxt = re.compile(r"[\s.,]").search(text, m.start() + 1)
+            nxt = WORD_END.search(text, m.start() + 1)
             at = nxt.end() if nxt else m.end()
             continue
         form, gazetteer, surname, (a, b) = found
