@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import checks, masks, text
 from siftline.operators import aggregate, detect, formats, planner, risk, rows, triage
+from siftline.plans import reports
 from siftline.session import read_table
 from siftline.settings import setting
 
@@ -176,6 +177,30 @@ def latest_assessments(spark: SparkSession, sf: str) -> DataFrame:
     return _assessed(spark, sf).select("file_path", "assessment_id", "document_type", F.size("categories").alias("n_categories"))
 
 
+def risk_summary(spark: SparkSession, sf: str) -> DataFrame:
+    own = _assessed(spark, sf).withColumn("level", risk.level(F.col("score")))
+    return reports.risk_summary(own, setting("risk.submit"))
+
+
+def best_risks(spark: SparkSession, sf: str) -> DataFrame:
+    best = _assessed(spark, sf).orderBy(F.desc("score"), "submit_path", "assessment_id").limit(reports.BEST)
+    return reports.rows_of(best).select("score", "submit_path", "document_type", "kinds", "rules")
+
+
+def file_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    """The warnings of each file in the order of its blocks."""
+    own = _small_blocks(spark, sf).where("size(warnings) > 0").join(read_table(spark, sf, "text_blocks").select("block_id", "block_index").distinct(), "block_id")
+    listed = own.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("block_index", "block_id", "warnings"))).alias("all"))
+    return listed.select("file_path", F.array_join(F.flatten(F.transform("all", lambda b: b["warnings"])), "; ").alias("warnings"))
+
+
+def failed_extractions(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten examples of files that gave no text: the first warning of their first block with one."""
+    small = _small_blocks(spark, sf)
+    empty = small.groupBy("file_path").agg(F.coalesce(F.bool_or("filled"), F.lit(False)).alias("filled"), F.min(F.when(F.size("warnings") > 0, F.struct("block_id", F.element_at("warnings", 1).alias("warning")))).alias("first"))
+    return empty.where("not filled").orderBy("file_path").limit(10).select("file_path", F.col("first.warning").alias("warning"))
+
+
 def triage_selection(spark: SparkSession, sf: str) -> DataFrame:
     mode = setting("modes.normal")
     chosen = triage.select(triage.scored(_plans(spark, sf), "normal"), triage.scaled_caps("normal", mode["max_candidates"]), mode["max_candidates"], mode["min_score"])
@@ -263,7 +288,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         findings_by_file, categories_ordered, pii_summary, top_files, finding_examples, base_scores, findings_by_family, only_by_model, check_digits, masked_values, synthetic_findings, detect_blocks,
-        normalized_texts, text_quality, packed_lines, scan_types, scan_states, file_extensions, registered_formats, plan_strategies, plan_summary, plan_steps, triage_scores, fast_selection, plan_warnings, triage_selection, ocr_budget, category_counters, block_warnings, latest_assessments,
+        normalized_texts, text_quality, packed_lines, scan_types, scan_states, file_extensions, registered_formats, plan_strategies, plan_summary, plan_steps, triage_scores, fast_selection, plan_warnings, triage_selection, ocr_budget, category_counters, block_warnings, latest_assessments, risk_summary, best_risks, file_warnings, failed_extractions,
         block_flags, extraction_summary, table_hints, row_blocks, table_headers, recurring_lines, without_recurring_lines, event_runs, json_members, ner_quota, rule_counts, level_counts, score_bands,
         submit_list, review_bands, risk_assessment,
     )

@@ -208,3 +208,14 @@ ORACLE["risk_assessment"] = f"""
      CASE WHEN embedded THEN 'embedded_identity_document' WHEN bank_card > 4 THEN 'card_dataset' WHEN identity_document > 0 THEN 'identity_document_media' WHEN snils > 4 THEN 'identifier_list' WHEN fio > 0 AND greatest(passport_rf, birth_date, inn_person) > 0 THEN 'personal_profile'
       WHEN {_any("p", ["анкета", "заявка"])} THEN 'form_or_request' WHEN is_table THEN 'table_or_export' WHEN family = 'image' THEN 'image_candidate' ELSE coalesce(family, 'unknown') END AS document_type,
      list_transform(hits, lambda x: x.rule) AS rules FROM done"""
+ORACLE["risk_summary"] = f"""
+    WITH a AS (SELECT * FROM {_A}), s AS (SELECT * FROM a WHERE score >= {_R["submit"]})
+    SELECT 'level' AS what, CASE WHEN score >= 180 THEN 'high' WHEN score >= 120 THEN 'submit' WHEN score >= 60 THEN 'review' ELSE 'low' END AS item, count(*)::BIGINT AS n FROM a GROUP BY 2
+    UNION ALL SELECT 'category', c.category, sum(c.count)::BIGINT FROM (SELECT unnest(categories) AS c FROM s) GROUP BY 2 UNION ALL SELECT 'rule', h.rule, count(*) FROM (SELECT unnest(rule_hits) AS h FROM s) GROUP BY 2"""
+_SHOWN = "list_transform(list_filter(rule_hits, lambda h: h.score_delta {0} 0)[1:{1}], lambda h: h.rule || format('({{:+.0f}})', h.score_delta))"
+ORACLE["best_risks"] = f"""
+    SELECT score, submit_path, document_type, coalesce(array_to_string(list_transform(list_sort(list_transform(categories, lambda c: struct_pack(n := -c.count, c := c.category)))[1:8], lambda c: c.c || ':' || -c.n), ', '), '') AS kinds,
+     array_to_string(list_concat({_SHOWN.format(">", 4)}, {_SHOWN.format("<", 3)}), '; ') AS rules FROM (SELECT * FROM {_A} ORDER BY score DESC, submit_path, assessment_id LIMIT 100) t"""
+ORACLE["file_warnings"] = f"SELECT file_path, string_agg(array_to_string(warnings, '; '), '; ' ORDER BY block_index, block_id) AS warnings FROM {_B} WHERE len(warnings) > 0 GROUP BY 1"
+ORACLE["failed_extractions"] = f"""
+    SELECT file_path, arg_min(CASE WHEN len(warnings) > 0 THEN warnings[1] END, CASE WHEN len(warnings) > 0 THEN block_id END) AS warning FROM {_B} GROUP BY 1 HAVING NOT coalesce(bool_or(trim(text) <> ''), false) ORDER BY 1 LIMIT 10"""

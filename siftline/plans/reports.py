@@ -23,7 +23,7 @@ HEAD = ["| score | path | type | categories | strongest rules |", "|---:|---|---
 def rows_of(assessed: DataFrame) -> DataFrame:
     """score, submit_path, document_type, categories and rules (four that add to the score and three that lower it) as text."""
     hits = lambda up, n: F.slice(F.filter("rule_hits", lambda h: (h["score_delta"] > 0) if up else (h["score_delta"] < 0)), 1, n)
-    shown = F.transform(F.concat(hits(True, 4), hits(False, 3)), lambda h: F.format_string("%s(%+.0f)", h["rule"], h["score_delta"]))
+    shown = F.transform(F.concat(hits(True, 4), hits(False, 3)), lambda h: F.format_string("%s(%+.0f)", h["rule"], F.bround(h["score_delta"], 0)))
     ranked = F.array_sort(F.transform(F.coalesce("categories", F.array().cast("array<struct<category:string,count:bigint>>")), lambda c: F.struct((-c["count"]).alias("n"), c["category"].alias("c"))))
     kinds = F.transform(F.slice(ranked, 1, 8), lambda c: F.concat_ws(":", c["c"], (-c["n"]).cast("string")))
     return assessed.select("score", "submit_path", "document_type", F.array_join(kinds, ", ").alias("kinds"), F.array_join(shown, "; ").alias("rules"), (F.size("rule_hits") > 0).alias("hit"))
