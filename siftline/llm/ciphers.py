@@ -72,6 +72,12 @@ def completed(table: dict[str, str], words: dict[str, int]) -> tuple[dict[str, s
     return {s: c for s, c in zip(pages[b], pages[a], strict=True) if s != c}, f"{a} read as {b}"
 
 
+def changed(word: str, made: str) -> bool:
+    """Whether most symbols outside ASCII stand for another letter: a cipher changes nearly all of them, a misreading one."""
+    odd = [(a, b) for a, b in zip(word, made, strict=True) if not a.isascii()]
+    return sum(a != b for a, b in odd) > 0.5 * len(odd)
+
+
 class Letters:
     """Bigrams of sound words as a matrix over the letters, with the ends of words."""
 
@@ -238,7 +244,7 @@ class Learner:
         total, hit, words = 0, 0, 0
         for word, n in self.words.items():
             made = "".join(table.get(c, "\0") if not c.isascii() else c for c in word)
-            good = made in known and made != word
+            good = made in known and changed(word, made)
             total, hit, words = total + n, hit + n * good, words + (good and len(word) >= WHOLE)
         return hit / total if total else 0.0, words
 
@@ -258,12 +264,14 @@ class Learner:
         emit = max((self.run(t, FIRST) for t in tries), key=lambda x: x[2])[0]
         _, got, _ = self.run(emit, ROUNDS)
         table = self.vote(self.table(got), known)
-        own = {w: n for w, n in self.words.items() if (made := "".join(table.get(c, c) for c in w)) != w and is_own(w, made)}
-        if LEAST_WORDS <= len(own) < len(self.words):
+        own = {w: n for w, n in self.words.items() if changed(w, made := "".join(table.get(c, c) for c in w)) and is_own(w, made)}
+        if LEAST_WORDS <= len(own):
             again = Learner(self.letters, own)
             _, got, _ = again.run(again.from_table(table), ROUNDS)
             table = again.vote(again.table(got), known)
             share, words = again.quality(table, known)
-        else:
+        elif own:
             share, words = self.quality(table, known)
+        else:
+            return None
         return table if share >= LEAST_KNOWN and words >= LEAST_WORDS else None

@@ -261,41 +261,46 @@ class Restorer:
                         out[i] = ranked[0]
         return "".join(out)
 
-    def judge(self, source: str, word: str) -> tuple[int, float]:
-        """(cipher, nats by which its translation is likelier) of a word; (-1, 0) if it is not suspicious."""
+    def is_sound(self, word: str) -> bool:
+        return word in self.sound or word.lower() in self.sound or word.capitalize() in self.sound
+
+    def judge(self, source: str, word: str) -> tuple[int, float, bool]:
+        """(cipher, nats by which its translation is likelier, whether that is a sound word) of a word; (-1, 0) if it is not suspicious."""
         inner = core(word)
         odd = frozenset(ODD.findall(inner))
         if len(inner) < 3 or not odd or inner in self.sound:
-            return -1, 0.0
+            return -1, 0.0, False
         steps = self.bigrams.steps(inner)
         if min(steps) >= COMMON or sum(c.isalpha() or ord(c) > 0x7F for c in inner) < 3:
-            return -1, 0.0
+            return -1, 0.0, False
         if MISREAD.search(inner) or (inner.isupper() and min(self.bigrams.steps(inner.lower())) >= COMMON):
-            return -1, 0.0
+            return -1, 0.0, False
         if SOFT.search(inner) and all(len(x) < 2 or min(self.bigrams.steps(x)) >= COMMON for part in BLANK.split(inner) if (x := core(SOFT.sub("", part)))):
-            return -1, 0.0  # invisible characters and wide blanks between sound words
+            return -1, 0.0, False  # invisible characters and wide blanks between sound words
         for table in LOOKS:
             plain = core(SOFT.sub("", unicodedata.normalize("NFKC", inner).translate(table)))
             if plain != inner and (plain in self.sound or min(self.bigrams.steps(plain)) >= COMMON):
-                return -1, 0.0
+                return -1, 0.0, False
             if MIXED.search(inner) and not MIXED.search(plain):
-                return -1, 0.0  # letters of two alphabets that look alike, in a word of one
+                return -1, 0.0, False  # letters of two alphabets that look alike, in a word of one
         base, prior = sum(steps), self.prior.get(source) or self.prior.get("", {})
-        best = (-1, 0.0)
+        best = (-1, 0.0, False)
         for k, cipher in self.order[source]:
             translated = cipher.undo(inner) if odd <= cipher.symbols else None
             if translated is None:
                 continue
             made = core(translated)
-            if LETTERS.fullmatch(inner) and not LETTERS.fullmatch(made):
+            if LETTERS.fullmatch(inner) and not LETTERS.fullmatch(translated):
                 continue  # letters do not come from signs
-            score = self.bigrams.score(made) - base
+            score, sound = self.bigrams.score(made) - base, self.is_sound(made)
             if cipher.wide and (again := cipher.undo(translated)) is not None:
-                score = max(score, self.bigrams.score(core(again)) - base)
+                score, sound = max(score, self.bigrams.score(core(again)) - base), sound or self.is_sound(core(again))
+            # Signs at the ends of a word may be letters of it.
+            sound = sound or (word != inner and (whole := cipher.undo(word)) is not None and self.is_sound(core(whole)))
             score += max(math.log(prior.get(k, 1e-3)), -5.0)
             if score > best[1]:
-                best = (k, score)
-        return best if best[1] >= WORD else (-1, 0.0)
+                best = (k, score, sound)
+        return best if best[1] >= WORD else (-1, 0.0, False)
 
     def start(self) -> None:
         """Caches of a task."""
@@ -309,15 +314,19 @@ class Restorer:
         if text.isascii():
             return lost, -1, 0.0
         sums: dict[int, float] = {}
+        sure: set[int] = set()
         known = self.known
         for word in TOKEN.findall(text.replace("_", " ")):
-            k, score = known[source, word]
+            k, score, sound = known[source, word]
             if k >= 0:
                 sums[k] = sums.get(k, 0.0) + score
+                if sound:
+                    sure.add(k)
         if not sums:
             return lost, -1, 0.0
         k = max(sums, key=sums.get)
-        found = sums[k] >= (NAME if len(text) < SHORT and source == NAMES else RECORD)
+        # Of a text one word at least must become a sound one: names and codes in it translate into letters as likely as their own.
+        found = sums[k] >= NAME if len(text) < SHORT and source == NAMES else k in sure and sums[k] >= RECORD
         return lost or found, k if found else -1, sums[k]
 
     def restore(self, source: str, text: str) -> str:

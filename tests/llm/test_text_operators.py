@@ -398,6 +398,18 @@ def test_unknown_ciphers_are_learned(spark, page):
     assert [made[175 + k] for k in range(25)] == texts[:25]
 
 
+def test_misreadings_are_no_cipher():
+    """One letter misread in many words leaves the others as they are: no table is learned from that."""
+    from siftline.llm.ciphers import Learner, Letters
+
+    words = sorted({w for t in MORE for w in t.split() if len(w) > 3})
+    letters, known = Letters([(w, 50) for w in words]), dict.fromkeys(words, 50)
+    misread = {w.replace("н", "п"): 5 for w in words if "н" in w}
+    swapped = {w.translate(str.maketrans("авгдеиклмнорстуы", "еыугрваикслмотдн")): 5 for w in words}
+    assert len(misread) >= 15 and Learner(letters, misread).learn([], known, lambda w, made: made in known) is None
+    assert Learner(letters, swapped).learn([], known, lambda w, made: made in known) is not None
+
+
 def test_ciphers_against_brute_force():
     """Forward-backward gives the sums over all hidden words."""
     import numpy as np
