@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftline.session import checkpoint
+
 #: Characters that print nothing: soft hyphen, zero-width characters, direction marks, variation selectors, byte order mark.
 INVISIBLE = "[\\x{00AD}\\x{034F}\\x{061C}\\x{115F}\\x{1160}\\x{17B4}\\x{17B5}\\x{180B}-\\x{180E}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{FE00}-\\x{FE0F}\\x{FEFF}]"
 #: Blanks of another width.
@@ -159,7 +161,7 @@ def same_look_pairs(df: DataFrame, id_col: str, text_col: str = "text") -> DataF
     Only hashes are shuffled. Classes with one text are dropped by an aggregate before anything is paired; the texts of a
     class are paired first and then their rows, so copies of one text never meet one another.
     """
-    keys = look_keys(df, id_col, text_col).distinct()
+    keys = checkpoint(look_keys(df, id_col, text_col).distinct())  # hashes, read several times
     variants = keys.select("look_key", "text_key").distinct()
     mixed = variants.groupBy("look_key").agg(F.count("*").alias("n")).where("n > 1").select("look_key")
     kept = variants.join(mixed, "look_key", "left_semi")
@@ -172,7 +174,7 @@ def same_look_pairs(df: DataFrame, id_col: str, text_col: str = "text") -> DataF
 
 def look_classes(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, look_key, variants, links) of the rows that look like a row of another text: their class, its texts, and how many rows differ in characters. Null and empty texts have no class."""
-    keys = look_keys(df, id_col, text_col).distinct()
+    keys = checkpoint(look_keys(df, id_col, text_col).distinct())
     sizes = keys.groupBy("look_key", "text_key").agg(F.count("*").alias("own"))
     classes = sizes.groupBy("look_key").agg(F.count("*").alias("variants"), F.sum("own").alias("rows")).where("variants > 1")
     linked = sizes.join(classes, "look_key").select("look_key", "text_key", "variants", (F.col("rows") - F.col("own")).alias("links"))
