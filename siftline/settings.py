@@ -52,7 +52,7 @@ DEFAULTS: dict[str, Any] = {
         "normal": {"max_candidates": 180, "min_score": 25, "escalate": False},
         "hard": {"max_candidates": 520, "min_score": 20, "escalate": True},
     },
-    "limits": {"ocr_files": 80, "ner_files": 40, "ner_blocks": 3, "block_chars": 50_000, "block_lines": 250, "examples": 3, "json_bytes": 50 * 1024 * 1024},
+    "limits": {"ocr_files": 80, "ner_files": 40, "ner_blocks": 3, "block_chars": 50_000, "block_lines": 250, "examples": 3, "json_bytes": 50 * 1024 * 1024, "payload_least": 32 * 1024, "payload_most": 20 * 1024 * 1024},
     "triage": {
         "bucket_caps": {
             "normal": {"text_table": 80, "document": 55, "web": 20, "binary_media": 25, "ocr_media": 0, "other": 0},

@@ -270,7 +270,8 @@ def _members(value: object, prefix: str = "") -> Iterator[list[str]]:
 
 def json_text(raw: bytes, name: str) -> Iterator[Block]:
     text = decode(raw)
-    if len(raw) > setting("limits.json_bytes"):
+    most = setting("limits.json_bytes")  # null for files of any size
+    if most and len(raw) > most:
         yield from ((chunk, None, ["large JSON read as text"]) for chunk in pack(text.splitlines(), setting("limits.block_chars")))
         return
     try:
@@ -350,14 +351,20 @@ PAYLOADS = {"tiff": (b"II*\x00", b"MM\x00*"), "jpeg": (b"\xff\xd8\xff",), "png":
 
 def payloads(raw: bytes, name: str) -> Iterator[Block]:
     """One block for each kind of document or picture found inside a binary, in order of place."""
-    found = []
+    least, most = setting("limits.payload_least"), setting("limits.payload_most")  # most: null for payloads of any size
+    found, outside = [], []
     for kind, signatures in PAYLOADS.items():
-        places = [at for s in signatures for at in (m.start() for m in re.finditer(re.escape(s), raw)) if at >= 4096 and 32 * 1024 <= len(raw) - at <= 20 * 1024 * 1024]
-        if places:
-            found.append((min(places), kind))
+        places = sorted(at for s in signatures for at in (m.start() for m in re.finditer(re.escape(s), raw)) if at >= 4096)
+        inside = [at for at in places if len(raw) - at >= least and (not most or len(raw) - at <= most)]
+        if inside:
+            found.append((inside[0], kind))
+        elif places:
+            outside.append(kind)
     for at, kind in sorted(found):
         yield "", f"offset {at}", [f"embedded {kind}"]
-    if not found:
+    if outside:
+        yield "", None, [f"{kind} outside the size limits" for kind in outside]
+    elif not found:
         yield "", None, ["no payload"]
 
 

@@ -312,6 +312,18 @@ def test_entities_of_a_model(spark):
     assert entities.detect_entities(df, None).count() == 0 and entities.status(None).startswith("not_used")
 
 
+def test_limits_warn_and_can_be_lifted(monkeypatch):
+    from siftline import settings
+
+    raw = bytes(5000) + b"\x89PNG\r\n\x1a\n" + bytes(50_000)
+    assert [b[2] for b in files.payloads(raw, "x")] == [["embedded png"]]
+    monkeypatch.setattr(settings, "_loaded", lambda: settings._merged(settings.DEFAULTS, {"limits": {"payload_most": 40_000, "json_bytes": 4}}))
+    assert [b[2] for b in files.payloads(raw, "x")] == [["png outside the size limits"]]
+    assert next(iter(files.json_text(b'{"a": 1}', "x")))[2] == ["large JSON read as text"]
+    monkeypatch.setattr(settings, "_loaded", lambda: settings._merged(settings.DEFAULTS, {"limits": {"payload_most": None, "json_bytes": None}}))
+    assert [b[2] for b in files.payloads(raw, "x")] == [["embedded png"]] and not next(iter(files.json_text(b'{"a": 1}', "x")))[2]
+
+
 def test_reports(spark, share, tmp_path):
     from siftline.plans import reports
 
