@@ -18,15 +18,17 @@ from functools import cache
 import numpy as np
 
 #: Iterations of expectation-maximisation, starts from frequencies, and the iterations that each of these gets first.
-ROUNDS, STARTS, FIRST = 40, 8, 15
+ROUNDS, STARTS, FIRST = 30, 4, 10
 #: Known tables that learning starts from besides.
-NEAREST = 3
+NEAREST = 2
 #: A table is accepted if so much of its words' weight, and so many different words of WHOLE letters or more, become known.
 LEAST_KNOWN, LEAST_WORDS, WHOLE = 0.5, 15, 4
 #: Times that a symbol counts as standing for itself.
 ITSELF = 4.0
 #: Share of a table's symbols in words (and least number of them) with which a pair of code pages must agree to complete it.
 AGREES, LEAST_SYMBOLS = 0.9, 12
+#: Bytes that a one-byte code page may leave undefined.
+UNDEFINED = 40
 #: Letters that make up a smaller share of all letters are no states.
 LEAST_LETTER = 2e-5
 
@@ -39,7 +41,7 @@ def page_symbols() -> dict[str, tuple[str, ...]]:
         try:
             if bytes(range(32, 127)).decode(page) == "".join(map(chr, range(32, 127))):
                 own = tuple(bytes([k]).decode(page, "replace") for k in range(128, 256))
-                if all(len(c) == 1 for c in own):
+                if all(len(c) == 1 for c in own) and own.count("\ufffd") <= UNDEFINED:
                     out[page] = tuple(chr(k + 128) if c == "\ufffd" else c for k, c in enumerate(own))
         except (LookupError, UnicodeDecodeError):
             continue
