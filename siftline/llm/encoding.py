@@ -16,14 +16,15 @@ Null and empty texts are not garbled. Repeated rows give repeated results; extra
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm.ciphers import Learner, Letters, completed
@@ -154,16 +155,51 @@ class Bigrams:
         return sum(-4.0 if LOST in k else self.table.get(k) or max(self.floor.get(k[0], self.least), -13.0) for k in zip(padded, padded[1:]))
 
 
+#: From the words of each source and the sound words to the ciphers learned by source.
+Learn = Callable[[dict[str, dict[str, int]], list[tuple[str, int]]], dict[str, list["Learned"]]]
+
+
+def learned_here(counts: dict[str, dict[str, int]], clean: list[tuple[str, int]]) -> dict[str, list[Learned]]:
+    return {source: found for source, own in counts.items() if (found := Restorer.learned(own, clean))}
+
+
+def learned_in_tasks(spark: SparkSession) -> Learn:
+    """Each source's ciphers are learned in a task of its own."""
+
+    def learn(counts: dict[str, dict[str, int]], clean: list[tuple[str, int]]) -> dict[str, list[Learned]]:
+        if not counts:
+            return {}
+        sent = spark.sparkContext.broadcast((counts, clean))
+
+        def make():  # noqa: ANN202
+            def step(rows: Iterator[tuple]) -> Iterable[tuple]:
+                own, sound = sent.value
+                for (source,) in rows:
+                    for cipher in Restorer.learned(own[source], sound):
+                        yield source, cipher.name, json.dumps({chr(s): c for s, c in cipher.table.items()})
+
+            return step
+
+        sources = spark.createDataFrame([(s,) for s in sorted(counts)], "source string").repartition(len(counts), "source")
+        text = pa.string()
+        out: dict[str, list[Learned]] = defaultdict(list)
+        for r in sorted(map_rows(sources, make, "source string, name string, letters string", [("source", text), ("name", text), ("letters", text)]).collect()):
+            out[r.source].append(Learned(r.name, json.loads(r.letters)))
+        return dict(out)
+
+    return learn
+
+
 class Restorer:
     """Language bigrams and, for each source, the learned probabilities of the ciphers."""
 
-    def __init__(self, counts: dict[str, dict[str, int]]) -> None:
+    def __init__(self, counts: dict[str, dict[str, int]], learn: Learn | None = None) -> None:
         total: Counter = Counter()
         for own in counts.values():
             total.update(own)
         clean = self._clean(total, CIPHERS)
         #: The ciphers of each source: the known ones and those learned from its words.
-        self.letters: dict[str, list[Learned]] = {source: found for source, own in counts.items() if (found := self._learn(source, own, clean))}
+        self.letters: dict[str, list[Learned]] = (learn or learned_here)(counts, clean)
         if self.letters:
             clean = self._clean(total, [*CIPHERS, *(c for own in self.letters.values() for c in own)])
         self.bigrams, self.sound = Bigrams(clean), {w for w, n in clean if n > SOUND}
@@ -187,7 +223,7 @@ class Restorer:
         return out
 
     @staticmethod
-    def _learn(source: str, own: dict[str, int], clean: list[tuple[str, int]]) -> list[Learned]:
+    def learned(own: dict[str, int], clean: list[tuple[str, int]]) -> list[Learned]:
         """Tables of unknown ciphers of a source, learned from the words that look like no language and that no known cipher explains."""
         size, run, safe = sum(own.values()), 0, []
         for word, n in sorted(clean, key=lambda x: (-own.get(x[0], 0), x[0])):
@@ -380,7 +416,7 @@ def fit(found: DataFrame) -> Restorer:
     for r in counts.where(F.col("n") >= max(2, SHARE * total)).collect():
         out[r.source][r.word] = r.n
     counts.unpersist()
-    return Restorer(dict(out))
+    return Restorer(dict(out), learned_in_tasks(found.sparkSession))
 
 
 def garbled(found: DataFrame, model: Restorer, restore: bool = False) -> DataFrame:
