@@ -36,7 +36,7 @@ ALWAYS = (
     ("0", "о"), ("0", "o"), ("1", "l"), ("1", "i"), ("!", "l"), ("!", "i"), ("|", "l"), ("3", "з"), ("4", "ч"), ("5", "s"), ("6", "б"), ("8", "в"), ("9", "g"),
     ("rn", "m"), ("rn", "м"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("ii", "u"), ("ьl", "ы"), (">к", "ж"), ("lo", "ю"),
 )
-#: A confusion is learned if it explains so many words and so many different ones, no one of them more than half, and so many times more than words of the vocabulary.
+#: A confusion is learned if it explains so many words and so many different ones, no one of them more than half, and so many times more unknown words (as a share of them) than words of the vocabulary.
 LEAST_SEEN, LEAST_DIFFERENT, TIMES = 8, 5, 10
 #: Letters of words from which confusions are learned, at least, and the share of a confusion's places that are not at a word's end, as endings are.
 WHOLE, INSIDE = 4, 0.3
@@ -175,11 +175,14 @@ class Channel:
                                 yield a, b, n, i + size < len(word) - 1
 
         seen: Counter = Counter()
+        unknown = 0
         inside: Counter = Counter()
         different: dict[tuple[str, str], Counter] = {}
         for word, n in scanned.items():
             if word not in self.words and WHOLE <= len(word) <= self.longest + 1 and not NUMBER.search(word):
-                found = list(neighbours(word))
+                # What is misread now and then is read right much more often; names that differ in a letter are about as frequent.
+                found = [x for x in neighbours(word) if x[2] >= TIMES * n]
+                unknown += 1
                 mass = sum(m for _, _, m, _ in found)
                 for a, b, m, within in found:
                     seen[a, b] += n * m / mass
@@ -193,7 +196,9 @@ class Channel:
                     usual.update((a, b) for a, b, *_ in neighbours(word) if (a, b) in likely)
         # Two letters that words often hold are themselves; their likeness to one letter is left to ALWAYS.
         own: Counter = Counter(w[i : i + 2] for w in self.words for i in range(len(w) - 1))
-        return [c for c in likely if seen[c] >= TIMES * usual[c] and own[c[0]] * TIMES <= len(different[c])]
+        # Different words are compared with different words, in shares of all: names made of syllables are neighbours of one another everywhere.
+        often = lambda c: len(different[c]) * len(self.words) >= TIMES * usual[c] * unknown
+        return [c for c in likely if often(c) and own[c[0]] * TIMES <= len(different[c])]
 
     def _learn(self, scanned: dict[str, int]) -> None:
         """One step of expectation-maximisation of the confusions' rates over the scanned words."""
