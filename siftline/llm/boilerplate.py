@@ -237,7 +237,7 @@ def without_strays(weight: float, nodes: list[list]) -> list[list]:
     most: dict[int, float] = {}
     for key, n in nodes:
         most[key] = max(most.get(key, 0.0), n)
-    return [n for n in nodes if n[1] >= most[n[0]] or n[1] >= 0.5 * ORDERED * weight]
+    return [n for n in nodes if n[1] >= most[n[0]] or n[1] >= NODE * weight]
 
 
 def grouped(nodes: list[list]) -> list[tuple[bool, list[int]]]:
